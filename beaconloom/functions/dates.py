@@ -13,7 +13,7 @@ CREATED_AT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
 
 def created_at(text: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` text to a timestamp; NULL for anything else."""
-    return F.when(text.rlike(CREATED_AT), F.try_to_timestamp(text, F.lit(TIMESTAMP_TEXT)))
+    return F.when(text.rlike(CREATED_AT), text.try_cast("timestamp"))
 
 
 def timestamp_text(ts: Column) -> Column:

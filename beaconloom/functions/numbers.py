@@ -7,32 +7,38 @@ from pyspark.sql import functions as F
 
 WHOLE = r"^[+-]?[0-9]+$"
 DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-JSON_NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
+JSON_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 MAX_DELTA = 65535
 LONG_MAX = 9223372036854775807
 
 
 def whole(text: Column, kind: str = "bigint") -> Column:
-    """Text to a whole number; NULL for anything else (also padded text, which a cast would take)."""
-    return F.when(text.rlike(WHOLE), text.try_cast(kind))
+    """Text to a whole number; NULL for anything else.
+
+    The cast itself takes padded text.  Blanks and control characters sort before ``+`` and digits,
+    so comparing the first and last character rules them out without a regular expression.
+    """
+    unpadded = (text >= "+") & (F.substring(text, -1, 1) >= "0")
+    return F.when(unpadded, text.try_cast(kind))
 
 
-def is_json_number_or_empty(text: Column) -> Column:
-    return text.isNull() | (text == "") | text.rlike(JSON_NUMBER)
+def are_json_numbers_or_empty(texts: list[Column]) -> Column:
+    """Whether every text is a JSON number, empty or missing; one match over all of them."""
+    joined = F.concat_ws("\x01", *[F.coalesce(text, F.lit("")) for text in texts])
+    return joined.rlike(rf"^(?:{JSON_NUMBER})?(?:\x01(?:{JSON_NUMBER})?)*$")
 
 
 def json_decimal(text: Column) -> Column:
     """JSON number text to a float; NULL for empty or missing."""
-    return F.when(text.rlike(JSON_NUMBER), text.try_cast("float"))
+    return F.when(text.rlike(rf"^{JSON_NUMBER}$"), text.try_cast("float"))
 
 
 def _tick(text: Column) -> Column:
     # Not a number counts as 0, a number too long for 64 bits as the nearest limit.
     limit = F.when(text.startswith("-"), F.lit(-LONG_MAX - 1)).otherwise(F.lit(LONG_MAX))
-    return F.when(text.rlike(WHOLE), F.coalesce(text.try_cast("bigint"), limit)).otherwise(
-        F.lit(0).cast("bigint")
-    )
+    zero = F.lit(0).cast("bigint")
+    return F.coalesce(whole(text), F.when(text.rlike(WHOLE), limit).otherwise(zero))
 
 
 def clamped_delta(start: Column, end: Column) -> Column:
@@ -52,6 +58,7 @@ def rounded(text: Column) -> Column:
 
     NULL for empty or malformed text and for values outside the 32-bit float range.
     """
-    value = text.try_cast("float")
+    value = text.try_cast("float").cast("double")
     usable = text.rlike(DECIMAL) & (F.abs(value) < F.lit(float("inf")))
-    return F.when(usable, F.round(value.cast("double")).try_cast("int"))
+    # Exact: a 32-bit value plus one half always fits a 64-bit float.
+    return F.when(usable, (F.signum(value) * F.floor(F.abs(value) + 0.5)).try_cast("int"))

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def not_empty(text: Column) -> Column:
+    """NULL in place of empty text."""
+    return F.when(text != "", text)
+
+
 def screen_size(text: Column) -> tuple[Column, Column]:
     """``WxH`` to (width, height) text; both empty unless there are exactly two parts."""
     parts = F.split(F.coalesce(text, F.lit("")), "x")
@@ -19,9 +24,9 @@ def screen_size(text: Column) -> tuple[Column, Column]:
 
 def clean_header(text: Column) -> Column:
     """Trim, drop one leading and one trailing double quote, trim again; NULL reads as ``''``."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    unquoted = F.regexp_replace(F.regexp_replace(trimmed, r'^"', ""), r'"$', "")
-    return F.regexp_replace(unquoted, r"^\s+|\s+$", "")
+    return F.regexp_extract(
+        F.coalesce(text, F.lit("")), r'(?s)^\s*"?\s*(.*?)\s*"?\s*$', 1
+    )
 
 
 def event_type(quit_parameter: Column, initiator: Column) -> Column:
@@ -35,7 +40,7 @@ def event_type(quit_parameter: Column, initiator: Column) -> Column:
 
 def version_text(*parts: Column) -> Column:
     """Join the non-empty parts with dots; NULL if there are none."""
-    return F.nullif(F.concat_ws(".", *[F.nullif(p, F.lit("")) for p in parts]), F.lit(""))
+    return not_empty(F.concat_ws(".", *[not_empty(p) for p in parts]))
 
 
 def first_address(forwarded_for: Column) -> Column:

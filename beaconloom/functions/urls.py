@@ -12,7 +12,7 @@ BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 USER_INFO = rf"^(?:{SCHEME})?//(?:[^/?#]*@)?+"
 
 # Plain web URLs, by far the most, are settled by this one pattern.
-PLAIN_URL = r"^https?://[A-Za-z0-9.\-]*(?::[0-9]*)?(?:[/?#][A-Za-z0-9/._~\-?#&=+,;:@!$'()*]*)?$"
+PLAIN_URL = r"^https?://([A-Za-z0-9.\-]+)(?::[0-9]*)?(?:[/?#][A-Za-z0-9/._~\-?#&=+,;:@!$'()*]*)?$"
 
 # Each alternative is one way in which a URL cannot be read.
 BAD_URL_PARTS = [
@@ -32,21 +32,29 @@ BAD_URL_PARTS = [
 BAD_URL = "(?s)" + "|".join(f"(?:{part})" for part in BAD_URL_PARTS)
 
 
-def is_bad_url(url: Column) -> Column:
+def plain_host(url: Column) -> Column:
+    """Hostname of a plain web URL, which also is a readable one; ``''`` for all others."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), PLAIN_URL, 1)
+
+
+def is_bad_url(url: Column, plain: Column | None = None) -> Column:
     """True for a URL that cannot be parsed; the empty URL is fine."""
-    text = F.coalesce(url, F.lit(""))
-    return (text != "") & ~text.rlike(PLAIN_URL) & text.rlike(BAD_URL)
+    plain = plain_host(url) if plain is None else plain
+    return (plain == "") & F.coalesce(url, F.lit("")).rlike(BAD_URL)
 
 
-def hostname(url: Column) -> Column:
+def hostname(url: Column, plain: Column | None = None) -> Column:
     """Host without port, user info or IPv6 brackets; ``''`` if there is none.  Case is kept."""
+    plain = plain_host(url) if plain is None else plain
     authority = F.regexp_extract(F.coalesce(url, F.lit("")), AUTHORITY, 1)
     host_port = F.regexp_replace(authority, r"^.*@", "")
     host = F.when(
         host_port.startswith("["), F.regexp_extract(host_port, r"^\[(.*)\]", 1)
     ).otherwise(F.regexp_replace(host_port, r":[0-9]*$", ""))
-    plain = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
-    return F.when(host.contains("%"), plain).otherwise(host)
+    decoded = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
+    return (
+        F.when(plain != "", plain).when(host.contains("%"), decoded).otherwise(host)
+    )
 
 
 def archive_host(host: Column) -> Column:

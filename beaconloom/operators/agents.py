@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beaconloom.functions.texts import version_text
+from beaconloom.functions.texts import not_empty, version_text
 from beaconloom.operators.tables import append_log, read_log
 from beaconloom.session import materialise
 
@@ -53,7 +53,7 @@ def _facts(kind: str) -> list[Column]:
     given = lambda name, group: F.coalesce(_filled(rule(name), groups), group)
     if kind == "device":
         brand = _filled(F.coalesce(rule("brand"), F.lit("")), groups)
-        return [F.nullif(F.trim(brand), F.lit("")).alias("device_manufacturer")]
+        return [not_empty(F.trim(brand)).alias("device_manufacturer")]
     name, version = {
         "browser": ("browser_name", "browser_version"),
         "os": ("operating_system", "operating_system_version"),

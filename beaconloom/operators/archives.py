@@ -39,6 +39,16 @@ def archive_lines(beacons: DataFrame) -> DataFrame:
     )
 
 
+def _in_ranges(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Split the sorted lines into ranges of ``keys``, one task each.
+
+    The number of tasks is fixed, not left to the data size: small hosts mean many small files, and
+    it is opening files that takes the time.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+
+
 def write_hours(lines: DataFrame, root: str, batch: str) -> None:
     """Write lines to ``host=/day=/hour=/batch=`` directories.
 
@@ -47,7 +57,7 @@ def write_hours(lines: DataFrame, root: str, batch: str) -> None:
     replaces it.
     """
     keys = ["host", "day", "hour", "seq"]
-    ordered = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = _in_ranges(lines, keys)
     batches = ordered.select(
         "value", "host", texts.day_name(F.col("day")).alias("day"), "hour", F.lit(batch).alias("batch")
     )
@@ -114,7 +124,7 @@ def write_day_files(lines: DataFrame, root: str, compression: str = "NONE", orde
     """
     codec = codec_of(compression)
     keys = ["host", "day", "hour", *order]
-    ordered = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = _in_ranges(lines, keys)
     days = ordered.select("value", "host", texts.day_name(F.col("day")).alias("day"))
     overwrite_partitions(
         days, root, ["host", "day"], "parquet" if codec == "zstd" else "text", compression=codec

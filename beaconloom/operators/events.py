@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +40,10 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
 
     derived: dict[str, Column] = {
         "event_date": F.to_date(created_at),
-        "hostname": urls.hostname(text("u")),
+        "hostname": urls.hostname(text("u"), F.col("_plain_host")),
         "created_at": created_at,
         "event_type": texts.event_type(value("rt.quit"), text("http_initiator")),
-        "user_agent": F.nullif("user_agent", F.lit("")),
+        "user_agent": texts.not_empty(F.col("user_agent")),
         "redirect_duration": F.lit(0),
         "redirects_count": F.lit(0),
         "cumulative_layout_shift": numbers.json_decimal(text("c.cls")),
@@ -63,23 +61,24 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
         elif rule == "text":
             column = text(key)
         elif rule == "text_null":
-            column = F.nullif(text(key), F.lit(""))
+            column = texts.not_empty(text(key))
         elif rule == "whole":
             column = numbers.whole(text(key), kind)
         else:
             continue
         columns.append(column.alias(name))
 
-    numbers_fit = reduce(and_, [numbers.is_json_number_or_empty(value(k)) for k in JSON_NUMBER_KEYS])
+    numbers_fit = numbers.are_json_numbers_or_empty([value(key) for key in JSON_NUMBER_KEYS])
     reason = (
         F.when(F.col("unreadable").isNotNull(), F.col("unreadable"))
-        .when(urls.is_bad_url(text("u")), "bad_url")
+        .when(urls.is_bad_url(text("u"), F.col("_plain_host")), "bad_url")
         .when(~numbers_fit, "bad_number")
         .when(created_at.isNull(), "bad_created_at")
     )
     return (
         beacons.withColumns(
             {
+                "_plain_host": urls.plain_host(text("u")),
                 "_created_at": dates.created_at(created_text),
                 "_country": header_country,
                 "_city": header_city,
@@ -90,7 +89,7 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
             "seq",
             country.alias("header_country"),
             city.alias("header_city"),
-            F.when((country == "") & (city == ""), F.nullif("client_ip", F.lit(""))).alias(
+            F.when((country == "") & (city == ""), texts.not_empty(F.col("client_ip"))).alias(
                 "lookup_ip"
             ),
             reason.alias("reason"),

@@ -78,7 +78,8 @@ def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     Addresses in no range, or that are none, are left out.
     """
     keyed = addresses.select("lookup_ip", "n", ip_key(F.col("lookup_ip")).alias("ip_key"))
-    points = bucketed_addresses(keyed.where(F.col("ip_key").isNotNull()))
+    # No filter on the key: it would be pushed below the distinct and parse every row's address.
+    points = bucketed_addresses(keyed)
     inside = points.join(bucketed_ranges(ranges), "bucket").where(
         F.col("ip_key").between(F.col("start_key"), F.col("end_key"))
     )

@@ -121,15 +121,23 @@ FORWARDED = (
     f"case when event_id % 11 = 0 then 'unknown' else concat({dotted(ADDRESS)}, ', 10.0.0.1') end"
 )
 RECEIVED = "ts + interval 90 seconds"
+# Form requests come late, in weekly uploads, so that arrival and event time differ.
+UPLOADED = "date_trunc('week', ts) + interval 7 days + interval 1 hour * (user_id % 5)"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def visits(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the URL of their page; pages are assigned in turn."""
-    events = table(spark, folder, "events")
+    events = spread(table(spark, folder, "events"))
     pages = table(spark, folder, "pages").select("page_id", "url")
     count = pages.count()
     return events.withColumn("page_id", F.col("event_id") % F.lit(count)).join(pages, "page_id")
@@ -177,7 +185,7 @@ def form_requests(spark: SparkSession, folder: str) -> DataFrame:
         body.alias("body"),
         query.alias("query"),
         F.lit(None).cast("string").alias("headers"),
-        F.expr(RECEIVED).cast("timestamp").alias("received_at"),
+        F.expr(UPLOADED).cast("timestamp").alias("received_at"),
         F.col("event_id").alias("seq"),
     )
 

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Typing a beacon is one wide projection.  Fused into a single generated method it exceeds what the
+# JVM compiles and would run interpreted; beyond this limit Spark splits it into many methods.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session that was built elsewhere."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "beaconloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs assume; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -18,6 +30,8 @@ def build_session(app: str = "beaconloom", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
+    for key, value in TUNING.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Two layouts: <host>/<yyyy-M-d>/<H>.json.lines and host=<host>/day=<yyyy-M-d>/hour=<H>/<part>.
-PLAIN_HOUR = r"/([^/]*)/([0-9]+-[0-9]+-[0-9]+)/([0-9]+)\.json\.lines(?:\.gz|\.zst)?$"
-HIVE_HOUR = r"/host=([^/]*)/day=([0-9]+-[0-9]+-[0-9]+)/hour=([0-9]+)/[^/]+$"
+# Two layouts: <host>/<yyyy-M-d>/<H>.json.lines and host=<host>/day=<yyyy-M-d>/hour=<H>/batch=<B>/<part>.
+HOUR_PATH = (
+    r"/(?:host=)?([^/]*)/(?:day=)?([0-9]+-[0-9]+-[0-9]+)/"
+    r"(?:hour=)?([0-9]+)(?:\.json\.lines(?:\.gz|\.zst)?|/batch=[^/]+/[^/]+)$"
+)
 EMPTY_HOST = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -18,20 +20,22 @@ def read_hour_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     any work done per block; ``seq`` orders the lines within it.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(paths)
-    path = F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    pattern = F.when(path.rlike(HIVE_HOUR), F.lit(HIVE_HOUR)).otherwise(F.lit(PLAIN_HOUR))
+    place = lambda group: F.regexp_extract(path, HOUR_PATH, group)
+    decode = lambda text: F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    path = decode(F.col("_metadata.file_path"))
+    # Partition directories escape special characters of the value once more.
+    host = F.when(path.contains("/host="), decode(place(1))).otherwise(place(1))
     placed = lines.select(
         "value",
         path.alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
-        *[
-            F.regexp_extract(path, pattern, F.lit(group)).alias(name)
-            for group, name in enumerate(["host", "day_name", "hour"], start=1)
-        ],
+        F.when(host == EMPTY_HOST, "").otherwise(host).alias("host"),
+        place(2).alias("day_name"),
+        place(3).alias("hour"),
     )
     return placed.where("hour != ''").select(
-        F.when(F.col("host") == EMPTY_HOST, "").otherwise(F.col("host")).alias("host"),
+        "host",
         F.to_date("day_name", "yyyy-M-d").alias("day"),
         F.col("hour").cast("int").alias("hour"),
         "file",
@@ -41,9 +45,11 @@ def read_hour_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def read_day_files(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of compacted day files (host, day, part, value); ``.gz`` is decompressed by suffix.
+def read_day_files(spark: SparkSession, root: str, compression: str = "NONE") -> DataFrame:
+    """Lines of compacted day files or of line ranges: value, host, day.
 
-    Day archives written with the zstd codec are Parquet files below the same partitions.
+    ``.gz`` files are decompressed by suffix.  Days written with the zstd codec are Parquet files.
     """
-    return spark.read.format("text").load(root)
+    fmt = "parquet" if compression == "Zstandard" else "text"
+    rows = spark.read.schema("value string, host string, day string").format(fmt).load(root)
+    return rows.select("value", F.coalesce("host", F.lit("")).alias("host"), "day")

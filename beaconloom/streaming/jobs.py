@@ -34,8 +34,19 @@ def line_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
     )
 
 
+def record_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of a growing folder of Parquet files that carry their own arrival time and order.
+
+    A message queue source has the same three columns: value, timestamp and offset.
+    """
+    schema = "value string, seq bigint, received_at timestamp"
+    return spark.readStream.schema(schema).parquet(folder)
+
+
 def arrived(batch: DataFrame) -> DataFrame:
-    """Lines of one micro-batch in arrival order (file, block, position)."""
+    """Lines of one micro-batch with their arrival order, (file, block, position) for text files."""
+    if "seq" in batch.columns:
+        return batch.select("value", "received_at", "seq")
     place = F.struct("file", "block", F.monotonically_increasing_id().alias("position"))
     return batch.select("value", "received_at", place.alias("seq"))
 
