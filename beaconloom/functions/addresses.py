@@ -32,10 +32,10 @@ def _hex_groups(groups: Column) -> Column:
 def ip_key(text: Column) -> Column:
     """Address text to its key; NULL if it is not an address (zones and leading zeros are not)."""
     address = F.coalesce(text, F.lit(""))
-    is_v4 = address.rlike(rf"^{IPV4}$")
+    is_v4 = address.rlike(rf"^{IPV4}\z")
 
     # An embedded IPv4 tail is rewritten as two hex groups, then only hex groups are left.
-    tail = F.regexp_extract(address, rf":({IPV4})$", 1)
+    tail = F.regexp_extract(address, rf":({IPV4})\z", 1)
     tail_hex = _v4_hex(tail)
     v6 = F.when(
         tail != "",
@@ -52,8 +52,8 @@ def ip_key(text: Column) -> Column:
         _groups(F.try_element_at(halves, F.lit(2))), F.array().cast("array<string>")
     )
     missing = F.lit(8) - F.size(left) - F.size(right)
-    full = rf"^{GROUP}(?::{GROUP}){{7}}$"
-    short = rf"^(?:{GROUP}(?::{GROUP})*)?::(?:{GROUP}(?::{GROUP})*)?$"
+    full = rf"^{GROUP}(?::{GROUP}){{7}}\z"
+    short = rf"^(?:{GROUP}(?::{GROUP})*)?::(?:{GROUP}(?::{GROUP})*)?\z"
     is_v6 = v6.rlike(full) | (v6.rlike(short) & (missing >= 1))
     v6_hex = F.concat(
         _hex_groups(left), F.repeat(F.lit("0000"), F.greatest(missing, F.lit(0))), _hex_groups(right)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beaconloom.schema import TIMESTAMP_TEXT
 
 TRIAL_MONTHS = 3
-CREATED_AT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+CREATED_AT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
 
 def created_at(text: Column) -> Column:

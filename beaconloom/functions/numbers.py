@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHOLE = r"^[+-]?[0-9]+$"
-DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+# ``\z`` is the very end; ``$`` would also match before a final line break.
+WHOLE = r"^[+-]?[0-9]+\z"
+DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 JSON_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 MAX_DELTA = 65535
@@ -26,12 +27,13 @@ def whole(text: Column, kind: str = "bigint") -> Column:
 def are_json_numbers_or_empty(texts: list[Column]) -> Column:
     """Whether every text is a JSON number, empty or missing; one match over all of them."""
     joined = F.concat_ws("\x01", *[F.coalesce(text, F.lit("")) for text in texts])
-    return joined.rlike(rf"^(?:{JSON_NUMBER})?(?:\x01(?:{JSON_NUMBER})?)*$")
+    more = rf"(?:\x01(?:{JSON_NUMBER})?){{{len(texts) - 1}}}"
+    return joined.rlike(rf"^(?:{JSON_NUMBER})?{more}\z")
 
 
 def json_decimal(text: Column) -> Column:
     """JSON number text to a float; NULL for empty or missing."""
-    return F.when(text.rlike(rf"^{JSON_NUMBER}$"), text.try_cast("float"))
+    return F.when(text.rlike(rf"^{JSON_NUMBER}\z"), text.try_cast("float"))
 
 
 def _tick(text: Column) -> Column:

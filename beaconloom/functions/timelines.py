@@ -17,12 +17,12 @@ ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-"
 # An opening * or . that is never closed is skipped.
 LEAD = r"(?:\*([^*]*)\*|\.(?![^.]*\.)|\*(?![^*]*\*))*+"
 TOKENS = {
-    "0": rf"(?s){LEAD}(?:(\.[^.]*\.)|(.)|$)",
-    "1": rf"(?s){LEAD}(?:(\.[^.]*\.)|([^,]*,|[^,]+$)|$)",
-    "2": rf"(?s){LEAD}(?:(\.[^.]*\.)|(..?)|$)",
+    "0": rf"(?s){LEAD}(?:(\.[^.]*\.)|(.)|\z)",
+    "1": rf"(?s){LEAD}(?:(\.[^.]*\.)|([^,]*,|[^,]+\z)|\z)",
+    "2": rf"(?s){LEAD}(?:(\.[^.]*\.)|(..?)|\z)",
 }
 # Twelve base-36 digits always fit 64 bits; longer numbers are malformed.
-BASE36 = r"^[0-9A-Za-z]{1,12}$"
+BASE36 = r"^[0-9A-Za-z]{1,12}\z"
 
 RUN = "array<struct<value:bigint,times:bigint>>"
 
@@ -43,7 +43,7 @@ def _plain(mode: str, text: Column) -> Column:
     return (
         F.when(F.length(text) < 2, F.lit(None).cast("bigint"))
         .when(text == "__", F.lit(100).cast("bigint"))
-        .when(text.rlike("^[0-9]{2}$"), text.try_cast("bigint"))
+        .when(text.rlike(r"^[0-9]{2}\z"), text.try_cast("bigint"))
         .otherwise(F.lit(0).cast("bigint"))
     )
 

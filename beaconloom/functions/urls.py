@@ -12,7 +12,7 @@ BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 USER_INFO = rf"^(?:{SCHEME})?//(?:[^/?#]*@)?+"
 
 # Plain web URLs, by far the most, are settled by this one pattern.
-PLAIN_URL = r"^https?://([A-Za-z0-9.\-]+)(?::[0-9]*)?(?:[/?#][A-Za-z0-9/._~\-?#&=+,;:@!$'()*]*)?$"
+PLAIN_URL = r"^https?://([A-Za-z0-9.\-]+)(?::[0-9]*)?(?:[/?#][A-Za-z0-9/._~\-?#&=+,;:@!$'()*]*)?\z"
 
 # Each alternative is one way in which a URL cannot be read.
 BAD_URL_PARTS = [
@@ -22,9 +22,9 @@ BAD_URL_PARTS = [
     rf"^(?:{SCHEME})?/[^?#]*{BAD_ESCAPE}",  # broken escape in host or path
     rf"^(?!{SCHEME})[^?#]*{BAD_ESCAPE}",  # broken escape in a relative path
     rf"#.*{BAD_ESCAPE}",  # broken escape in the fragment
-    rf"{USER_INFO}(?!\[)[^/?#]*:[^/?#:]*[^/?#:0-9][^/?#:]*(?:[/?#]|$)",  # port that is not digits
-    rf"{USER_INFO}\[[^/?#\]]*(?:[/?#]|$)",  # bracket never closed
-    rf"{USER_INFO}\[[^/?#\]]*\](?!(?::[0-9]*)?(?:[/?#]|$))",  # text after the bracket
+    rf"{USER_INFO}(?!\[)[^/?#]*:[^/?#:]*[^/?#:0-9][^/?#:]*(?:[/?#]|\z)",  # port that is not digits
+    rf"{USER_INFO}\[[^/?#\]]*(?:[/?#]|\z)",  # bracket never closed
+    rf"{USER_INFO}\[[^/?#\]]*\](?!(?::[0-9]*)?(?:[/?#]|\z))",  # text after the bracket
     rf"{USER_INFO}[^/?#]*[ \\^`{{|}}]",  # character not allowed in a host
     rf"{USER_INFO}[^/?#]*%(?!25)[0-7]",  # escaped ASCII in a host
     rf"^(?:{SCHEME})?//[^/?#]*[^/?#A-Za-z0-9\-._~:!$&'()*+,;=%@][^/?#]*@",  # bad user info
@@ -50,7 +50,7 @@ def hostname(url: Column, plain: Column | None = None) -> Column:
     host_port = F.regexp_replace(authority, r"^.*@", "")
     host = F.when(
         host_port.startswith("["), F.regexp_extract(host_port, r"^\[(.*)\]", 1)
-    ).otherwise(F.regexp_replace(host_port, r":[0-9]*$", ""))
+    ).otherwise(F.regexp_replace(host_port, r":[0-9]*\z", ""))
     decoded = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
     return (
         F.when(plain != "", plain).when(host.contains("%"), decoded).otherwise(host)
