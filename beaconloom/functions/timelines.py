@@ -82,8 +82,10 @@ def decode_runs(text: Column) -> Column:
     runs = F.when(text == "", F.array().cast(RUN))
     for name in TOKENS:
         runs = runs.when(mode == name, _runs_of_mode(name, body))
-    broken = F.exists(runs, lambda r: r["value"].isNull() | r["times"].isNull())
-    return F.when(~broken, runs)
+    unreadable = lambda run: run["value"].isNull() | run["times"].isNull()
+    # Through a lambda variable, so that the runs are decoded once for the check and the result.
+    checked = F.transform(F.array(runs), lambda rs: F.when(~F.exists(rs, unreadable), rs))
+    return F.get(checked, F.lit(0))
 
 
 def expand_runs(runs: Column) -> Column:

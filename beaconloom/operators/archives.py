@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from beaconloom.functions import maps, texts, urls
-from beaconloom.operators.tables import overwrite_partitions
+from beaconloom.operators.tables import filter_once, overwrite_partitions
 
 HOUR_KEYS = ["host", "day", "hour"]
 LINES_PER_BLOCK = 1_000_000
@@ -28,14 +28,21 @@ def archive_lines(beacons: DataFrame) -> DataFrame:
     if not isinstance(beacons.schema["params"].dataType, T.MapType):
         raise TypeError("the archive keeps all parameters: pass beacons with a parameter map")
     url = maps.parameter(F.col("params"), "u")
-    hostname = urls.hostname(url)
-    return beacons.where(F.col("unreadable").isNull() & ~urls.is_bad_url(url)).select(
-        urls.archive_host(hostname).alias("host"),
-        hostname.alias("hostname"),
-        F.to_date("received_at").alias("day"),
-        texts.hour_of(F.col("received_at")).alias("hour"),
-        "seq",
-        maps.sorted_json(F.col("params")).alias("value"),
+    plain = F.col("plain_host")
+    lines = (
+        beacons.select("params", "received_at", "seq", "unreadable", url.alias("url"))
+        .withColumn("plain_host", urls.plain_host(F.col("url")))
+        .select(
+            urls.hostname(F.col("url"), plain).alias("hostname"),
+            F.to_date("received_at").alias("day"),
+            texts.hour_of(F.col("received_at")).alias("hour"),
+            "seq",
+            maps.sorted_json(F.col("params")).alias("value"),
+            (F.col("unreadable").isNull() & ~urls.is_bad_url(F.col("url"), plain)).alias("fit"),
+        )
+    )
+    return filter_once(lines, F.col("fit")).select(
+        urls.archive_host(F.col("hostname")).alias("host"), "hostname", "day", "hour", "seq", "value"
     )
 
 

@@ -21,13 +21,14 @@ def hostnames_seen(typed: DataFrame) -> DataFrame:
     """Last creation time by arrival, per hostname, as rows for the hostname log.
 
     Rows whose only fault is a number or a time count too.  A host whose last time cannot be read
-    gets no row.  All inputs of the aggregate are of fixed width when ``seq`` is a number.
+    gets no row.  The condition sits inside the aggregate: as a filter it would be pushed below the
+    parse and have every beacon parsed twice.  With a numeric ``seq`` all buffers are of fixed width.
     """
     usable = F.col("reason").isNull() | F.col("reason").isin("bad_number", "bad_created_at")
+    order = F.when(usable, F.col("seq"))
     return (
-        typed.where(usable)
-        .groupBy("hostname")
-        .agg(F.max_by("created_at", "seq").alias("updated_at"), F.max("seq").alias("seq"))
+        typed.groupBy("hostname")
+        .agg(F.max_by("created_at", order).alias("updated_at"), F.max(order).alias("seq"))
         .where("updated_at is not null")
     )
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconloom.schema import ADDED_IN_V2, EVENT_SCHEMA
 
 
+def filter_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by a costly computed condition without computing it twice.
+
+    A plain filter is pushed below the projection that computes its columns and repeats that work.
+    Emitting each row as an array of one row or none keeps the filter above it.
+    """
+    row = F.when(condition, F.array(F.struct(*df.columns)))
+    return df.select(F.explode_outer(row).alias("row")).where("row is not null").select("row.*")
+
+
 def laid_out(events: DataFrame) -> DataFrame:
     """Rows of a day and host together, sorted as stored.
 

@@ -17,8 +17,13 @@ def with_runs(df: DataFrame, column: str) -> DataFrame:
 
 
 def run_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per run: the keys, ``value`` and ``times``."""
-    return df.select(*keys, F.explode("runs").alias("run")).select(*keys, "run.value", "run.times")
+    """One row per run: the keys, ``value`` and ``times``.
+
+    The outer form, filtered afterwards: for the plain one Spark adds a filter on the array, which
+    decodes it a second time.
+    """
+    runs = df.select(*keys, F.explode_outer("runs").alias("run")).where("run is not null")
+    return runs.select(*keys, "run.value", "run.times")
 
 
 def timeline_stats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,7 +45,6 @@ def bucket_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     Runs get their start bucket from a running sum within the array; each run then gives its rows.
     Timelines beyond ``MAX_BUCKETS`` give none: see ``oversized``.
     """
-    fits = df.where(_length() <= MAX_BUCKETS)
     starts = F.transform(
         "runs",
         lambda run, at: F.struct(
@@ -51,7 +55,8 @@ def bucket_rows(df: DataFrame, keys: list[str]) -> DataFrame:
             ).alias("start"),
         ),
     )
-    runs = fits.select(*keys, F.explode(starts).alias("run"))
+    fitting = F.when(_length() <= MAX_BUCKETS, starts)
+    runs = df.select(*keys, F.explode_outer(fitting).alias("run")).where("run is not null")
     buckets = F.sequence(F.col("run.start"), F.col("run.start") + F.col("run.times") - 1)
     return runs.select(*keys, F.explode(buckets).alias("bucket"), F.col("run.value").alias("value"))
 

@@ -157,7 +157,9 @@ def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
     fields = [F.expr(sql).alias(key) for key, sql in PARAMETERS.items()]
     return visits(spark, folder).select(
-        F.to_json(F.struct(*fields, F.to_json(headers).alias("request_headers"))).alias("value"),
+        F.coalesce(
+            F.to_json(F.struct(*fields, F.to_json(headers).alias("request_headers"))), F.lit("")
+        ).alias("value"),
         F.col("event_id").alias("seq"),
         F.expr(RECEIVED).cast("timestamp").alias("received_at"),
     )

@@ -73,10 +73,25 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _typed(spark: SparkSession, folder: str) -> DataFrame:
+def _typed_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed beacons for a single use, not written."""
     return events.type_beacons(beacons.parse_lines(inputs.beacon_lines(spark, folder)))
 
 
+def _typed(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Typed beacons, written once: what follows filters and prunes columns, not JSON text.
+
+    Only the parameters behind ``columns`` are parsed.
+    """
+    typed = _typed_once(spark, folder)
+    return materialise(typed.select(*(columns or typed.columns)), "typed")
+
+
+def _good(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    needed = ("reason", *columns) if columns else ()
+    return events.accepted(_typed(spark, folder, *needed))
+
+
 def _ranges(spark: SparkSession, folder: str) -> DataFrame:
     return ranges.keyed_ranges(inputs.address_ranges(spark, folder))
 
@@ -104,7 +119,8 @@ def beacon_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def count_where(spark: SparkSession, folder: str) -> DataFrame:
     """Counts under the kinds of predicate that are asked of the event table."""
-    good = materialise(events.accepted(_typed(spark, folder)), "good")
+    needed = ["cumulative_layout_shift", "first_input_delay", "mob_etype", "ua_vnd", "ua_plt"]
+    good = _good(spark, folder, *needed)
     predicates = {
         "all": "true",
         "greater": "cumulative_layout_shift > 1.5",
@@ -122,13 +138,13 @@ def count_where(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def event_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Page visits, quits and requests by initiator."""
-    good = events.accepted(_typed(spark, folder))
+    good = _good(spark, folder, "event_type")
     return good.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query
 def screen_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    good = events.accepted(_typed(spark, folder))
+    good = _good(spark, folder, "screen_width", "screen_height")
     return plain(good.groupBy("screen_width", "screen_height").agg(F.count("*").alias("n")))
 
 
@@ -142,32 +158,32 @@ def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def timing_delta(spark: SparkSession, folder: str) -> DataFrame:
-    typed = _typed(spark, folder)
-    return plain(typed.select("seq", "connect_duration", "dns_duration", "first_byte_duration"))
+    columns = ["seq", "connect_duration", "dns_duration", "first_byte_duration"]
+    return plain(_typed(spark, folder, *columns))
 
 
 @query
 def round_param(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(_typed(spark, folder).select("seq", "mob_dl"))
+    return plain(_typed(spark, folder, "seq", "mob_dl"))
 
 
 @query
 def event_days(spark: SparkSession, folder: str) -> DataFrame:
     """Creation time, with the arrival time where it is absent, and the day it falls on."""
-    good = events.accepted(_typed(spark, folder))
-    return plain(good.select("seq", "created_at", "event_date"))
+    good = _good(spark, folder, "seq", "created_at", "event_date")
+    return plain(good.drop("reason"))
 
 
 @query
 def rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Beacons and form requests that cannot be stored, with the reason."""
-    from_lines = _typed(spark, folder).withColumn("source", F.lit("lines"))
-    from_forms = events.type_beacons(_forms(spark, folder)).withColumn("source", F.lit("forms"))
-    both = [
-        frame.where("reason is not null").select("source", "seq", "reason")
-        for frame in (from_lines, from_forms)
-    ]
-    return beacons.union_beacons(*both)
+    from_lines = _typed(spark, folder, "seq", "reason")
+    typed_forms = events.type_beacons(_forms(spark, folder)).select("seq", "reason")
+    from_forms = materialise(typed_forms, "typed_forms")
+    both = beacons.union_beacons(
+        from_lines.withColumn("source", F.lit("lines")), from_forms.withColumn("source", F.lit("forms"))
+    )
+    return both.where("reason is not null").select("source", "seq", "reason")
 
 
 @query
@@ -191,7 +207,7 @@ def form_parse(spark: SparkSession, folder: str) -> DataFrame:
 def event_table(spark: SparkSession, folder: str) -> DataFrame:
     """Write the day-partitioned table, then read some of its days."""
     path = scratch_path(spark, "events")
-    good = events.accepted(_typed(spark, folder))
+    good = _good(spark, folder)
     missing = [f for f in EVENT_SCHEMA.fields if f.name not in good.columns]
     rows = good.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
     tables.write_events(rows.select(*EVENT_NAMES), path)
@@ -207,7 +223,7 @@ def event_table(spark: SparkSession, folder: str) -> DataFrame:
 def schema_evolution(spark: SparkSession, folder: str) -> DataFrame:
     """Days written with the first version of the table, later days with the second, read as one."""
     path = scratch_path(spark, "versions")
-    good = events.accepted(_typed(spark, folder))
+    good = _good(spark, folder)
     columns = [c for c in EVENT_SCHEMA_V1.names if c in good.columns]
     old = good.where(F.col("event_date") < F.lit(V2_SINCE)).select(*columns)
     new = good.where(F.col("event_date") >= F.lit(V2_SINCE)).select(
@@ -230,7 +246,7 @@ def schema_evolution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _agent_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return events.accepted(_typed(spark, folder)).select("seq", "event_date", "user_agent")
+    return _good(spark, folder, "seq", "event_date", "user_agent").drop("reason")
 
 
 @query
@@ -243,7 +259,7 @@ def ua_classify(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def ua_increment(spark: SparkSession, folder: str) -> DataFrame:
     """The same dimension, grown in two steps, the second for agents not seen in the first."""
-    rows = materialise(_agent_rows(spark, folder), "agent_rows")
+    rows = _agent_rows(spark, folder)
     rules = agent_rules.default_rules(spark)
     path = scratch_path(spark, "agent_dim")
     agents.extend_dimension(rows.where(F.col("event_date") < F.lit(V2_SINCE)), rules, path, 0)
@@ -253,7 +269,7 @@ def ua_increment(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def ua_join(spark: SparkSession, folder: str) -> DataFrame:
     """Events per browser and device type, by the join for dimensions too large to broadcast."""
-    rows = materialise(_agent_rows(spark, folder), "agent_rows")
+    rows = _agent_rows(spark, folder)
     found = agents.classify_agents(
         agents.distinct_agents(rows), agent_rules.default_rules(spark)
     )
@@ -267,7 +283,7 @@ def ua_join(spark: SparkSession, folder: str) -> DataFrame:
 def geo_range(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every address by ranges, the narrowest that holds it."""
     lines = beacons.parse_lines(inputs.beacon_lines(spark, folder))
-    rows = lines.select("seq", F.col("client_ip").alias("lookup_ip"))
+    rows = materialise(lines.select("seq", F.col("client_ip").alias("lookup_ip")), "addresses")
     found = places.locate(places.distinct_addresses(rows), _ranges(spark, folder))
     dim = materialise(found, "places")
     joined = lookups.lookup_join(rows, dim, "lookup_ip")
@@ -282,8 +298,7 @@ def geo_range(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def geo_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Place by headers, or by address where both header values are empty."""
-    rows = _typed(spark, folder).select("seq", "header_country", "header_city", "lookup_ip")
-    rows = materialise(rows, "geo_rows")
+    rows = _typed(spark, folder, "seq", "header_country", "header_city", "lookup_ip")
     found = places.locate(places.distinct_addresses(rows), _ranges(spark, folder))
     joined = lookups.lookup_join(rows, materialise(found, "places"), "lookup_ip")
     country, city = places.fallback_place()
@@ -297,7 +312,7 @@ def geo_fallback(spark: SparkSession, folder: str) -> DataFrame:
 def host_registry(spark: SparkSession, folder: str) -> DataFrame:
     """Hostname log written and read back, current row per hostname."""
     path = scratch_path(spark, "hostnames")
-    tables.append_log(latest.hostnames_seen(_typed(spark, folder)), path)
+    tables.append_log(latest.hostnames_seen(_typed_once(spark, folder)), path)
     log = tables.read_log(spark, path, HOSTNAME_SCHEMA)
     return plain(latest.hostname_registry(log))
 
