@@ -124,7 +124,11 @@ def new_agents(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def extend_dimension(
-    rows: DataFrame, rules: DataFrame, path: str, batch_id: int | None = None
+    rows: DataFrame,
+    rules: DataFrame,
+    path: str,
+    batch_id: int | None = None,
+    written: list[str] | None = None,
 ) -> DataFrame:
     """Classify the agents that the stored dimension lacks, add them, and return the part in use.
 
@@ -134,7 +138,7 @@ def extend_dimension(
     fresh = new_agents(rows, read_dimension(spark, path))
     append_log(classify_agents(fresh, rules).select(*AGENT_SCHEMA.names), path, batch_id)
     known = read_dimension(spark, path)
-    return materialise(distinct_agents(rows).join(known, "user_agent"), "agents")
+    return materialise(distinct_agents(rows).join(known, "user_agent"), "agents", written)
 
 
 def with_agent_defaults(rows: DataFrame) -> DataFrame:

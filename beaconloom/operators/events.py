@@ -12,7 +12,7 @@ from beaconloom.functions import dates, numbers, texts, urls
 from beaconloom.operators import agents, places
 from beaconloom.operators.lookups import lookup_join
 from beaconloom.schema import DELTAS, EVENT_COLUMNS, EVENT_NAMES, JSON_NUMBER_KEYS
-from beaconloom.session import materialise
+from beaconloom.session import materialise, remove
 
 
 def _accessor(beacons: DataFrame):
@@ -131,6 +131,11 @@ class Ingested:
     typed: DataFrame
     events: DataFrame
     rejects: DataFrame
+    scratch: list[str]
+
+    def release(self) -> None:
+        """Delete the intermediate tables, once the events and rejects are stored."""
+        remove(self.typed.sparkSession, self.scratch)
 
 
 def ingest(
@@ -147,17 +152,19 @@ def ingest(
     scans of one column of it, and only distinct keys are classified and located.  With an
     ``agent_table`` only agents that no earlier run has classified are, and they are added to it.
     """
-    typed = materialise(type_beacons(beacons), "typed")
+    scratch: list[str] = []
+    typed = materialise(type_beacons(beacons), "typed", scratch)
     good = accepted(typed)
     if agent_table is None:
         found = agents.classify_agents(agents.distinct_agents(good), rules)
-        agent_dim = materialise(found, "agents")
+        agent_dim = materialise(found, "agents", scratch)
     else:
-        agent_dim = agents.extend_dimension(good, rules, agent_table, batch_id)
+        agent_dim = agents.extend_dimension(good, rules, agent_table, batch_id, scratch)
     place_dim = None
     if ranges is not None:
-        place_dim = materialise(places.locate(places.distinct_addresses(good), ranges), "places")
-    return Ingested(typed, enrich(typed, agent_dim, place_dim, keep), rejects(typed))
+        found = places.locate(places.distinct_addresses(good), ranges)
+        place_dim = materialise(found, "places", scratch)
+    return Ingested(typed, enrich(typed, agent_dim, place_dim, keep), rejects(typed), scratch)
 
 
 def count_where(events: DataFrame, predicate: str | Column = "true") -> DataFrame:

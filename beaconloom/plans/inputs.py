@@ -138,7 +138,7 @@ def spread(df: DataFrame) -> DataFrame:
 def visits(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the URL of their page; pages are assigned in turn."""
     events = spread(table(spark, folder, "events"))
-    pages = table(spark, folder, "pages").select("page_id", "url")
+    pages = spread(table(spark, folder, "pages").select("page_id", "url"))
     count = pages.count()
     return events.withColumn("page_id", F.col("event_id") % F.lit(count)).join(pages, "page_id")
 

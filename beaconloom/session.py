@@ -60,12 +60,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/beaconloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage so that a lost executor replays a columnar read, not the parse, and lets later
-    steps read only the columns they need.
+    steps read only the columns they need.  The path is added to ``written``, if given, for
+    ``remove``; otherwise the table stays until the folder is cleaned.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if written is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)

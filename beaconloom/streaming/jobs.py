@@ -84,6 +84,7 @@ def start_events(
         done = events.ingest(lines, rules, ranges, agents_path, batch_id)
         write_events(done.events, events_path, batch_id)
         append_log(done.rejects, rejects_path, batch_id)
+        done.release()
 
     return _start(stream, each, checkpoint, interval, drain)
 

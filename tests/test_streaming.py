@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from beaconloom.operators import events, latest, tables
 from beaconloom.plans import inputs
 from beaconloom.schema import EVENT_NAMES, HOSTNAME_SCHEMA
+from beaconloom.session import shared_folder
 from beaconloom.sources import archives as files
 from beaconloom.sources import beacons
 from beaconloom.streaming import jobs
@@ -38,7 +39,10 @@ def test_events_equal_batch_over_two_drains(spark, rules, tmp_path):
         ).awaitTermination()
 
     drop(folder, "1.json", FIRST, 1_700_000_000)
+    os.makedirs(f"{shared_folder(spark)}/beaconloom", exist_ok=True)
+    before = os.listdir(f"{shared_folder(spark)}/beaconloom")
     drain()
+    assert os.listdir(f"{shared_folder(spark)}/beaconloom") == before  # no scratch left behind
     drop(folder, "2.json", SECOND, 1_700_000_100)
     drain()
     drain()  # nothing new
