@@ -219,3 +219,60 @@ def _search_udf(bounds: list[int]):
         return pd.Series(out)
 
     return block
+
+
+def bit_votes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each group of rows, how often each bit is set.
+
+    ``hashes`` is (rows, words) of 64 bits, ``first`` where each group begins, with one more entry; the result is
+    (groups, 64 * words), bit 0 of word 0 first.  Rows are unpacked in bounded blocks.
+    """
+    width = hashes.shape[1] * 64
+    out = np.zeros((len(first) - 1, width), np.int64)
+    full = np.flatnonzero(np.diff(first))
+    begin = first[full]
+    raw = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
+    for low in range(0, len(hashes), 1 << 16):
+        high = min(len(hashes), low + (1 << 16))
+        bits = np.unpackbits(raw[low:high], axis=1, bitorder="little")
+        a = int(np.searchsorted(begin, low, "right")) - 1
+        b = int(np.searchsorted(begin, high, "left"))
+        cuts = np.maximum(begin[a:b], low) - low
+        # runs of at most 255 rows are added as bytes, which is many times faster
+        fine = np.unique(np.concatenate([cuts, np.arange(0, high - low, 255)]))
+        sums = np.add.reduceat(bits, fine, axis=0, dtype=np.uint8).astype(np.int64)
+        out[full[a:b]] += np.add.reduceat(sums, np.searchsorted(fine, cuts), axis=0)
+    return out
+
+
+def packed_bits(bits: np.ndarray) -> np.ndarray:
+    """(rows, 64 * words) of truth values as (rows, words) of 64 bits."""
+    packed = np.packbits(bits, axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64)
+
+
+def in_order(docs: DataFrame, columns: list[str], text: str = "text", halo: bool = False) -> DataFrame:
+    """Rows in ascending doc_id, dealt in consecutive blocks of about ``BLOCK_BYTES`` of text to as many partitions.
+
+    The columns are ``block`` and ``columns``; with ``halo`` also ``ahead``: the last row of each block is then, with that
+    flag, the first row of the next block that has rows, and after the last block the first row of all.  Rows without an
+    id come first.  Rows with the same id are in the order of their text's hash.
+    """
+    blocks = pieces(text_volume(docs, text), BLOCK_BYTES)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.select(key.alias("_key"), *columns)
+    bounds = block_bounds(keyed.select("_key"), "_key", blocks)
+    rows = keyed.withColumn("block", block_of("_key", bounds)).withColumn("ahead", F.lit(False))
+    if halo:
+        starts = keyed.select("_key").withColumn("block", block_of("_key", bounds)).groupBy("block").agg(F.min("_key").alias("at"))
+        found = sorted((r["block"], r["at"]) for r in starts.collect())  # a row for each block
+        if found:
+            before = [b for b, _ in found[-1:] + found[:-1]]
+            first = docs.sparkSession.createDataFrame(
+                [(at, b) for (_, at), b in zip(found, before, strict=True)], "_key long, block int"
+            )
+            copies = keyed.join(F.broadcast(first), "_key").select("_key", *columns, "block", F.lit(True).alias("ahead"))
+            rows = rows.unionByName(copies)
+    order = ["block", "ahead", "_key", F.xxhash64(text)]
+    placed = rows.repartitionById(len(bounds) + 1, F.col("block")).sortWithinPartitions(*order)
+    return placed.select("block", *columns, *(["ahead"] if halo else []))

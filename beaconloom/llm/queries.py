@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconloom.llm import language, token_counts, toxicity
+from beaconloom.llm import fingerprints, language, near_duplicates, token_counts, toxicity
 from beaconloom.llm.common import ship, table
+from beaconloom.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,12 +25,23 @@ def query(function: Query) -> Query:
     return shipped
 
 
+@query
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    compared = fingerprints.compare_with_edits(table(spark, folder, "documents"))
+    return fingerprints.with_neighbours(materialise(compared, "compared"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, folder, "labels")))
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"))
