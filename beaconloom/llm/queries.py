@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconloom.llm import fingerprints, language, near_duplicates, token_counts, toxicity
+from beaconloom.llm import fingerprints, language, near_duplicates, packing, token_counts, token_files, toxicity
 from beaconloom.llm.common import ship, table
-from beaconloom.session import materialise
+from beaconloom.session import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,11 +37,23 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, folder, "labels")))
 
 
+@query
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), path, "word_bpe_49k.json", end=2)
+    return token_files.document_digests(token_files.read_token_files(spark, path))
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"))
