@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from beaconloom.llm import fingerprints, language, near_duplicates, packing, token_counts, token_files, toxicity
+from beaconloom.llm import fingerprints, language, near_duplicates, neighbours, ngram_scores, packing, token_counts, token_files, toxicity
 from beaconloom.llm.common import ship, table
 from beaconloom.session import materialise, scratch_path
 
@@ -63,3 +64,59 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.identify(docs, language.labelled_sample(docs))
+
+
+@query
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.Index(vectors).search(vectors.where(F.col("vec_id") % neighbours.QUERY_EVERY == 0))
+
+
+@query
+def op8_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = ngram_scores.score_documents(table(spark, folder, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
+
+
+ORACLES["op8_ngram_scores"] = """
+WITH words AS (
+    SELECT doc_id, w, i FROM (
+        SELECT doc_id, unnest(parts) AS w, unnest(range(len(parts))) AS i
+        FROM (
+            SELECT doc_id, string_split_regex(
+                regexp_replace(coalesce(text, ''), '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g'), '[ \\t\\n\\v\\f\\r]+'
+            ) AS parts
+            FROM documents
+        )
+    ) WHERE w <> ''
+),
+grams AS (
+    SELECT doc_id, i, w AS c, lag(w) OVER d AS b, lag(w, 2) OVER d AS a FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS n FROM words),
+own1 AS (SELECT doc_id, c, count(*) AS n FROM grams GROUP BY ALL),
+own2 AS (SELECT doc_id, b, c, count(*) AS n FROM grams WHERE b IS NOT NULL GROUP BY ALL),
+own3 AS (SELECT doc_id, a, b, c, count(*) AS n FROM grams WHERE a IS NOT NULL GROUP BY ALL),
+left1 AS (SELECT doc_id, c, sum(n) OVER (PARTITION BY c) - n AS n FROM own1),
+left2 AS (SELECT doc_id, b, c, sum(n) OVER (PARTITION BY b, c) - n AS n FROM own2),
+left3 AS (SELECT doc_id, a, b, c, sum(n) OVER (PARTITION BY a, b, c) - n AS n FROM own3),
+scored AS (
+    SELECT g.doc_id,
+        CASE
+            WHEN c3.n > 0 THEN ln(c3.n) - ln(c2ab.n)
+            WHEN c2.n > 0 THEN (CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END) + ln(c2.n) - ln(c1b.n)
+            ELSE (CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN g.b IS NULL THEN 0 ELSE ln(0.4) END)
+                + ln(greatest(c1.n, 0.5)) - ln(greatest(total.n - sizes.n, 1))
+        END AS s
+    FROM grams g CROSS JOIN total JOIN sizes USING (doc_id)
+    JOIN left1 c1 ON c1.doc_id = g.doc_id AND c1.c = g.c
+    LEFT JOIN left1 c1b ON c1b.doc_id = g.doc_id AND c1b.c = g.b
+    LEFT JOIN left2 c2 ON c2.doc_id = g.doc_id AND c2.b = g.b AND c2.c = g.c
+    LEFT JOIN left2 c2ab ON c2ab.doc_id = g.doc_id AND c2ab.b = g.a AND c2ab.c = g.b
+    LEFT JOIN left3 c3 ON c3.doc_id = g.doc_id AND c3.a = g.a AND c3.b = g.b AND c3.c = g.c
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_words, round(coalesce(s.s, 0), 6) AS log_score
+FROM documents d LEFT JOIN sizes n USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id) s USING (doc_id)
+"""
