@@ -155,9 +155,13 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
     """
     may = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (
-        may.select("lang", "doc_id").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_ROWS)
+    counts = may.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
+    few = (  # some rows more than are needed of each language, by a second hash, so that no sort sees many
+        may.select("lang", "doc_id")
+        .join(F.broadcast(counts), "lang")
+        .where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_n")) < 3 * SAMPLE_ROWS)
     )
+    picked = few.select("lang", "doc_id", F.row_number().over(first).alias("nth")).where(F.col("nth") <= SAMPLE_ROWS)
     texts = may.join(F.broadcast(picked), ["lang", "doc_id"]).select(
         "lang", "nth", F.substring("text", 1, ROW_BYTES).alias("text")
     )

@@ -165,10 +165,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
     A document labelled twice is toxic if one label says so.  Its last column tells the part that fits the curve.
     """
-    picked = (
+    usable = (
         labels.where(~held_out() & F.col("toxic").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("label"))
+    )
+    picked = (
+        usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(max(usable.count(), 1))) < 2 * rows)  # few to sort
         .orderBy(F.xxhash64("doc_id"))
         .limit(rows)
         .withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0)
