@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconloom.llm import fingerprints, language, near_duplicates, neighbours, ngram_scores, packing, token_counts, token_files, toxicity
+from beaconloom.llm import fingerprints, language, near_duplicates, neighbours, ngram_scores, packing, piece_codec, token_counts, token_files, toxicity
 from beaconloom.llm.common import ship, table
 from beaconloom.session import materialise, scratch_path
 
@@ -50,6 +50,19 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    decoded = piece_codec.decode(piece_codec.encode(docs))
+    return decoded.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))

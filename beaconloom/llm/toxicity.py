@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -287,8 +288,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_column(docs: DataFrame, model: Model) -> Column:
     """The score as a column of ``docs``, for filters that keep all other columns as they are."""
-    import pandas as pd
-
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
