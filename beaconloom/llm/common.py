@@ -231,7 +231,7 @@ def bit_votes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros((len(first) - 1, width), np.int64)
     full = np.flatnonzero(np.diff(first))
     begin = first[full]
-    raw = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
+    raw = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), width // 8)
     for low in range(0, len(hashes), 1 << 16):
         high = min(len(hashes), low + (1 << 16))
         bits = np.unpackbits(raw[low:high], axis=1, bitorder="little")
@@ -248,7 +248,7 @@ def bit_votes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def packed_bits(bits: np.ndarray) -> np.ndarray:
     """(rows, 64 * words) of truth values as (rows, words) of 64 bits."""
     packed = np.packbits(bits, axis=1, bitorder="little")
-    return np.ascontiguousarray(packed).view(np.uint64)
+    return np.ascontiguousarray(packed).view(np.uint64).reshape(len(bits), -1) if len(bits) else np.empty((0, bits.shape[1] // 64), np.uint64)
 
 
 def in_order(docs: DataFrame, columns: list[str], text: str = "text", halo: bool = False) -> DataFrame:
