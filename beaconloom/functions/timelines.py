@@ -21,14 +21,19 @@ TOKENS = {
     "1": rf"(?s){LEAD}(?:(\.[^.]*\.)|([^,]*,|[^,]+\z)|\z)",
     "2": rf"(?s){LEAD}(?:(\.[^.]*\.)|(..?)|\z)",
 }
-# Twelve base-36 digits always fit 64 bits; longer numbers are malformed.
-BASE36 = r"^[0-9A-Za-z]{1,12}\z"
+# Twelve base-36 digits always fit 64 signed bits, thirteen up to the largest number; longer ones are malformed.
+BASE36 = r"^0*[0-9A-Za-z]{1,12}\z"
+LONG_BASE36 = r"^0*[0-9A-Za-z]{13}\z"
+LARGEST_BASE36 = "1y2p0ij32e8e7"
+# Timelines of more buckets are not made an array.
+MAX_ARRAY = 1 << 20
 
 RUN = "array<struct<value:bigint,times:bigint>>"
 
 
 def _base36(text: Column) -> Column:
-    return F.when(text.rlike(BASE36), F.conv(text, 36, 10).cast("bigint")).when(
+    fits = text.rlike(LONG_BASE36) & (F.lower(F.substr(text, F.lit(-13), F.lit(13))) <= LARGEST_BASE36)
+    return F.when(text.rlike(BASE36) | fits, F.conv(text, 36, 10).cast("bigint")).when(
         text == "", F.lit(0).cast("bigint")
     )
 
@@ -88,11 +93,20 @@ def decode_runs(text: Column) -> Column:
     return F.get(checked, F.lit(0))
 
 
+def length(runs: Column) -> Column:
+    """Buckets of a timeline; the largest 64-bit number if there are more."""
+    most = F.lit((1 << 63) - 1)
+    return F.aggregate(
+        runs, F.lit(0).cast("bigint"), lambda sum_, r: F.coalesce(F.try_add(sum_, r["times"]), most)
+    )
+
+
 def expand_runs(runs: Column) -> Column:
-    """Runs to the plain array of numbers.  For long timelines explode the runs instead."""
-    return F.flatten(
+    """Runs to the plain array of numbers; NULL beyond ``MAX_ARRAY``, where the runs are to be exploded instead."""
+    numbers = F.flatten(
         F.transform(runs, lambda r: F.array_repeat(r["value"], r["times"].cast("int")))
     )
+    return F.when(length(runs) <= MAX_ARRAY, numbers)
 
 
 def decode(text: Column) -> Column:

@@ -109,9 +109,14 @@ def classify_agents(agents: DataFrame, rules: DataFrame, tasks: int | None = Non
 
 
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:
-    """The stored dimension, or no rows before the first batch."""
+    """The stored dimension, one row per user agent, or no rows before the first batch.
+
+    Two writers that both saw an agent as new have both stored it.
+    """
     try:
-        return read_log(spark, path, AGENT_SCHEMA)
+        stored = read_log(spark, path, AGENT_SCHEMA)
+        one = stored.groupBy("user_agent").agg(F.min(F.struct(*AGENT_FACTS)).alias("facts"))
+        return one.select("user_agent", "facts.*")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -127,7 +132,7 @@ def extend_dimension(
     rows: DataFrame,
     rules: DataFrame,
     path: str,
-    batch_id: int | None = None,
+    batch: str | None = None,
     written: list[str] | None = None,
 ) -> DataFrame:
     """Classify the agents that the stored dimension lacks, add them, and return the part in use.
@@ -136,7 +141,7 @@ def extend_dimension(
     """
     spark = rows.sparkSession
     fresh = new_agents(rows, read_dimension(spark, path))
-    append_log(classify_agents(fresh, rules).select(*AGENT_SCHEMA.names), path, batch_id)
+    append_log(classify_agents(fresh, rules).select(*AGENT_SCHEMA.names), path, batch)
     known = read_dimension(spark, path)
     return materialise(distinct_agents(rows).join(known, "user_agent"), "agents", written)
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from beaconloom.functions import maps, texts, urls
 from beaconloom.operators.tables import filter_once, overwrite_partitions
+from beaconloom.session import materialise, remove
+from beaconloom.sources import archives as archive_files
 
 HOUR_KEYS = ["host", "day", "hour"]
 LINES_PER_BLOCK = 1_000_000
+TASK_BYTES = 128 << 20
 
 # Codec names; any other name means no compression.
 CODECS = {"NONE": "none", "GZIP": "gzip", "Zstandard": "zstd"}
@@ -47,13 +50,13 @@ def archive_lines(beacons: DataFrame) -> DataFrame:
 
 
 def _in_ranges(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Split the sorted lines into ranges of ``keys``, one task each.
+    """Split the sorted lines into ranges of ``keys``, one task each, of about ``TASK_BYTES``.
 
-    The number of tasks is fixed, not left to the data size: small hosts mean many small files, and
-    it is opening files that takes the time.
+    Finding the ranges takes a second look at the rows, so ``lines`` should be a written table.
     """
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lines.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    size = lines.agg(F.sum(F.octet_length("value"))).head()[0] or 0
+    least = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartitionByRange(max(least, -(-size // TASK_BYTES)), *keys).sortWithinPartitions(*keys)
 
 
 def write_hours(lines: DataFrame, root: str, batch: str) -> None:
@@ -64,16 +67,18 @@ def write_hours(lines: DataFrame, root: str, batch: str) -> None:
     replaces it.
     """
     keys = ["host", "day", "hour", "seq"]
-    ordered = _in_ranges(lines, keys)
+    written: list[str] = []
+    ordered = _in_ranges(materialise(lines, "lines", written), keys)
     batches = ordered.select(
         "value", "host", texts.day_name(F.col("day")).alias("day"), "hour", F.lit(batch).alias("batch")
     )
     overwrite_partitions(batches, root, ["host", "day", "hour", "batch"], "text")
+    remove(lines.sparkSession, written)
 
 
-def lines_of_day(lines: DataFrame, day: date) -> DataFrame:
-    """Lines of one day, all hosts; prunes the other days' partitions."""
-    return lines.where(F.col("day") == F.lit(day))
+def lines_of_day(spark: SparkSession, root: str, day: date) -> DataFrame | None:
+    """Lines of one day's hour files, all hosts; None if there are none.  Other days are not listed."""
+    return archive_files.read_hour_files_of_day(spark, root, f"{day.year}-{day.month}-{day.day}")
 
 
 def hour_ranges(lines: DataFrame) -> DataFrame:
@@ -146,6 +151,18 @@ def write_hour_ranges(ranges: DataFrame, root: str) -> None:
     overwrite_partitions(days, root, ["host", "day"], "text")
 
 
+def compact_day(
+    spark: SparkSession, root: str, day: date, day_root: str, meta_root: str, compression: str = "NONE"
+) -> None:
+    """The daily job: the hour files of one day below ``root`` to day files and line ranges.
+
+    Run again it replaces what it wrote for that day.
+    """
+    lines = lines_of_day(spark, root, day)
+    if lines is not None:
+        compact(lines, day_root, meta_root, compression)
+
+
 def compact(
     lines: DataFrame, day_root: str, meta_root: str, compression: str = "NONE", order=("file", "block", "seq")
 ) -> None:
@@ -153,5 +170,8 @@ def compact(
 
     Run again after a failure it replaces what it wrote.  Hour files may go once it has returned.
     """
+    written: list[str] = []
+    lines = materialise(lines, "lines", written)  # for sizes, ranges, files and counts
     write_day_files(lines, day_root, compression, order)
     write_hour_ranges(hour_ranges(lines), meta_root)
+    remove(lines.sparkSession, written)

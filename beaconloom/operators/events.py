@@ -68,6 +68,12 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
             continue
         columns.append(column.alias(name))
 
+    # A number that its column cannot hold must not become NULL unseen.  Most columns have a value.
+    left = [
+        F.when(F.col(name).isNull(), text(key)) for name, _, rule, key in EVENT_COLUMNS if rule == "whole"
+    ]
+    misfit = F.concat_ws("\x01", *left).rlike(rf"(?:^|\x01){numbers.DECIMAL[1:-2]}(?:\x01|\z)")
+
     numbers_fit = numbers.are_json_numbers_or_empty([value(key) for key in JSON_NUMBER_KEYS])
     reason = (
         F.when(F.col("unreadable").isNotNull(), F.col("unreadable"))
@@ -92,9 +98,12 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
             F.when((country == "") & (city == ""), texts.not_empty(F.col("client_ip"))).alias(
                 "lookup_ip"
             ),
-            reason.alias("reason"),
+            reason.alias("_reason"),
             "raw",
+            "params",
         )
+        .withColumn("reason", F.coalesce("_reason", F.when(misfit, "bad_number")))
+        .drop("_reason", "params")
         .withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
     )
 
@@ -143,7 +152,7 @@ def ingest(
     rules: DataFrame,
     ranges: DataFrame | None = None,
     agent_table: str | None = None,
-    batch_id: int | None = None,
+    batch: str | None = None,
     keep: tuple[str, ...] = (),
 ) -> Ingested:
     """Beacons to event rows.
@@ -159,7 +168,7 @@ def ingest(
         found = agents.classify_agents(agents.distinct_agents(good), rules)
         agent_dim = materialise(found, "agents", scratch)
     else:
-        agent_dim = agents.extend_dimension(good, rules, agent_table, batch_id, scratch)
+        agent_dim = agents.extend_dimension(good, rules, agent_table, batch, scratch)
     place_dim = None
     if ranges is not None:
         found = places.locate(places.distinct_addresses(good), ranges)
@@ -167,6 +176,13 @@ def ingest(
     return Ingested(typed, enrich(typed, agent_dim, place_dim, keep), rejects(typed), scratch)
 
 
+def count_each(events: DataFrame, predicates: dict[str, str]) -> DataFrame:
+    """Rows that satisfy each of several named predicates (predicate, n), in one pass."""
+    counts = [F.count_if(F.expr(p)).alias(f"_{i}") for i, p in enumerate(predicates.values())]
+    pairs = [F.struct(F.lit(name).alias("predicate"), F.col(f"_{i}").alias("n")) for i, name in enumerate(predicates)]
+    return events.agg(*counts).select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
+
+
 def count_where(events: DataFrame, predicate: str | Column = "true") -> DataFrame:
     """Number of rows that satisfy a predicate, as a one-row DataFrame."""
     condition = F.expr(predicate) if isinstance(predicate, str) else predicate

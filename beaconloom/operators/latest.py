@@ -20,11 +20,12 @@ def latest(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
 def hostnames_seen(typed: DataFrame) -> DataFrame:
     """Last creation time by arrival, per hostname, as rows for the hostname log.
 
-    Rows whose only fault is a number or a time count too.  A host whose last time cannot be read
-    gets no row.  The condition sits inside the aggregate: as a filter it would be pushed below the
+    Rows whose only fault is a number count too; those whose time cannot be read are passed over, so
+    that a host keeps the last time that can.  The condition sits inside the aggregate: as a filter it would be pushed below the
     parse and have every beacon parsed twice.  With a numeric ``seq`` all buffers are of fixed width.
     """
-    usable = F.col("reason").isNull() | F.col("reason").isin("bad_number", "bad_created_at")
+    usable = F.col("reason").isNull() | (F.col("reason") == "bad_number")
+    usable = usable & F.col("created_at").isNotNull()
     order = F.when(usable, F.col("seq"))
     return (
         typed.groupBy("hostname")

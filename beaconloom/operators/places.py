@@ -49,7 +49,19 @@ def bucketed_ranges(ranges: DataFrame) -> DataFrame:
     """One row per range and bucket.  An IPv4 range touches at most 4,096 buckets."""
     is_v4 = F.col("start_key").startswith(MAPPED)
     buckets = F.when(is_v4, _buckets(*V4_DIGITS)).otherwise(_buckets(*V6_DIGITS))
-    return ranges.select("*", F.explode(buckets).alias("bucket"))
+    return ranges.select("*", _width().alias("width"), F.explode(buckets).alias("bucket"))
+
+
+def _width() -> Column:
+    """End less start as two 64-bit halves, the carry taken from the upper one; pairs compare as numbers do."""
+    half = lambda key, at: F.conv(F.substring(key, at, 16), 16, 10).cast("decimal(20,0)")
+    upper = half("end_key", 1) - half("start_key", 1)
+    lower = half("end_key", 17) - half("start_key", 17)
+    carry = lower < 0
+    return F.struct(
+        F.when(carry, upper - 1).otherwise(upper).alias("upper"),
+        F.when(carry, lower + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(lower).alias("lower"),
+    )
 
 
 def bucketed_addresses(addresses: DataFrame) -> DataFrame:
@@ -72,9 +84,10 @@ def distinct_addresses(rows: DataFrame) -> DataFrame:
 def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Place of each distinct address (``lookup_ip``, ``n``); the narrowest range that holds it wins.
 
-    A plain range condition would be planned as a nested loop; sharing a bucket is an equality, so
-    this is a hash or sort-merge join with the range condition as residual.  Addresses are distinct
-    and IPv4 buckets hold 65,536 of them at most, so a busy address or network is no hot key.
+    Ranges may overlap in any way.  Of equally narrow ones the later wins, then the smaller country and
+    city.  A plain range condition would be planned as a nested loop; sharing a bucket is an equality, so
+    this is a hash or sort-merge join with the range condition as residual.  Addresses are distinct, so
+    a busy address is no hot key; a coarse bucket can hold up to 2**24 IPv4 addresses.
     Addresses in no range, or that are none, are left out.
     """
     keyed = addresses.select("lookup_ip", "n", ip_key(F.col("lookup_ip")).alias("ip_key"))
@@ -83,17 +96,10 @@ def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     inside = points.join(bucketed_ranges(ranges), "bucket").where(
         F.col("ip_key").between(F.col("start_key"), F.col("end_key"))
     )
-    # Ranges that hold the same address nest, so the one that starts last is the narrowest.
+    # The later start is the better one: compare the complement of its digits.
+    later = F.translate("start_key", "0123456789abcdef", "fedcba9876543210").alias("later")
     best = inside.groupBy("lookup_ip", "n").agg(
-        F.max(
-            F.struct(
-                "start_key",
-                # the earlier end is the better one: compare the complement of its digits
-                F.translate("end_key", "0123456789abcdef", "fedcba9876543210").alias("narrow"),
-                "country",
-                "city",
-            )
-        ).alias("best")
+        F.min(F.struct("width", later, "country", "city")).alias("best")
     )
     return best.select(
         "lookup_ip",

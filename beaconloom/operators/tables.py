@@ -30,16 +30,17 @@ def laid_out(events: DataFrame) -> DataFrame:
     )
 
 
-def write_events(events: DataFrame, path: str, batch_id: int | None = None) -> None:
+def write_events(events: DataFrame, path: str, batch: str | None = None) -> None:
     """Append to the event table, one directory per day.
 
-    With a ``batch_id`` the batch gets directories of its own and a replay replaces just these.
+    With a ``batch``, a name that no other batch of any stream has, it gets directories of its own and
+    a replay replaces just these.
     """
-    if batch_id is None:
+    if batch is None:
         laid_out(events).write.partitionBy("event_date").mode("append").parquet(path)
         return
-    batch = laid_out(events.withColumn("batch_id", F.lit(batch_id)))
-    overwrite_partitions(batch, path, ["event_date", "batch_id"])
+    named = laid_out(events.withColumn("batch_id", F.lit(batch)))
+    overwrite_partitions(named, path, ["event_date", "batch_id"])
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", **options):
@@ -63,12 +64,12 @@ def downgrade_events(events: DataFrame) -> DataFrame:
     return events.drop(*ADDED_IN_V2)
 
 
-def append_log(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append to a log table (hostnames, owners, rejects); replay-safe with a ``batch_id``."""
-    if batch_id is None:
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append to a log table (hostnames, owners, rejects); replay-safe with the name of a ``batch``."""
+    if batch is None:
         rows.write.mode("append").parquet(path)
     else:
-        overwrite_partitions(rows.withColumn("batch_id", F.lit(batch_id)), path, ["batch_id"])
+        overwrite_partitions(rows.withColumn("batch_id", F.lit(batch)), path, ["batch_id"])
 
 
 def read_log(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconloom.functions.timelines import decode_runs
+from beaconloom.functions.timelines import decode_runs, length
 
-# A timeline that claims more buckets than this is not written out row by row.
-MAX_BUCKETS = 1 << 24
+# Rows that one step writes of a run; and the buckets beyond which a timeline can only be an attack: a
+# client would have to record a bucket each millisecond for 24 days.
+CHUNK = 1 << 16
+MAX_BUCKETS = 1 << 31
 
 
 def with_runs(df: DataFrame, column: str) -> DataFrame:
@@ -27,13 +29,17 @@ def run_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def timeline_stats(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Buckets, sum and largest value per key, from runs: no bucket is ever written out."""
+    """Buckets, sum and largest value per key, from runs: no bucket is ever written out.
+
+    Sums are 38-digit decimals, as a hostile timeline claims more than 64 bits hold; NULL beyond these.
+    """
+    wide = lambda name: F.col(name).cast("decimal(19,0)")
     return (
         run_rows(df, keys)
         .groupBy(*keys)
         .agg(
-            F.sum("times").alias("buckets"),
-            F.sum(F.col("value") * F.col("times")).alias("total"),
+            F.try_sum(wide("times")).alias("buckets"),
+            F.try_sum(wide("value") * wide("times")).alias("total"),
             F.max("value").alias("largest"),
         )
     )
@@ -42,8 +48,9 @@ def timeline_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 def bucket_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per bucket: the keys, ``bucket`` from 0, and ``value``.
 
-    Runs get their start bucket from a running sum within the array; each run then gives its rows.
-    Timelines beyond ``MAX_BUCKETS`` give none: see ``oversized``.
+    Runs get their start bucket from a running sum within the array and are cut into chunks; each chunk
+    then gives its rows, so that memory does not grow with the run.  Timelines beyond ``MAX_BUCKETS`` are
+    refused as a whole: see ``refused``.
     """
     starts = F.transform(
         "runs",
@@ -55,20 +62,19 @@ def bucket_rows(df: DataFrame, keys: list[str]) -> DataFrame:
             ).alias("start"),
         ),
     )
-    fitting = F.when(_length() <= MAX_BUCKETS, starts)
+    fitting = F.when(length(F.col("runs")) <= MAX_BUCKETS, starts)
     runs = df.select(*keys, F.explode_outer(fitting).alias("run")).where("run is not null")
-    buckets = F.sequence(F.col("run.start"), F.col("run.start") + F.col("run.times") - 1)
-    return runs.select(*keys, F.explode(buckets).alias("bucket"), F.col("run.value").alias("value"))
-
-
-def _length():
-    return F.aggregate(
-        "runs",
-        F.lit(0).cast("bigint"),
-        lambda sum_, r: F.coalesce(F.try_add(sum_, r["times"]), F.lit(MAX_BUCKETS + 1)),
+    end = F.col("run.start") + F.col("run.times") - 1
+    chunks = runs.select(
+        *keys, "run", end.alias("end"), F.explode(F.sequence("run.start", end, F.lit(CHUNK).cast("bigint"))).alias("first")
     )
+    buckets = F.sequence("first", F.least(F.col("first") + CHUNK - 1, F.col("end")))
+    return chunks.select(*keys, F.explode(buckets).alias("bucket"), F.col("run.value").alias("value"))
 
 
-def oversized(df: DataFrame) -> DataFrame:
-    """Malformed timelines and those that ``bucket_rows`` leaves out."""
-    return df.where(F.col("runs").isNull() | (_length() > MAX_BUCKETS))
+def refused(df: DataFrame, column: str) -> DataFrame:
+    """Timelines that give no bucket rows though they have text, with the ``reason``."""
+    reason = F.when(F.col("runs").isNull(), "bad_timeline").when(
+        length(F.col("runs")) > MAX_BUCKETS, "endless_timeline"
+    )
+    return df.where(F.col(column).isNotNull()).withColumn("reason", reason).where("reason is not null")

@@ -25,7 +25,7 @@ PARAMETERS: dict[str, str] = {
     "rt.quit": "case when event_type = 'error' then '' end",
     "http_initiator": "case when event_type = 'click' then 'click' end",
     "pid": "lpad(cast(event_id % 100000000 as string), 8, '0')",
-    "v": "'1.737.60'",
+    "v": "'2.14.7'",
     "vis.st": "case when event_type = 'view' then 'visible' else 'hidden' end",
     "nt_protocol": "case when event_id % 3 = 0 then 'h2' else 'http/1.1' end",
     "nt_con_st": f"{TICK} as string)",
@@ -50,11 +50,11 @@ PARAMETERS: dict[str, str] = {
     "mob.dl": "case when event_id % 17 = 2 then 'fast' else cast(value as string) end",
     "mob.rtt": "case when event_id % 7 = 0 then '' else cast(event_id % 500 as string) end",
     "scr.xy": (
-        "case event_id % 4 when 0 then '1536x864' when 1 then '414x896' when 2 then ''"
+        "case event_id % 4 when 0 then '1700x920' when 1 then '390x800' when 2 then ''"
         " else '1x2x3' end"
     ),
-    "scr.bpp": "'24/24'",
-    "scr.orn": "'0/landscape-primary'",
+    "scr.bpp": "'30/30'",
+    "scr.orn": "'90/upright'",
     "cpu.cnc": "cast(user_id % 16 + 1 as string)",
     "dom.res": "case when event_id % 19 = 4 then 'n/a' else cast(event_id % 120 as string) end",
     "dom.doms": "cast(event_id % 9 as string)",
@@ -68,13 +68,13 @@ PARAMETERS: dict[str, str] = {
     "dom.link": "cast(event_id % 20 as string)",
     "dom.link.css": "cast(event_id % 5 as string)",
     "mem.total": "cast(15000000 + event_id as string)",
-    "mem.limit": "'2172649472'",
+    "mem.limit": "'3221225472'",
     "mem.used": "cast(14000000 + event_id as string)",
     "mem.lsln": "'0'",
     "mem.ssln": "cast(event_id % 4 as string)",
     "mem.lssz": "'2'",
-    "ua.vnd": "case when user_id % 4 = 0 then '' else 'Google Inc.' end",
-    "ua.plt": "case when user_id % 5 = 0 then null else 'Win32' end",
+    "ua.vnd": "case when user_id % 4 = 0 then '' else 'Example Maker' end",
+    "ua.plt": "case when user_id % 5 = 0 then null else 'Desk64' end",
     # Parameters that reach no column, as real beacons have them.
     "sv": "'14'",
     "n": "cast(event_id % 11 as string)",
@@ -95,7 +95,7 @@ AGENT = """case user_id % 10
    cast(100 + event_id % 20 as string), '.0.', cast(5000 + user_id as string), '.102 Safari/537.36')
  when 2 then concat('Mozilla/5.0 (iPhone; CPU iPhone OS 13_2_3 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/13.0.',
    cast(event_id % 4 as string), ' Mobile/15E148 Safari/604.1')
- when 3 then 'Mozilla/5.0 (Linux; Android 13; SM-S901B) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/112.0.0.0 Mobile Safari/537.36'
+ when 3 then 'Mozilla/5.0 (Linux; Android 13; Pixel 6a) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/112.0.0.0 Mobile Safari/537.36'
  when 4 then 'Mozilla/5.0 (Linux; Android 12; SM-T870) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/107.0.0.0 Safari/537.36'
  when 5 then concat('Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:', cast(90 + user_id as string), '.0) Gecko/20100101 Firefox/', cast(90 + user_id as string), '.0')
  when 6 then 'Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.example.com/bot.html)'
@@ -129,17 +129,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer splits than cores; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def visits(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the URL of their page; pages are assigned in turn."""
-    events = spread(table(spark, folder, "events"))
-    pages = spread(table(spark, folder, "pages").select("page_id", "url"))
-    count = pages.count()
+    events = table(spark, folder, "events")
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    count = pages.count()  # from the files' footers
     return events.withColumn("page_id", F.col("event_id") % F.lit(count)).join(pages, "page_id")
 
 
@@ -153,7 +147,7 @@ def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("Cf-Ipcity"),
         F.array(F.expr(CITY)),
         F.lit("X-Forwarded-For"),
-        F.array(F.expr(FORWARDED), F.lit("162.158.210.164")),
+        F.array(F.expr(FORWARDED), F.lit("198.51.100.7")),
     )
     fields = [F.expr(sql).alias(key) for key, sql in PARAMETERS.items()]
     return visits(spark, folder).select(
@@ -195,26 +189,24 @@ def form_requests(spark: SparkSession, folder: str) -> DataFrame:
 # Customers own address blocks inside one wide block, with gaps between them.
 RANGE_START = f"({ADDRESS_BASE} + c_custkey * 2048)"
 RANGE_END = f"({ADDRESS_BASE} + c_custkey * 2048 + 900 + c_nationkey * 40)"
-WIDE_END = ADDRESS_BASE + 256 * 65536 - 1
+# Regions own wide blocks, each beginning inside the one before and ending beyond it.
+WIDE_START = f"({ADDRESS_BASE} + r_regionkey * 500000)"
+WIDE_END = f"({ADDRESS_BASE} + r_regionkey * 700000 + 900000)"
 
 
 def address_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """(ip_start, ip_end, country, city) from customers and, as the wide block, one region."""
+    """(ip_start, ip_end, country, city) from customers and, as wide overlapping blocks, from regions."""
     blocks = table(spark, folder, "customer").select(
         F.expr(dotted(RANGE_START)).alias("ip_start"),
         F.expr(dotted(RANGE_END)).alias("ip_end"),
         F.expr("concat('C', cast(c_nationkey % 10 as string))").alias("country"),
         F.col("c_mktsegment").alias("city"),
     )
-    wide = (
-        table(spark, folder, "region")
-        .where("r_name = 'EUROPE'")
-        .select(
-            F.expr(dotted(str(ADDRESS_BASE))).alias("ip_start"),
-            F.expr(dotted(str(WIDE_END))).alias("ip_end"),
-            F.lit("EU").alias("country"),
-            F.lit("").alias("city"),
-        )
+    wide = table(spark, folder, "region").select(
+        F.expr(dotted(WIDE_START)).alias("ip_start"),
+        F.expr(dotted(WIDE_END)).alias("ip_end"),
+        F.col("r_name").alias("country"),
+        F.lit("").alias("city"),
     )
     return blocks.unionByName(wide)
 

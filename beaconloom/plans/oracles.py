@@ -7,7 +7,7 @@ shared with the Spark queries; what is computed from them is written independent
 from __future__ import annotations
 
 from beaconloom.plans import inputs
-from beaconloom.plans.queries import AS_OF, V2_SINCE
+from beaconloom.plans.queries import AS_OF, DAY, V2_SINCE
 from beaconloom.schema import EVENT_COLUMNS
 from beaconloom.sources.agent_rules import DEFAULT_RULES
 
@@ -101,11 +101,11 @@ RANGES = f"""ranges as (
   select {inputs.RANGE_START} as first_ip, {inputs.RANGE_END} as last_ip,
     concat('C', cast(c_nationkey % 10 as varchar)) as country, c_mktsegment as city from customer
   union all
-  select {inputs.ADDRESS_BASE}, {inputs.WIDE_END}, 'EU', '' from region where r_name = 'EUROPE'),
+  select {inputs.WIDE_START}, {inputs.WIDE_END}, r_name, '' from region),
 located as (
   select ip, country, city from (
     select a.ip, r.country, r.city,
-      row_number() over (partition by a.ip order by r.first_ip desc, r.last_ip) as place
+      row_number() over (partition by a.ip order by r.last_ip - r.first_ip, r.first_ip desc) as place
     from (select distinct ip from beacons where ip is not null) a
     join ranges r on a.ip between r.first_ip and r.last_ip)
   where place = 1)"""
@@ -200,8 +200,8 @@ owners as (select * exclude (place) from (
 
 HOSTS = f"""with {TYPED},
 ranked as (select hostname, made, seq, row_number() over (partition by hostname order by seq desc) as place
-  from typed where reason is null or reason in ('bad_number', 'bad_created_at'))
-select hostname, made as updated_at{{}} from ranked where place = 1 and made is not null"""
+  from typed where made is not null and (reason is null or reason = 'bad_number'))
+select hostname, made as updated_at{{}} from ranked where place = 1"""
 
 MOUSE = f"""{BEACONS},
 mouse as (select seq, regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1) as hostname,
@@ -214,9 +214,9 @@ ORACLES: dict[str, str] = {
     "stream_events": f"{EVENTS_CTE}\nselect {EVENT_SELECT}\n{EVENT_FROM}",
     "count_where": f"""with {TYPED}
 select 'all' as predicate, count(*) as n from good
-union all select 'greater', count(*) from good where try_cast("c.cls" as float) > 1.5
-union all select 'equal', count(*) from good where try_cast("et.fid" as bigint) = 10
-union all select 'text', count(*) from good where "mob.etype" = '4g' and "ua.vnd" = 'Google Inc.'
+union all select 'greater', count(*) from good where try_cast("c.cls" as float) > 2.25
+union all select 'equal', count(*) from good where try_cast("et.fid" as bigint) = 24
+union all select 'text', count(*) from good where "mob.etype" = '3g' and "ua.vnd" = 'Example Maker'
 union all select 'null', count(*) from good where "ua.plt" is null or "ua.plt" = ''""",
     "event_kinds": f"with {TYPED} select {KIND} as event_type, count(*) as n from good group by 1",
     "screen_sizes": f"""with {TYPED}
@@ -295,6 +295,7 @@ select host, day, hour, seq, row_number() over (partition by host, day order by
 from lines""",
     "archive_hours": f"with {LINES} select host, day, hour, value from lines",
     "stream_archive": f"with {LINES} select host, day, hour, value from lines",
+    "archive_day": f"with {LINES} select host, day_name as day, value from lines where day = '{DAY}'",
     "archive_days_gzip": f"with {LINES} select host, day_name as day, value from lines",
     "archive_days_zstd": f"with {LINES} select host, day_name as day, value from lines",
     "archive_meta_files": f"""with {HOUR_RANGES}

@@ -7,7 +7,7 @@ types (text for dates and times, 64-bit numbers) so that other engines can be co
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,7 @@ from beaconloom.streaming import jobs
 
 AS_OF = "1998-06-01 12:00:00"
 V2_SINCE = "2024-01-15"
+DAY = date(2024, 1, 15)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,6 +93,11 @@ def _good(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return events.accepted(_typed(spark, folder, *needed))
 
 
+def _good_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed beacons that can be stored, for a single use, not written."""
+    return tables.filter_once(_typed_once(spark, folder), F.col("reason").isNull())
+
+
 def _ranges(spark: SparkSession, folder: str) -> DataFrame:
     return ranges.keyed_ranges(inputs.address_ranges(spark, folder))
 
@@ -119,32 +125,27 @@ def beacon_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def count_where(spark: SparkSession, folder: str) -> DataFrame:
     """Counts under the kinds of predicate that are asked of the event table."""
-    needed = ["cumulative_layout_shift", "first_input_delay", "mob_etype", "ua_vnd", "ua_plt"]
-    good = _good(spark, folder, *needed)
+    good = _good_once(spark, folder)
     predicates = {
         "all": "true",
-        "greater": "cumulative_layout_shift > 1.5",
-        "equal": "first_input_delay = 10",
-        "text": "mob_etype = '4g' and ua_vnd = 'Google Inc.'",
+        "greater": "cumulative_layout_shift > 2.25",
+        "equal": "first_input_delay = 24",
+        "text": "mob_etype = '3g' and ua_vnd = 'Example Maker'",
         "null": "ua_plt is null",
     }
-    counts = [
-        events.count_where(good, predicate).select(F.lit(name).alias("predicate"), "n")
-        for name, predicate in predicates.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return events.count_each(good, predicates)
 
 
 @query
 def event_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Page visits, quits and requests by initiator."""
-    good = _good(spark, folder, "event_type")
+    good = _good_once(spark, folder)
     return good.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query
 def screen_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    good = _good(spark, folder, "screen_width", "screen_height")
+    good = _good_once(spark, folder)
     return plain(good.groupBy("screen_width", "screen_height").agg(F.count("*").alias("n")))
 
 
@@ -159,19 +160,18 @@ def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def timing_delta(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["seq", "connect_duration", "dns_duration", "first_byte_duration"]
-    return plain(_typed(spark, folder, *columns))
+    return plain(_typed_once(spark, folder).select(*columns))
 
 
 @query
 def round_param(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(_typed(spark, folder, "seq", "mob_dl"))
+    return plain(_typed_once(spark, folder).select("seq", "mob_dl"))
 
 
 @query
 def event_days(spark: SparkSession, folder: str) -> DataFrame:
     """Creation time, with the arrival time where it is absent, and the day it falls on."""
-    good = _good(spark, folder, "seq", "created_at", "event_date")
-    return plain(good.drop("reason"))
+    return plain(_good_once(spark, folder).select("seq", "created_at", "event_date"))
 
 
 @query
@@ -360,8 +360,9 @@ def subscriptions_by_id(spark: SparkSession, folder: str) -> DataFrame:
 def subscription_get(spark: SparkSession, folder: str) -> DataFrame:
     """The subscription with a given identifier: here the last one in text order."""
     view = _owner_view(spark, folder)
-    wanted = view.agg(F.max("subscription_id")).head()[0]
-    return plain(subscriptions.subscription(view, wanted))
+    last = F.max_by(F.struct(*view.columns), "subscription_id").alias("last")
+    wanted = view.agg(last).where("last is not null").select("last.*")
+    return plain(subscriptions.subscriptions(wanted).select("subscription_id", "subscription_expire_at", "hostname"))
 
 
 @query
@@ -386,8 +387,9 @@ def archive_meta(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def archive_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Archive lines with their number in the day file."""
-    lines = archives.with_arrival_block(_archive_lines(spark, folder), size=500)
+    """Archive lines with their number in the day file.  They are written once, and then counted and numbered."""
+    written = materialise(_archive_lines(spark, folder), "lines")
+    lines = archives.with_arrival_block(written, size=500)
     return plain(
         archives.number_lines(lines).select("host", "day", "hour", "seq", "line_no", "value")
     )
@@ -409,6 +411,16 @@ def _compacted(spark: SparkSession, folder: str, codec: str) -> tuple[str, str]:
     return day_root, meta_root
 
 
+@query
+def archive_day(spark: SparkSession, folder: str) -> DataFrame:
+    """One day's hour files, the first of a month, compacted by the daily job; its lines in file order by number."""
+    root, days, meta = (scratch_path(spark, name) for name in ("hours", "days", "meta"))
+    archives.write_hours(_archive_lines(spark, folder), root, "000000000000")
+    archives.compact_day(spark, root, DAY, days, meta)
+    lines = archive_files.read_day_files(spark, days)
+    return plain(lines.select("host", "day", "value"))
+
+
 @query
 def archive_days_gzip(spark: SparkSession, folder: str) -> DataFrame:
     """Lines compacted to compressed day files, which are then read back."""
@@ -460,7 +472,8 @@ def _timelines(spark: SparkSession, folder: str) -> DataFrame:
 def timeline_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Length, sum and maximum of mouse timelines per hostname, from runs."""
     runs = timelines.with_runs(_timelines(spark, folder), "mouse")
-    return timelines.timeline_stats(runs, ["hostname"])
+    stats = timelines.timeline_stats(runs, ["hostname"])
+    return stats.withColumns({c: F.col(c).try_cast("bigint") for c in ("buckets", "total")})
 
 
 @query
@@ -483,50 +496,53 @@ def timeline_arrays(spark: SparkSession, folder: str) -> DataFrame:
 # -- streams ----------------------------------------------------------------------------------
 
 
-def _feed(lines: DataFrame, name: str) -> str:
-    folder = scratch_path(lines.sparkSession, name)
-    lines.select("value", "seq", "received_at").write.parquet(folder)
-    return folder
+def _two_feeds(lines: DataFrame, files: int | None = None) -> list[str]:
+    """Every record in one of two feeds; with ``files`` each of so many files."""
+    folders = [scratch_path(lines.sparkSession, "feed") for _ in range(2)]
+    for half, folder in enumerate(folders):
+        part = lines.where(F.col("seq") % 2 == half).select("value", "seq", "received_at")
+        (part.repartition(files) if files else part).write.parquet(folder)
+    return folders
 
 
 @query
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events by stream, drained into the event table and read back."""
-    feed = _feed(inputs.beacon_lines(spark, folder), "feed")
+    """Events by two streams with checkpoints of their own, drained into one event table and read back."""
     out = scratch_path(spark, "stream_events")
-    jobs.start_events(
-        jobs.record_stream(spark, feed),
-        agent_rules.default_rules(spark),
-        f"{out}/events",
-        f"{out}/rejects",
-        f"{out}/agents",
-        f"{out}/checkpoint",
-        ranges=_ranges(spark, folder),
-        drain=True,
-    ).awaitTermination()
+    for half, feed in enumerate(_two_feeds(inputs.beacon_lines(spark, folder))):
+        jobs.start_events(
+            jobs.record_stream(spark, feed),
+            agent_rules.default_rules(spark),
+            f"{out}/events",
+            f"{out}/rejects",
+            f"{out}/agents",
+            f"{out}/checkpoint-{half}",
+            ranges=_ranges(spark, folder),
+            drain=True,
+        ).awaitTermination()
     return plain(tables.read_events(spark, f"{out}/events"))
 
 
 @query
 def stream_hosts(spark: SparkSession, folder: str) -> DataFrame:
-    """Hostname registry by stream."""
-    feed = _feed(inputs.beacon_lines(spark, folder), "feed")
+    """Hostname registry by two streams into one log, each in several batches."""
     out = scratch_path(spark, "stream_hosts")
-    jobs.start_hostnames(
-        jobs.record_stream(spark, feed), f"{out}/log", f"{out}/checkpoint", drain=True
-    ).awaitTermination()
+    for half, feed in enumerate(_two_feeds(inputs.beacon_lines(spark, folder), files=2)):
+        jobs.start_hostnames(
+            jobs.record_stream(spark, feed, files_per_batch=1), f"{out}/log", f"{out}/checkpoint-{half}", drain=True
+        ).awaitTermination()
     log = tables.read_log(spark, f"{out}/log", HOSTNAME_SCHEMA)
     return plain(latest.hostname_registry(log).select("hostname", "updated_at"))
 
 
 @query
 def stream_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """Hour archive by stream, from lines that carry their arrival time."""
+    """Hour archive by two streams, from lines that carry their arrival time."""
     forms = _forms(spark, folder).select("seq", "received_at")
-    feed = _feed(_archive_lines(spark, folder).join(forms, "seq"), "feed")
     out = scratch_path(spark, "stream_archive")
-    jobs.start_archive(
-        jobs.record_stream(spark, feed), f"{out}/hours", f"{out}/checkpoint", drain=True
-    ).awaitTermination()
+    for half, feed in enumerate(_two_feeds(_archive_lines(spark, folder).join(forms, "seq"))):
+        jobs.start_archive(
+            jobs.record_stream(spark, feed), f"{out}/hours", f"{out}/checkpoint-{half}", drain=True
+        ).awaitTermination()
     lines = archive_files.read_hour_files(spark, f"{out}/hours")
     return plain(lines.select("host", "day", "hour", "value"))

@@ -45,6 +45,16 @@ def read_hour_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def read_hour_files_of_day(spark: SparkSession, root: str, day_name: str) -> DataFrame | None:
+    """``read_hour_files`` of the folders of one day (yyyy-M-d) in both layouts; None if there are none."""
+    hadoop, paths = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for pattern in (f"{root}/host=*/day={day_name}", f"{root}/*/{day_name}"):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+        if target.getFileSystem(hadoop).globStatus(target):
+            paths.append(pattern)
+    return read_hour_files(spark, paths) if paths else None
+
+
 def read_day_files(spark: SparkSession, root: str, compression: str = "NONE") -> DataFrame:
     """Lines of compacted day files or of line ranges: value, host, day.
 

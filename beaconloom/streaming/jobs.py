@@ -1,12 +1,15 @@
 """Continuous intake: events, hostname log, hour archives.
 
-All three are ``foreachBatch`` jobs whose output is keyed by the batch id, so a batch that is
-replayed after a failure replaces its own output instead of adding to it.  There is no watermark:
-events are stored under the day of their creation at any age, archive lines under their arrival.
+All three are ``foreachBatch`` jobs whose output is keyed by the stream's own identifier and the batch
+id, so a batch that is replayed after a failure replaces its own output instead of adding to it, and
+a stream with another checkpoint, whose batch ids start at 0 again, replaces nothing.  There is no
+watermark: events are stored under the day of their creation at any age, archive lines under their
+arrival.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +37,16 @@ def line_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
     )
 
 
-def record_stream(spark: SparkSession, folder: str) -> DataFrame:
+def record_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Records of a growing folder of Parquet files that carry their own arrival time and order.
 
     A message queue source has the same three columns: value, timestamp and offset.
     """
     schema = "value string, seq bigint, received_at timestamp"
-    return spark.readStream.schema(schema).parquet(folder)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def arrived(batch: DataFrame) -> DataFrame:
@@ -51,14 +57,26 @@ def arrived(batch: DataFrame) -> DataFrame:
     return batch.select("value", "received_at", place.alias("seq"))
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identifier that Spark keeps in a checkpoint from the stream's first start on."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").head()[0])["id"]
+
+
 def _start(
     stream: DataFrame,
-    each: Callable[[DataFrame, int], None],
+    each: Callable[[DataFrame, str], None],
     checkpoint: str,
     interval: str,
     drain: bool,
 ) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    known: list[str] = []
+
+    def named(batch: DataFrame, batch_id: int) -> None:
+        if not known:
+            known.append(_stream_id(batch.sparkSession, checkpoint))
+        each(batch, f"{batch_id:012d}-{known[0]}")
+
+    writer = stream.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=interval)
     return writer.start()
 
@@ -79,11 +97,11 @@ def start_events(
     ``drain`` processes what is there and stops, which is how a last batch is flushed.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, name: str) -> None:
         lines = beacons.parse_lines(arrived(batch))
-        done = events.ingest(lines, rules, ranges, agents_path, batch_id)
-        write_events(done.events, events_path, batch_id)
-        append_log(done.rejects, rejects_path, batch_id)
+        done = events.ingest(lines, rules, ranges, agents_path, name)
+        write_events(done.events, events_path, name)
+        append_log(done.rejects, rejects_path, name)
         done.release()
 
     return _start(stream, each, checkpoint, interval, drain)
@@ -98,13 +116,17 @@ def start_hostnames(
 ) -> StreamingQuery:
     """Per interval, append the last creation time of every hostname seen to the hostname log.
 
-    Nothing is remembered between batches; ``latest`` over the log resolves across them.
+    Nothing is remembered between batches; ``latest`` over the log resolves across them and across
+    streams.  Its order is the arrival order where the stream carries one, else the time of arrival.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, name: str) -> None:
         typed = events.type_beacons(beacons.parse_lines(arrived(batch)))
-        seen = latest.hostnames_seen(typed).withColumn("seq", F.lit(batch_id).cast("bigint"))
-        append_log(seen, log_path, batch_id)
+        seen = latest.hostnames_seen(typed)
+        if "seq" not in batch.columns:
+            arrival = batch.agg(F.unix_micros(F.max("received_at"))).head()[0]
+            seen = seen.withColumn("seq", F.lit(arrival).cast("bigint"))
+        append_log(seen, log_path, name)
 
     return _start(stream, each, checkpoint, interval, drain)
 
@@ -118,8 +140,8 @@ def start_archive(
 ) -> StreamingQuery:
     """Append archive lines to the hour of their arrival."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, name: str) -> None:
         lines = archives.archive_lines(beacons.parse_line_maps(arrived(batch)))
-        archives.write_hours(lines, root, f"{batch_id:012d}")
+        archives.write_hours(lines, root, name)
 
     return _start(stream, each, checkpoint, interval, drain)

@@ -41,9 +41,8 @@ def test_hour_files_take_their_place_from_the_path(spark, hours):
 @pytest.mark.parametrize("codec, suffix", [("NONE", "txt"), ("GZIP", "txt.gz"), ("Zstandard", "zstd.parquet"), ("other", "txt")])
 def test_compaction(spark, hours, tmp_path, codec, suffix):
     days, meta = str(tmp_path / "days"), str(tmp_path / "meta")
-    lines = archives.lines_of_day(files.read_hour_files(spark, hours), DAY)
     for _ in range(2):  # the second run replaces the first
-        archives.compact(lines, days, meta, codec)
+        archives.compact_day(spark, hours, DAY, days, meta, codec)
     found = glob.glob(f"{days}/host=alpha/day=2023-9-20/part-*")
     assert found and all(name.endswith(suffix) for name in found)
     assert sorted(n for n in os.listdir(days) if "=" in n) == ["host=alpha", "host=beta"]
@@ -63,6 +62,13 @@ def test_compaction(spark, hours, tmp_path, codec, suffix):
     assert ordered(meta, "beta") == ["2,1,1"]
 
 
+def test_only_the_days_files_are_read(spark, hours):
+    lines = archives.lines_of_day(spark, hours, DAY)
+    named = {r.file for r in lines.select("file").distinct().collect()}
+    assert named and all("/2023-9-20/" in name for name in named) and set(lines.inputFiles()) and all("2023-9-20" in f for f in lines.inputFiles())
+    assert archives.lines_of_day(spark, hours, dt.date(1999, 1, 1)) is None
+
+
 def test_line_numbers(spark, hours):
     lines = files.read_hour_files(spark, hours)
     numbered = archives.number_lines(lines, block=["file", "block"])

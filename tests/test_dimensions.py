@@ -17,17 +17,17 @@ def classified(spark, rules, *texts):
 
 
 def test_default_rules(spark, rules):
-    windows = "Mozilla/5.0 (Windows NT 10.0; Win64) AppleWebKit/537.36 Chrome/104.0.5112.102 Safari/537.36"
-    phone = "Mozilla/5.0 (iPhone; CPU iPhone OS 13_2_3 like Mac OS X) Version/13.0.3 Mobile/15E148 Safari/604.1"
+    windows = "Mozilla/5.0 (Windows NT 10.0; WOW64) AppleWebKit/600.1 Chrome/99.1.2345.6 Safari/600.1"
+    phone = "Mozilla/5.0 (iPhone; CPU iPhone OS 15_1_4 like Mac OS X) Version/15.1 Mobile/19A1 Safari/610.2"
     tablet = "Mozilla/5.0 (Linux; Android 12; SM-T870) AppleWebKit/537.36 Chrome/107.0.0.0 Safari/537.36"
     robot = "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.example.com/bot.html)"
     found = classified(spark, rules, windows, phone, tablet, robot, "curl/7")
     pick = lambda t, *names: tuple(found[t][n] for n in names)
-    assert pick(windows, "browser_name", "browser_version") == ("Chrome", "104.0.5112")
+    assert pick(windows, "browser_name", "browser_version") == ("Chrome", "99.1.2345")
     assert pick(windows, "operating_system", "operating_system_version") == ("Windows", "10")
     assert pick(windows, "device_type", "device_manufacturer") == ("desktop", None)
     assert pick(phone, "device_type", "device_manufacturer") == ("mobile", "Apple")
-    assert pick(phone, "operating_system", "operating_system_version") == ("iOS", "13.2.3")
+    assert pick(phone, "operating_system", "operating_system_version") == ("iOS", "15.1.4")
     assert pick(tablet, "device_type", "device_manufacturer") == ("tablet", "Samsung")
     assert pick(robot, "device_type", "browser_name") == ("bot", "Googlebot")
     assert pick("curl/7", "device_type", "browser_name", "operating_system") == ("unknown", "Other", "Other")
@@ -184,3 +184,31 @@ def test_ranges_from_csv(spark, tmp_path):
     (tmp_path / "r.csv").write_text("ip_start,ip_end,country,city\n1.0.0.0,1.0.0.9,AU,\nbad,1.0.0.9,XX,\n")
     rows = ranges.read_ranges(spark, f"{tmp_path}/r.csv", "csv").collect()
     assert [(r.country, r.city) for r in rows] == [("AU", "")]
+
+
+def test_agents_stored_by_two_writers_are_one_row(spark, rules, tmp_path):
+    path = str(tmp_path / "agents")
+    rows = spark.createDataFrame([("curl/7",), ("curl/7",)], "user_agent string")
+    for _ in range(2):  # each has seen an empty dimension
+        found = agents.classify_agents(agents.distinct_agents(rows), rules, tasks=2)
+        found.select(*agents.AGENT_SCHEMA.names).write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() == 2
+    assert agents.read_dimension(spark, path).count() == 1
+    assert agents.extend_dimension(rows, rules, path).count() == 1
+
+
+def test_narrowest_of_overlapping_ranges(spark):
+    from beaconloom.operators import places
+    from beaconloom.sources import ranges
+
+    table = spark.createDataFrame(
+        [
+            ("10.0.0.0", "10.0.0.50", "A", "narrow"), ("10.0.0.40", "10.0.200.0", "B", "wide"),
+            ("2001:db8::", "2001:db8::ffff", "C", "v6"), ("2001:db8::fff0", "2001:db8:1::", "D", "v6 wide"),
+            ("2001:db7:ffff:ffff:ffff:ffff:ffff:ffff", "2001:db8::fff1", "E", "v6 across halves"),
+        ],
+        "ip_start string, ip_end string, country string, city string",
+    )
+    asked = spark.createDataFrame([("10.0.0.45", 1), ("10.0.0.51", 1), ("2001:db8::fff1", 1), ("2001:db8:1::", 1)], "lookup_ip string, n bigint")
+    found = {r.lookup_ip: r.ip_country for r in places.locate(asked, ranges.keyed_ranges(table)).collect()}
+    assert found == {"10.0.0.45": "A", "10.0.0.51": "B", "2001:db8::fff1": "E", "2001:db8:1::": "D"}

@@ -8,8 +8,8 @@ from beaconloom.schema import EVENT_NAMES, EVENT_SCHEMA, EVENT_SCHEMA_V1, HOSTNA
 from beaconloom.sources import beacons, ranges
 
 CHROME = (
-    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) "
-    "Chrome/104.0.5112.102 Safari/537.36"
+    "Mozilla/5.0 (Windows NT 10.0; WOW64) AppleWebKit/600.1 (KHTML, like Gecko) "
+    "Chrome/99.1.2345.6 Safari/600.1"
 )
 
 
@@ -23,19 +23,19 @@ def beacon(**changes):
         "pid": "ab12cd34",
         "rt.si": "session-one",
         "rt.sl": "3",
-        "v": "1.737.60",
-        "c.cls": "0.0967",
+        "v": "3.1.4",
+        "c.cls": "0.25",
         "et.fid": "1",
-        "ua.vnd": "Google Inc.",
-        "ua.plt": "Win32",
+        "ua.vnd": "Example Maker",
+        "ua.plt": "Desk64",
         "mob.etype": "4g",
         "mob.dl": "10",
         "mob.rtt": "50",
-        "scr.xy": "1536x864",
-        "dom.sz": "422145",
-        "nt_con_st": "1661579573355",
-        "nt_con_end": "1661579573518",
-        "c.t.fps": "05*7*6",
+        "scr.xy": "1700x920",
+        "dom.sz": "73111",
+        "nt_con_st": "1700000000100",
+        "nt_con_end": "1700000000342",
+        "c.t.fps": "1c,*4*9",
     }
     row.update({key.replace("__", "."): value for key, value in changes.items()})
     row = {key: value for key, value in row.items() if value is not None}
@@ -68,18 +68,18 @@ def test_all_fields(load):
         "created_at = timestamp '2023-03-04 05:06:07'",
         "hostname = 'store.example.com'",
         "url = 'https://store.example.com/cart?a=1'",
-        "cumulative_layout_shift > 0.095",
+        "cumulative_layout_shift = 0.25",
         "first_input_delay = 1",
         f"user_agent = '{CHROME}'",
         "device_type = 'desktop'",
-        "browser_name = 'Chrome' and browser_version = '104.0.5112'",
+        "browser_name = 'Chrome' and browser_version = '99.1.2345'",
         "operating_system = 'Windows' and operating_system_version = '10'",
         "device_manufacturer is null",
-        "ua_vnd = 'Google Inc.' and ua_plt = 'Win32'",
+        "ua_vnd = 'Example Maker' and ua_plt = 'Desk64'",
         "mob_etype = '4g' and mob_dl = 10 and mob_rtt = 50",
-        "connect_duration = 163 and dns_duration is null",
-        "screen_width = 1536 and screen_height = 864",
-        "dom_sz = 422145",
+        "connect_duration = 242 and dns_duration is null",
+        "screen_width = 1700 and screen_height = 920",
+        "dom_sz = 73111",
         "redirect_duration = 0 and redirects_count = 0",
         "geo_country_code = 'BG' and geo_city_name = 'Varna'",
         "event_type = 'visit_page' and session_id = 'session-one' and session_length = 3",
@@ -131,7 +131,7 @@ def test_rejects_and_hostnames(spark, load, tmp_path):
     assert done.rejects.where("raw is null").count() == 0
     assert done.typed.where("reason is null and raw is not null").count() == 0
     assert count(done) == 2
-    # By arrival, not by time; faulty numbers count, unreadable times give no row.
+    # By arrival, not by time; faulty numbers count, unreadable times do not.
     seen = latest.hostnames_seen(done.typed)
     found = {r.hostname: str(r.updated_at) for r in seen.collect()}
     assert found == {
@@ -214,8 +214,8 @@ def test_event_table_layout_and_versions(spark, load, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     # A replayed batch replaces its own rows only.
     for _ in range(2):
-        tables.write_events(rows, str(tmp_path / "batches"), batch_id=1)
-    tables.write_events(rows, str(tmp_path / "batches"), batch_id=2)
+        tables.write_events(rows, str(tmp_path / "batches"), batch='1-a')
+    tables.write_events(rows, str(tmp_path / "batches"), batch='1-b')
     assert tables.read_events(spark, str(tmp_path / "batches")).count() == 4
 
 
@@ -259,3 +259,24 @@ def test_hostname_log(spark, tmp_path):
         )
     registry = latest.hostname_registry(tables.read_log(spark, path, HOSTNAME_SCHEMA)).collect()
     assert [(r.hostname, str(r.updated_at)) for r in registry] == [("host1", "2022-08-27 06:53:00.125000")]
+
+
+def test_numbers_that_do_not_fit_are_rejected(load):
+    done = load(
+        beacon(rt__sl="40000"),
+        beacon(pt__lcp="99999999999"),
+        beacon(et__fid="10.5"),
+        beacon(dom__sz="1e3"),
+        beacon(dom__sz="n/a", rt__sl="", mem__used="123456789012"),
+    )
+    assert [r.reason for r in done.rejects.collect()] == ["bad_number"] * 4
+    assert count(done, "dom_sz is null and session_length is null and mem_used = 123456789012") == 1
+
+
+def test_a_host_keeps_its_last_readable_time(load):
+    done = load(
+        beacon(created_at="2023-01-01 00:00:01"),
+        beacon(created_at="2022-01-01 00:00:02"),
+        beacon(created_at="soon"),
+    )
+    assert [str(r.updated_at) for r in latest.hostnames_seen(done.typed).collect()] == ["2022-01-01 00:00:02"]

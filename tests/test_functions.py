@@ -161,9 +161,9 @@ def test_maps(spark):
 @pytest.mark.parametrize(
     "text, key",
     [
-        ("81.2.69.142", "00000000000000000000ffff5102458e"),
+        ("203.0.113.9", "00000000000000000000ffffcb007109"),
         ("0.0.0.0", "00000000000000000000ffff00000000"),
-        ("::ffff:81.2.69.142", "00000000000000000000ffff5102458e"),
+        ("::ffff:203.0.113.9", "00000000000000000000ffffcb007109"),
         ("::1", "00000000000000000000000000000001"),
         ("::", "00000000000000000000000000000000"),
         ("2001:DB8::ff", "20010db80000000000000000000000ff"),

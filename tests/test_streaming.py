@@ -90,3 +90,25 @@ def test_archive_keeps_arrival_hours_and_replays(spark, rules, tmp_path):
     # Archived lines enter again as beacons.
     again = events.type_beacons(beacons.read_beacons(spark, f"{out}/hours/*/*/*/*"))
     assert again.select("page_id").distinct().count() == 1000
+
+
+def test_a_second_checkpoint_replaces_nothing(spark, rules, tmp_path):
+    out = str(tmp_path / "out")
+    for n, rows in enumerate((FIRST, SECOND)):
+        folder = tmp_path / f"in{n}"
+        folder.mkdir()
+        drop(folder, "1.json", rows, 1_700_000_000 + n)
+        stream = jobs.line_stream(spark, str(folder))
+        for _ in range(2):  # the second time there is nothing new
+            jobs.start_events(
+                stream, rules, f"{out}/events", f"{out}/rejects", f"{out}/agents", f"{out}/checkpoint-{n}", drain=True
+            ).awaitTermination()
+        jobs.start_hostnames(stream, f"{out}/log", f"{out}/hosts-{n}", drain=True).awaitTermination()
+        jobs.start_archive(stream, f"{out}/hours", f"{out}/archive-{n}", drain=True).awaitTermination()
+    assert tables.read_events(spark, f"{out}/events").count() == 4
+    assert spark.read.parquet(f"{out}/rejects").count() == 1
+    assert files.read_hour_files(spark, f"{out}/hours").count() == 5
+    log = tables.read_log(spark, f"{out}/log", HOSTNAME_SCHEMA)
+    assert log.count() == 4
+    found = {r.hostname: str(r.updated_at)[:4] for r in latest.hostname_registry(log).collect()}
+    assert found == {"a.example.com": "2023", "b.example.com": "2019", "c.example.com": "2023"}

@@ -6,6 +6,9 @@ from beaconloom.functions import timelines as codec
 from beaconloom.operators import timelines
 
 
+LARGEST = (1 << 63) - 1
+
+
 def decoded(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = df.select("i", codec.decode(F.col("t")).alias("d")).orderBy("i").collect()
@@ -14,8 +17,10 @@ def decoded(spark, texts):
 
 def test_golden(spark):
     cases = {
-        "00.43..54..28..3z..29.": [0, 147, 184, 80, 143, 81],
-        "0*j*0td": [0] * 19 + [29, 13],
+        "07.2s..1a.b": [7, 100, 46, 11],
+        "0*c*3zA": [3] * 12 + [35, 36],
+        "0.0000000000000001z.": [71],
+        "11y2p0ij32e8e7": [LARGEST],
         "0azAZ_-9!": [10, 35, 36, 61, 62, 63, 9, 0],
         "1a,b,1c": [10, 11, 48],
         "1*3*a,b": [10, 10, 10, 11],
@@ -34,7 +39,12 @@ def test_golden(spark):
 
 
 def test_malformed(spark):
-    assert decoded(spark, ["2123", "9123", None, "0.1234567890123.", "1a!,b", "0*!*5"]) == [None] * 6
+    assert decoded(spark, ["2123", "9123", None, "0.1y2p0ij32e8e8.", "1a!,b", "0*!*5"]) == [None] * 6
+
+
+def _base36(n):
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+    return digits[n] if n < 36 else _base36(n // 36) + digits[n % 36]
 
 
 def _encode(rng, mode, numbers):
@@ -71,7 +81,7 @@ def test_round_trip(spark):
 
 def test_rows_and_stats(spark):
     df = spark.createDataFrame(
-        [("p1", "0*3*5a"), ("p1", "0_"), ("p2", "2__"), ("p3", "2123"), ("p4", "0*zzzzzzz*1")],
+        [("p1", "0*3*5a"), ("p1", "0_"), ("p2", "2__"), ("p3", "2123"), ("p4", "0*zzzzzzz*1"), ("p5", "1*1y2p0ij32e8e7*1y2p0ij32e8e7")],
         "page string, t string",
     )
     runs = timelines.with_runs(df, "t")
@@ -79,11 +89,22 @@ def test_rows_and_stats(spark):
     assert sorted((r.bucket, r.value) for r in rows) == [(0, 5), (0, 62), (1, 5), (2, 5), (3, 10)]
     # A claim of 78 billion buckets is counted, but not written out.
     stats = {r.page: (r.buckets, r.total, r.largest) for r in timelines.timeline_stats(runs, ["page"]).collect()}
-    assert stats == {"p1": (5, 87, 62), "p2": (1, 100, 100), "p4": (36**7 - 1, 36**7 - 1, 1)}
-    assert sorted(r.page for r in timelines.oversized(runs).collect()) == ["p3", "p4"]
+    assert stats == {"p1": (5, 87, 62), "p2": (1, 100, 100), "p4": (36**7 - 1, 36**7 - 1, 1), "p5": (LARGEST, LARGEST**2, LARGEST)}
+    refused = {r.page: r.reason for r in timelines.refused(runs, "t").collect()}
+    assert refused == {"p3": "bad_timeline", "p4": "endless_timeline", "p5": "endless_timeline"}
+    arrays = {r.page: r.d for r in runs.select("page", codec.expand_runs(F.col("runs")).alias("d")).collect()}
+    assert arrays["p4"] is None and arrays["p5"] is None
     assert timelines.bucket_rows(runs, ["page"]).where("page = 'p4'").count() == 0
 
 
+def test_long_runs_are_written_in_chunks(spark):
+    count = 3 * timelines.CHUNK + 17
+    df = spark.createDataFrame([(f"1b,*{_base36(count)}*c,d",)], "t string")
+    rows = timelines.bucket_rows(timelines.with_runs(df.withColumn("k", F.lit(1)), "t"), ["k"])
+    found = rows.groupBy("value").agg(F.count("*"), F.min("bucket"), F.max("bucket")).collect()
+    assert sorted(map(tuple, found)) == [(11, 1, 0, 0), (12, count, 1, count), (13, 1, count + 1, count + 1)]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("0a",)], "t string").select(codec.decode(F.col("t")))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
