@@ -4,7 +4,10 @@ A tree of centroids is fitted on a bounded sample and every vector is put into t
 through the tree best bin first: a priority queue holds all branches seen so far by the distance of their centroid, the
 nearest one is opened next, and a leaf that comes up is visited.  How many leaves are visited is calibrated: a sample of
 vectors has its neighbours found by brute force over all rows, and visits are widened until the tree finds the wanted share
-of them.  Leaves with many vectors are cut into blocks, so that a vector that fills a third of the table is no hot group.
+of them.
+
+Neighbouring leaves share a cell of a bounded number of vectors, and a leaf with more is spread over several, so that a vector
+that fills a third of the table is no hot group.  A query goes once to each cell that holds leaves it visits.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from beaconloom.session import materialise
 #: The sample that the tree is fitted on: rows, and numbers in all, at most.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 8_000_000
 BRANCHES, ROUNDS = 16, 10
-#: Vectors in a leaf, at about; sampled vectors in a leaf, at least; vectors in one block of a leaf, at about.
-LEAF_ROWS, LEAF_SAMPLE, BLOCK_ROWS = 256, 8, 4096
+#: Vectors in a leaf, at about; sampled vectors in a leaf, at least; vectors in a cell, at about.
+LEAF_ROWS, LEAF_SAMPLE, CELL_ROWS = 128, 8, 8192
 #: Vectors that calibrate the number of visits, and the share of their neighbours that is to be found.
-CALIBRATORS, RECALL = 200, 0.97
+CALIBRATORS, RECALL = 200, 0.95
 NEAREST = 10
 QUERY_EVERY = 100
 
@@ -222,46 +225,57 @@ class Index:
         asked = usable(queries).select(F.col("vec_id").alias("query_id"), "embedding")
         different = asked.groupBy("embedding").agg(F.min("query_id").alias("query"))
         tree, sizes, visits, count = self.tree, self.sizes, self.visits, self.count + 1
-        blocks = np.maximum(-(-sizes // BLOCK_ROWS), 1)
-        sent = self.spark.sparkContext.broadcast((tree, sizes, blocks))
+        before = np.cumsum(sizes) - sizes
+        first, last = before // CELL_ROWS, np.maximum(before + sizes - 1, before) // CELL_ROWS
+        sent = self.spark.sparkContext.broadcast((tree, sizes, before, first, last))  # as many numbers as leaves
 
         def route(batches: Batches) -> Batches:
-            tree, sizes, blocks = sent.value
+            tree, sizes, _, first, last = sent.value
             for batch in batches:
-                for query, vector, listed in zip(batch.column("query").to_pylist(), matrix(batch.column("embedding")), batch.column("embedding"), strict=True):
-                    held, cells = 0, []
-                    for nth, leaf in enumerate(tree.best_bins(vector), 1):
+                for nth, (query, vector) in enumerate(zip(batch.column("query").to_pylist(), matrix(batch.column("embedding")), strict=True)):
+                    held, cells = 0, {}
+                    for seen, leaf in enumerate(tree.best_bins(vector), 1):
                         held += int(sizes[leaf])
-                        cells += [leaf << 32 | b for b in range(int(blocks[leaf]))]
-                        if nth >= visits and held >= count:
+                        if sizes[leaf]:
+                            for c in range(int(first[leaf]), int(last[leaf]) + 1):
+                                cells.setdefault(c, []).append(leaf)
+                        if seen >= visits and held >= count:
                             break
-                    columns = [pa.array(cells, pa.int64()), pa.array([query] * len(cells), pa.int64()), pa.array([listed.as_py()] * len(cells), pa.list_(pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "query", "embedding"])
+                    copies = batch.column("embedding").slice(nth, 1).take(pa.array([0] * len(cells), pa.int32()))
+                    columns = [pa.array(list(cells), pa.int64()), pa.array([query] * len(cells), pa.int64()), copies]
+                    columns.append(pa.array(list(cells.values()), pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "query", "embedding", "leaves"])
 
         def cell(batches: Batches) -> Batches:
-            _, _, blocks = sent.value
+            _, sizes, before, _, _ = sent.value
             for batch in batches:
-                leaf = batch.column("leaf").to_numpy(zero_copy_only=False).astype(np.int64)
-                block = mixed(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.uint64)) % blocks[leaf].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf << 32 | block.astype(np.int64)), batch.column("vec_id"), batch.column("embedding")], names=["cell", "vec_id", "embedding"])
+                leaf = batch.column("leaf").to_numpy(zero_copy_only=False)
+                place = mixed(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.uint64)) % sizes[leaf].astype(np.uint64)
+                at = (before[leaf] + place.astype(np.int64)) // CELL_ROWS
+                yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["cell", *batch.schema.names])
 
         def meet(members: pa.Table, asking: pa.Table) -> pa.Table:
             out: list[list[np.ndarray]] = [[], [], []]
             if members.num_rows and asking.num_rows:
-                vectors, ids = matrix(members["embedding"]), members["vec_id"].to_numpy()
-                wanted, names = matrix(asking["embedding"]), asking["query"].to_numpy()
+                vectors, ids, leaf = matrix(members["embedding"]), members["vec_id"].to_numpy(), members["leaf"].to_numpy()
+                wanted, names, visited = matrix(asking["embedding"]), asking["query"].to_numpy(), asking["leaves"].to_pylist()
+                order = np.argsort(leaf, kind="stable")
+                vectors, ids, leaf = vectors[order], ids[order], leaf[order]
                 for low in range(0, len(wanted), 256):
                     part = wanted[low : low + 256]
                     for q, rough in enumerate(squares(part, vectors)):
-                        found, distance, _ = nearest(part[q], vectors, ids, rough, count)
+                        chosen = np.array(visited[low + q])
+                        spans = zip(np.searchsorted(leaf, chosen), np.searchsorted(leaf, chosen, "right"), strict=True)
+                        at = np.concatenate([np.arange(a, b) for a, b in spans])
+                        found, distance, _ = nearest(part[q], vectors[at], ids[at], rough[at], count)
                         for to, values in zip(out, (np.full(len(found), names[low + q]), found, distance), strict=True):
                             to.append(values)
             joined = [np.concatenate(c) if c else np.empty(0) for c in out]
             kinds = [pa.int64(), pa.int64(), pa.float64()]
             return pa.table({n: pa.array(c).cast(k) for n, c, k in zip(("query", "vec_id", "score"), joined, kinds, strict=True)})
 
-        where = different.mapInArrow(route, "cell long, query long, embedding array<double>")
-        there = self.rows.mapInArrow(cell, "cell long, vec_id long, embedding array<double>")
+        where = different.mapInArrow(route, "cell long, query long, embedding array<double>, leaves array<int>")
+        there = self.rows.mapInArrow(cell, "cell long, leaf int, vec_id long, embedding array<double>")
         found = there.groupBy("cell").cogroup(where.groupBy("cell")).applyInArrow(meet, "query long, vec_id long, score double")
         best = Window.partitionBy("query").orderBy("score", "vec_id")
         short = found.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= count).drop("_at")
