@@ -21,7 +21,8 @@ PARAMETERS: dict[str, str] = {
         " else substr(cast(ts as string), 1, 19) end"
     ),
     "rt.si": "concat('session-', cast(user_id as string))",
-    "rt.sl": "cast(event_id % 40 as string)",
+    # A session length beyond 16 bits, and what is no JSON number where one is required.
+    "rt.sl": "case when event_id % 113 = 6 then '40000' else cast(event_id % 40 as string) end",
     "rt.quit": "case when event_type = 'error' then '' end",
     "http_initiator": "case when event_type = 'click' then 'click' end",
     "pid": "lpad(cast(event_id % 100000000 as string), 8, '0')",
@@ -44,11 +45,15 @@ PARAMETERS: dict[str, str] = {
         "case when event_id % 97 = 11 then '0,5' when event_type = 'signup' then ''"
         " else cast(value as string) end"
     ),
-    "et.fid": "case when event_id % 2 = 0 then cast(event_id % 300 as string) end",
-    "net.sd": "case when event_id % 6 = 0 then '1' end",
+    "et.fid": (
+        "case when event_id % 127 = 8 then '10.5' when event_id % 2 = 0 then cast(event_id % 300 as string) end"
+    ),
+    "net.sd": "case when event_id % 131 = 1 then 'on' when event_id % 6 = 0 then '1' end",
     "mob.etype": "case when user_id % 3 = 0 then '4g' when user_id % 3 = 1 then '3g' else '' end",
     "mob.dl": "case when event_id % 17 = 2 then 'fast' else cast(value as string) end",
-    "mob.rtt": "case when event_id % 7 = 0 then '' else cast(event_id % 500 as string) end",
+    "mob.rtt": (
+        "case when event_id % 7 = 0 then '' when event_id % 137 = 2 then '0x1f' else cast(event_id % 500 as string) end"
+    ),
     "scr.xy": (
         "case event_id % 4 when 0 then '1700x920' when 1 then '390x800' when 2 then ''"
         " else '1x2x3' end"
@@ -84,6 +89,11 @@ PARAMETERS: dict[str, str] = {
         " lpad(cast(event_id % 100 as string), 2, '0'), '__',"
         " lpad(cast(user_id % 100 as string), 2, '0'))"
     ),
+    # All modes, a wrapped number, the largest number, an endless claim and an unknown mode.
+    "c.t.log": (
+        "case event_id % 6 when 0 then concat('0*', cast(event_id % 9 + 1 as string), '*a') when 1 then '0.zz.'"
+        " when 2 then '11y2p0ij32e8e7' when 3 then '1*zzzzzzzzz*5' when 4 then '9abc' else '20102__' end"
+    ),
     "c.t.fps": (
         "concat('1', cast(event_id % 7 as string), ',*5*', cast(user_id % 9 as string), ',a')"
     ),
@@ -137,6 +147,9 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     return events.withColumn("page_id", F.col("event_id") % F.lit(count)).join(pages, "page_id")
 
 
+MISSING = "event_id % 149 = 3"
+
+
 def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON line per beacon, with ``seq`` and ``received_at``."""
     headers = F.create_map(
@@ -150,10 +163,10 @@ def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.expr(FORWARDED), F.lit("198.51.100.7")),
     )
     fields = [F.expr(sql).alias(key) for key, sql in PARAMETERS.items()]
+    # Some lines are missing.
+    line = F.to_json(F.struct(*fields, F.to_json(headers).alias("request_headers")))
     return visits(spark, folder).select(
-        F.coalesce(
-            F.to_json(F.struct(*fields, F.to_json(headers).alias("request_headers"))), F.lit("")
-        ).alias("value"),
+        F.when(F.expr(f"not ({MISSING})"), F.coalesce(line, F.lit(""))).alias("value"),
         F.col("event_id").alias("seq"),
         F.expr(RECEIVED).cast("timestamp").alias("received_at"),
     )

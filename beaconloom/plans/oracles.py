@@ -27,14 +27,15 @@ BEACONS = (
     f" trim(replace({inputs.COUNTRY}, '\"', '')) as head_country, {inputs.CITY} as head_city,\n"
     f" case when event_id % 11 = 0 then null else {inputs.ADDRESS} end as ip,\n "
     + ",\n ".join(f'{sql} as "{key}"' for key, sql in inputs.PARAMETERS.items())
-    + "\nfrom visits)"
+    + f"\nfrom visits where not ({inputs.MISSING}))"
 )
 
 TYPED = f"""{BEACONS},
 typed as (select *,
   regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1) as hostname,
   case when u like '% %' then 'bad_url'
-       when "c.cls" like '%,%' then 'bad_number'
+       when "c.cls" like '%,%' or "rt.sl" = '40000' or "et.fid" = '10.5' or "net.sd" = 'on' or "mob.rtt" = '0x1f'
+         then 'bad_number'
        when created_at = 'yesterday' then 'bad_created_at' end as reason,
   case when created_at is null then strftime(received_at, '%Y-%m-%d %H:%M:%S')
        when created_at = 'yesterday' then null else created_at end as made
@@ -313,6 +314,17 @@ rows_ as (select unnest(list_concat(list_transform(range(r), lambda x: a), [100,
   unnest(range(r + 2)) as bucket from mouse)
 select bucket, count(*) as n, cast(sum(value) as bigint) as total, cast(max(value) as bigint) as largest
 from rows_ group by 1""",
+    "timeline_modes": f"""with {BEACONS},
+claims as (select seq, event_id % 6 as kind, event_id % 9 + 1 as r from beacons)
+select seq,
+ cast(case kind when 0 then r when 1 then 1 when 2 then 1 when 3 then 101559956668415 when 5 then 3 end as bigint) as buckets,
+ cast(case kind when 0 then 10 * r when 1 then 1295 when 2 then 9223372036854775807 when 3 then 507799783342075
+   when 5 then 103 end as bigint) as total,
+ cast(case kind when 0 then 10 when 1 then 1295 when 2 then 9223372036854775807 when 3 then 5 when 5 then 100 end
+   as bigint) as largest,
+ cast(case kind when 0 then r when 1 then 1 when 2 then 1 when 5 then 3 else 0 end as bigint) as n,
+ case kind when 3 then 'endless_timeline' when 4 then 'bad_timeline' end as reason
+from claims""",
     "timeline_arrays": f"""with {BEACONS}
 select seq, concat_ws(',', event_id % 7, user_id % 9, user_id % 9, user_id % 9, user_id % 9, user_id % 9, 10)
  as numbers from beacons""",

@@ -457,14 +457,15 @@ def archive_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _timelines(spark: SparkSession, folder: str) -> DataFrame:
-    keys = T.StructType([T.StructField(k, T.StringType()) for k in ("u", "c.t.mousepct", "c.t.fps")])
+    keys = T.StructType([T.StructField(k, T.StringType()) for k in ("u", "c.t.mousepct", "c.t.fps", "c.t.log")])
     parsed = F.from_json("value", keys).alias("params")
-    lines = inputs.beacon_lines(spark, folder).select("seq", parsed)
+    lines = inputs.beacon_lines(spark, folder).where("value is not null").select("seq", parsed)
     return lines.select(
         "seq",
         urls.hostname(F.col("params.u")).alias("hostname"),
         F.col("params")["c.t.mousepct"].alias("mouse"),
         F.col("params")["c.t.fps"].alias("fps"),
+        F.col("params")["c.t.log"].alias("log"),
     )
 
 
@@ -486,6 +487,24 @@ def timeline_buckets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def timeline_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """Timelines of all modes with faulty and endless ones: statistics, bucket rows written, or why they are refused."""
+    texts = _timelines(spark, folder).select("seq", "log")
+    runs = materialise(timelines.with_runs(texts, "log"), "runs")
+    stats = timelines.timeline_stats(runs, ["seq"])
+    rows = timelines.bucket_rows(runs, ["seq"]).groupBy("seq").agg(F.count("*").alias("n"))
+    refused = timelines.refused(runs, "log").select("seq", "reason")
+    found = texts.select("seq").join(stats, "seq", "left").join(rows, "seq", "left").join(refused, "seq", "left")
+    return found.select(
+        "seq",
+        *[F.col(c).try_cast("bigint").alias(c) for c in ("buckets", "total")],
+        "largest",
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+        "reason",
+    )
+
+
 @query
 def timeline_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """Frame-rate timelines decoded to arrays, shown as text."""
