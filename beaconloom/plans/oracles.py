@@ -255,6 +255,7 @@ select event_date, count(*) as n,
  cast(sum(case when v2 then dl end) as bigint) as mob_dl_total
 from days group by 1""",
     "ua_classify": f"with {AGENTS} select * from agent_dim",
+    "ua_rules_file": f"with {AGENTS} select * from agent_dim",
     "ua_increment": f"with {AGENTS} select * from agent_dim",
     "ua_join": f"""with {AGENTS}
 select coalesce(d.browser_name, 'Other') as browser_name, coalesce(d.device_type, 'unknown') as device_type,

@@ -256,6 +256,26 @@ def ua_classify(spark: SparkSession, folder: str) -> DataFrame:
     return agents.classify_agents(found, agent_rules.default_rules(spark))
 
 
+@query
+def ua_rules_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The same dimension by a rule file of some hundred rules, written as JSON lines and read back.
+
+    The first rules are the default ones; behind them one for each market segment in each nation.
+    """
+    path = scratch_path(spark, "rules")
+    groups = inputs.table(spark, folder, "customer").select("c_mktsegment", "c_nationkey").distinct()
+    more = groups.select(
+        F.lit("browser").alias("kind"),
+        (F.col("c_nationkey") + 1000).cast("bigint").alias("rule_no"),
+        F.concat("c_mktsegment", F.lit("-"), "c_nationkey", F.lit(r"/([0-9]+)\.([0-9]+)")).alias("regex"),
+        F.col("c_mktsegment").alias("family"),
+    )
+    rules = agent_rules.default_rules(spark).select(*agent_rules.FIELDS)
+    rules.unionByName(more, allowMissingColumns=True).write.json(path)
+    found = agents.distinct_agents(_agent_rows(spark, folder))
+    return agents.classify_agents(found, agent_rules.read_rules(spark, path))
+
+
 @query
 def ua_increment(spark: SparkSession, folder: str) -> DataFrame:
     """The same dimension, grown in two steps, the second for agents not seen in the first."""

@@ -24,9 +24,8 @@ RULE_SCHEMA = T.StructType(
     + [T.StructField("literal", T.StringType())]
 )
 
-# A rule file is configuration, and rules are broadcast; refuse anything that is not of that size.
-MAX_RULES = 20_000
-MAX_RULE_CHARS = 4_000
+# A rule file is configuration, and rules are broadcast; refuse what is larger in all.
+MAX_RULE_BYTES = 16 << 20
 
 # A small rule set of our own, enough for common browsers.  (kind, regex, family, v1, brand)
 DEFAULT_RULES: list[tuple[str, str, str | None, str | None, str | None]] = [
@@ -115,16 +114,18 @@ def _literal(regex: str, ignore_case: bool) -> str:
     return max(runs, key=len, default="").lower()
 
 
+def _check_size(total: int) -> None:
+    if total > MAX_RULE_BYTES:
+        raise ValueError(f"{total} bytes of rules; at most {MAX_RULE_BYTES} can be broadcast")
+
+
 def make_rules(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Rules from dictionaries; fails on the first regular expression that does not compile."""
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"{len(rows)} rules; at most {MAX_RULES} can be broadcast")
     table = []
     for row in rows:
         rule = [row.get(field) for field in FIELDS]
-        if sum(len(str(value)) for value in rule) > MAX_RULE_CHARS:
-            raise ValueError(f"rule {row['kind']}/{row['rule_no']} is too long")
         table.append((*rule, _literal(row["regex"], "i" in (row.get("flags") or ""))))
+    _check_size(sum(len(str(value).encode()) for rule in table for value in rule))
     columns = {f.name: list(v) for f, v in zip(RULE_SCHEMA.fields, zip(*table))}
     # An Arrow table of this size becomes a local relation: no job reads it.
     raw = spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(RULE_SCHEMA)), RULE_SCHEMA)
@@ -171,7 +172,8 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """
     if not path.endswith((".yaml", ".yml")):
         table = spark.read.schema(T.StructType(RULE_SCHEMA.fields[:-1])).json(path)
-        return make_rules(spark, [r.asDict() for r in table.limit(MAX_RULES + 1).collect()])
+        _check_size(table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0] or 0)
+        return make_rules(spark, [r.asDict() for r in table.collect()])
     try:
         import yaml
     except ImportError as error:

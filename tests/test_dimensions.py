@@ -56,7 +56,7 @@ def test_bad_rules_are_refused(spark):
     with pytest.raises(PySparkException):
         agent_rules.make_rules(spark, [{"kind": "os", "rule_no": 1, "regex": "(unclosed"}])
     with pytest.raises(ValueError):
-        agent_rules.make_rules(spark, [{"kind": "os", "rule_no": 1, "regex": "x" * 5000}])
+        agent_rules.make_rules(spark, [{"kind": "os", "rule_no": 1, "regex": "x" * (agent_rules.MAX_RULE_BYTES + 1)}])
 
 
 def test_rule_files(spark, tmp_path):
