@@ -234,7 +234,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) ->
     found = near_duplicates(docs, words, distance)
     kept = materialise(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")), "kept")
     ids = kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_kept").alias("of")).head()
-    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    # by a shuffle whatever the size: neither side is bounded
+    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["_kept"], "left_semi")
     if ids["n"] != ids["of"]:
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
