@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_held: tuple[object, object] = (None, None)
+
+
+def held(key: object, build: Callable[[], object]):
+    """What a worker process needs again and again, such as a vocabulary, built once.
+
+    A process holds one such thing at a time: workers are used again by later jobs, which need another.
+    """
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        _held = (key, build())
+    return _held[1]
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file ``name`` lies on this machine."""
     import public_tokenizers
@@ -207,8 +223,6 @@ def block_of(key: str, bounds: list[int]) -> Column:
 
 
 def _search_udf(bounds: list[int]):
-    import pandas as pd
-
     edges = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")

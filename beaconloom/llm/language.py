@@ -5,7 +5,7 @@ longest phrases that occur in the labelled text; a character that occurs nowhere
 that falls into c phrases costs about ``c * log2(N) / n`` bits a byte, N being the length of the labelled text, and the
 language that needs the fewest bits wins.
 
-The automata become one table of transitions: the next state, and whether a phrase ends.  Many texts are then parsed in
+The automata become one table of transitions: the next state, and how many phrases end.  Many texts are then parsed in
 step, one byte of each at a time.  Texts are cut for that into runs of ``RUN`` bytes; each run begins a phrase, in every
 language alike.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconloom.llm.common import held_out, joined, over_slices
+from beaconloom.llm.common import held, held_out, joined, over_slices
 
 #: The labelled sample: rows of each language at most, bytes of text from each row and of each language at most.
 SAMPLE_ROWS = 400
@@ -94,13 +94,15 @@ class CrossParser:
             for state, arcs in enumerate(automaton):
                 for symbol, to in arcs.items():
                     own[state, self.symbols[symbol]] = to
-            # where the parse breaks, the symbol starts the next phrase; if it occurs nowhere, it is one
+            # where the parse breaks, the symbol starts the next phrase; if it occurs nowhere, it is one by itself
             broken = own == 0
+            ended = broken.astype(np.int64)
+            ended[1:] += broken[0]
             target = np.where(broken, own[0][None, :], own)
-            tables.append((((target + base) * self.width) * 2 + broken).astype(np.int32))
+            tables.append((((target + base) * self.width) * 4 + np.where(broken, ended, 0)).astype(np.int32))
             self.starts.append(base * self.width)
             base += len(automaton)
-        if base * self.width * 2 >= 1 << 31:
+        if base * self.width * 4 >= 1 << 31:
             raise ValueError("the automata are too large for one table; use shorter samples")
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.empty(0, np.int32)
 
@@ -125,9 +127,9 @@ class CrossParser:
         alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
         for j, n in enumerate(alive.tolist()):
             found = self.table[state[:, :n] + symbols[begin[:n] + j]]
-            count[:, :n] += found & 1
-            state[:, :n] = found >> 1
-        count += 1  # the phrase under way at the end of a run
+            count[:, :n] += found & 3
+            state[:, :n] = found >> 2
+        count += state != np.array(self.starts)[:, None]  # the phrase under way at the end of a run
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(owner, weights=count[k], minlength=len(texts)).astype(np.int64)
         return out
@@ -177,16 +179,10 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
     return samples
 
 
-_parsers: dict[str, CrossParser] = {}
-
-
 def _parser(samples: list[tuple[str, bytes]]) -> CrossParser:
     """The tables, built once in each worker process."""
     key = hashlib.sha256(repr(samples).encode()).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return held(("languages", key), lambda: CrossParser(samples))
 
 
 def identify(docs: DataFrame, samples: list[tuple[str, bytes]]) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from beaconloom.llm.common import over_slices, tokenizer_path
+from beaconloom.llm.common import held, over_slices, tokenizer_path
 
 MARK = "▁"
 #: Distinct parts whose counts a task remembers; beyond, it starts over from the whole tokens.
@@ -89,9 +89,6 @@ class TokenCounter:
         return out
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row; other columns are left out.
 
@@ -99,7 +96,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counter = _counters.get(model) or _counters.setdefault(model, TokenCounter(tokenizer_path(model)))
+        counter = held(("token counts", model), lambda: TokenCounter(tokenizer_path(model)))
         texts = [t or "" for t in batch.column("text").to_pylist()]
         counts = counter.count(texts)
         sizes = np.array([len(t.encode()) for t in texts], np.int64)
