@@ -2,6 +2,7 @@ import hashlib
 import itertools
 
 import numpy as np
+import pytest
 from cases import frame, key, ordered, prose
 from pyspark.sql import functions as F
 
@@ -56,10 +57,11 @@ def test_every_row_meets_the_next(odd, odd_rows):
     assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in rows], key=str) == sorted(expected, key=str)
 
 
-def test_blocks_join_up(lake, monkeypatch):
+@pytest.mark.parametrize("size", [500, 60])
+def test_blocks_join_up(lake, monkeypatch, size):
     from beaconloom.llm import common
 
-    monkeypatch.setattr(common, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(common, "BLOCK_BYTES", size)
     rows = [(i * 7 % 101, prose(i, 1 + i % 40)) for i in range(101)]
     docs = frame(lake, rows).repartition(5)
     found = {r.doc_id: r for r in fingerprints.compare_with_edits(docs).collect()}
