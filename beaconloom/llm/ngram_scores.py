@@ -18,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconloom.llm.common import Batches, mixed, over_slices, per_text, pieces, span_hashes, text_bytes, word_spans
+from beaconloom.llm.common import mixed, over_slices, per_text, pieces, slices, span_hashes, text_bytes, word_spans
 from beaconloom.llm.word_ids import PART_BYTES
 
 ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text in a batch, at about.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 20 << 20
+
+#: Bits of an n-gram's hash.  Among as many n-grams as half a gigabyte of compressed text has, a third of a pair is
+#: expected to share one, and at 30 GB about one n-gram in six million shares its hash with another.
+HASH_BITS = 56
 
 _COUNTS = "words long, bytes long"
 
@@ -33,7 +37,7 @@ def packed(values: np.ndarray) -> bytes:
     """Numbers by their bytes, all lowest ones first, compressed."""
     import zstandard
 
-    planes = np.ascontiguousarray(values, values.dtype.newbyteorder("<")).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values, values.dtype.newbyteorder("<")).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
@@ -53,9 +57,7 @@ def steps(values: np.ndarray) -> np.ndarray:
 class Grams:
     """The n-grams of some texts.  Words are what lies between ASCII white space."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, order: int = ORDER):
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
+    def __init__(self, texts: pa.Array, order: int = ORDER):
         data, offsets = text_bytes(texts)
         starts, ends = word_spans(data, offsets, PART_BYTES)
         self.first = per_text(starts, offsets)
@@ -71,20 +73,41 @@ class Grams:
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The words that end an n-gram, and its hash."""
         at = np.flatnonzero(self.place >= n - 1)
-        return at, self.hashes[n - 1][at]
+        return at, self.hashes[n - 1][at] >> np.uint64(64 - HASH_BITS)
+
+
+def _slices(batch: pa.Table):
+    """Bounded parts of a batch, in order."""
+    for part in batch.to_batches():
+        yield from slices(part, "text")
+
+
+def distinct(batch: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1, 2, ... the distinct n-grams of a batch, sorted, and how often each occurs."""
+    every: list[list[np.ndarray]] = [[] for _ in range(order)]
+    for part in _slices(batch):
+        grams = Grams(part.column("text"), order)
+        for n in range(order):
+            every[n].append(grams.of(n + 1)[1])
+    out = []
+    for n in range(order):
+        hashes = np.concatenate(every[n]) if every[n] else np.empty(0, np.uint64)
+        every[n] = []
+        hashes.sort()
+        first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
+        out.append((hashes[first], np.diff(np.append(first, len(hashes)))))
+    return out
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Hashes in order have their buckets in order."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _requests(order: int, buckets: int):
     def work(batch: pa.Table) -> pa.Table:
-        grams = Grams(batch["text"], order)
         name, rows = batch["batch"][0].as_py(), []
-        for n in range(1, order + 1):
-            hashes, counts = np.unique(grams.of(n)[1], return_counts=True)
+        for n, (hashes, counts) in enumerate(distinct(batch, order), 1):
             cuts = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
             for bucket, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if a < b:
@@ -118,7 +141,7 @@ def _answers(group: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, k) for c, v, k in zip(names, columns, kinds, strict=True)})
 
 
-def _others(grams: Grams, n: int, totals: np.ndarray) -> np.ndarray:
+def _others(grams: Grams, n: int, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """For each word, how often the n-gram that ends with it occurs outside its text; -1 if it has none.
 
     A stable sort by hash puts equal n-grams together and, as words are in order of texts, those of one text side by side.
@@ -127,17 +150,19 @@ def _others(grams: Grams, n: int, totals: np.ndarray) -> np.ndarray:
     at, hashes = grams.of(n)
     if len(at):
         order = np.argsort(hashes, kind="stable")
-        new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
-        text = grams.text[at[order]]
-        apart = new | (np.diff(text, prepend=-1) != 0)
+        ranked = hashes[order]
+        new = np.diff(ranked, prepend=~ranked[:1]) != 0
+        apart = new | (np.diff(grams.text[at[order]], prepend=-1) != 0)
         own = np.diff(np.append(np.flatnonzero(apart), len(order)))
-        out[at[order]] = totals[np.cumsum(new) - 1] - own[np.cumsum(apart) - 1]
+        everywhere = totals[np.searchsorted(known, ranked[new])]
+        out[at[order]] = everywhere[np.cumsum(new) - 1] - own[np.cumsum(apart) - 1]
     return out
 
 
-def word_scores(grams: Grams, totals: list[np.ndarray], words: int, order: int = ORDER) -> np.ndarray:
-    """The natural logarithm of every word's score; ``totals`` are the corpus's counts of the sorted distinct n-grams."""
-    others = [_others(grams, n, totals[n - 1]) for n in range(1, order + 1)]
+def word_scores(grams: Grams, counts: list[tuple[np.ndarray, np.ndarray]], words: int) -> np.ndarray:
+    """The natural logarithm of every word's score; ``counts`` are the sorted n-grams and what the corpus has of each."""
+    order = len(counts)
+    others = [_others(grams, n, *counts[n - 1]) for n in range(1, order + 1)]
     size = np.diff(grams.first)[grams.text]
     remaining = np.maximum(words - size, 1)
     score = np.log(np.maximum(others[0], 0.5)) - np.log(remaining)
@@ -152,14 +177,18 @@ def word_scores(grams: Grams, totals: list[np.ndarray], words: int, order: int =
 
 def _score(order: int, words: int):
     def work(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(batch["text"], order)
         rows = sorted(answers.to_pylist(), key=lambda r: (r["n"], r["bucket"]))
-        totals = []
-        for n in range(1, order + 1):
+        counts = []
+        for n, (hashes, _) in enumerate(distinct(batch, order), 1):
             parts = [unpacked(r["counts"], np.int64, r["size"]) for r in rows if r["n"] == n]
-            totals.append(np.concatenate(parts) if parts else np.empty(0, np.int64))
-        sums = np.bincount(grams.text, weights=word_scores(grams, totals, words, order), minlength=batch.num_rows)
-        return pa.table({"doc_id": batch["doc_id"], "n_words": pa.array(np.diff(grams.first)), "log_score": pa.array(sums)})
+            counts.append((hashes, np.concatenate(parts) if parts else np.empty(0, np.int64)))
+        sizes, sums = [], []
+        for part in _slices(batch):
+            grams = Grams(part.column("text"), order)
+            sizes.append(np.diff(grams.first))
+            sums.append(np.bincount(grams.text, weights=word_scores(grams, counts, words), minlength=part.num_rows))
+        numbers = [pa.array(np.concatenate(x) if x else np.empty(0, k), k) for x, k in ((sizes, "int64"), (sums, "float64"))]
+        return pa.table({"doc_id": batch["doc_id"], "n_words": numbers[0], "log_score": numbers[1]})
 
     return work
 
