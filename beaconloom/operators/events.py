@@ -150,7 +150,7 @@ class Ingested:
 def ingest(
     beacons: DataFrame,
     rules: DataFrame,
-    ranges: DataFrame | None = None,
+    ranges: DataFrame | places.Blocks | None = None,
     agent_table: str | None = None,
     batch: str | None = None,
     keep: tuple[str, ...] = (),
@@ -171,6 +171,8 @@ def ingest(
         agent_dim = agents.extend_dimension(good, rules, agent_table, batch, scratch)
     place_dim = None
     if ranges is not None:
+        if not isinstance(ranges, places.Blocks):
+            ranges = places.prepare(ranges, scratch)
         found = places.locate(places.distinct_addresses(good), ranges)
         place_dim = materialise(found, "places", scratch)
     return Ingested(typed, enrich(typed, agent_dim, place_dim, keep), rejects(typed), scratch)

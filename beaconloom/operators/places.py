@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconloom.functions.addresses import MAPPED, ip_key
+from beaconloom.functions.addresses import ip_key
 from beaconloom.functions.maps import header
 from beaconloom.functions.texts import clean_header
+from beaconloom.session import materialise
 
 # The headers that carry the pair, in lower case.
 COUNTRY_HEADER = "cf-ipcountry"
 CITY_HEADER = "cf-ipcity"
 
-# Key digits that make a bucket, as (prefix, fine, coarse): IPv4 /16 and /8, IPv6 /32 and /16.
-V4_DIGITS = (24, 4, 2)
-V6_DIGITS = (0, 8, 4)
-FINE_BUCKETS = 4096
+KEY_DIGITS = 32
+DIGITS = "0123456789abcdef"
 
 
 def header_place(headers: Column) -> tuple[Column, Column]:
@@ -26,30 +27,74 @@ def header_place(headers: Column) -> tuple[Column, Column]:
     )
 
 
-def _number(key: Column, prefix: int, digits: int) -> Column:
-    return F.conv(F.substring(key, prefix + 1, digits), 16, 10).cast("bigint")
+@dataclass(frozen=True)
+class Blocks:
+    """Ranges cut into aligned blocks: a row for each, and the lengths (1 to 32 digits) that blocks have."""
+
+    rows: DataFrame
+    lengths: tuple[int, ...]
+
+
+def _digit(key: str, at: Column) -> Column:
+    return F.instr(F.lit(DIGITS), F.substr(F.col(key), at, F.lit(1))) - 1
+
+
+def _names(key: str, at: Column, low: Column, high: Column) -> Column:
+    """Blocks that share the digits of ``key`` before ``at`` and have ``low`` to ``high`` there."""
+    head = F.substr(F.col(key), F.lit(1), at - 1)
+    steps = F.transform(
+        F.sequence(low, high), lambda d: F.concat(head, F.substr(F.lit(DIGITS), d + 1, F.lit(1)))
+    )
+    return F.when(low <= high, steps).otherwise(F.array().cast("array<string>"))
+
 
+def _aligned() -> Column:
+    """The fewest aligned blocks, by hexadecimal digits, that make up a range: at most 960.
 
-def _buckets(prefix: int, fine: int, coarse: int) -> Column:
-    """Buckets that a range touches: fine ones, or coarse ones if it touches too many of them."""
-    start, end = F.col("start_key"), F.col("end_key")
-    span = _number(end, prefix, fine) - _number(start, prefix, fine)
+    A network is one block.  Else, at the digit where start and end part, the digits between them are
+    whole blocks.  Below, on the start's side those above its digit are, on the end's side those below;
+    where only zeros (start) or fs (end) follow, the digit itself is one too.
+    """
+    part, from_, to = F.col("_part"), F.col("_from"), F.col("_to")
+
+    def level(at: Column) -> Column:
+        first = _digit("start_key", at) + F.when(from_ <= at, 0).otherwise(1)
+        last = _digit("end_key", at) - F.when(to <= at, 0).otherwise(1)
+        none = F.array().cast("array<string>")
+        left = F.when(from_ >= at, _names("start_key", at, first, F.lit(15))).otherwise(none)
+        right = F.when(to >= at, _names("end_key", at, F.lit(0), last)).otherwise(none)
+        between = F.when(at == part, _names("start_key", at, first, last))
+        return between.when(at > part, F.concat(left, right)).otherwise(none)
+
+    blocks = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(KEY_DIGITS)), level))
+    whole = (from_ < part) & (to < part) & (part > 1)
+    return (
+        F.when(F.col("start_key") == F.col("end_key"), F.array("start_key"))
+        .when(whole, F.array(F.substr(F.col("start_key"), F.lit(1), part - 1)))
+        .otherwise(blocks)
+    )
 
-    def names(digits: int) -> Column:
-        steps = F.sequence(_number(start, prefix, digits), _number(end, prefix, digits))
-        head = F.substring(start, 1, prefix) if prefix else F.lit("")
-        return F.transform(
-            steps, lambda s: F.concat(head, F.lower(F.lpad(F.hex(s), digits, "0")))
-        )
 
-    return F.when(span < FINE_BUCKETS, names(fine)).otherwise(names(coarse))
+def range_blocks(ranges: DataFrame) -> DataFrame:
+    """One row per range and aligned block, with the range's width."""
+    apart = F.transform(
+        F.sequence(F.lit(1), F.lit(KEY_DIGITS)), lambda at: _digit("start_key", at) != _digit("end_key", at)
+    )
+    measured = ranges.withColumns(
+        {
+            "_part": F.array_position(apart, True),
+            "_from": F.length(F.rtrim("start_key", F.lit("0"))),
+            "_to": F.length(F.rtrim("end_key", F.lit("f"))),
+        }
+    )
+    return measured.select(*ranges.columns, _width().alias("width"), F.explode(_aligned()).alias("block"))
 
 
-def bucketed_ranges(ranges: DataFrame) -> DataFrame:
-    """One row per range and bucket.  An IPv4 range touches at most 4,096 buckets."""
-    is_v4 = F.col("start_key").startswith(MAPPED)
-    buckets = F.when(is_v4, _buckets(*V4_DIGITS)).otherwise(_buckets(*V6_DIGITS))
-    return ranges.select("*", _width().alias("width"), F.explode(buckets).alias("bucket"))
+def prepare(ranges: DataFrame, written: list[str] | None = None) -> Blocks:
+    """Ranges ready for any number of lookups, written once."""
+    rows = materialise(range_blocks(ranges), "range_blocks", written)
+    lengths = rows.select(F.length("block").alias("n")).distinct().collect()  # 32 at most
+    return Blocks(rows, tuple(sorted(r["n"] for r in lengths)))
 
 
 def _width() -> Column:
@@ -64,14 +109,6 @@ def _width() -> Column:
     )
 
 
-def bucketed_addresses(addresses: DataFrame) -> DataFrame:
-    """Two rows per address key: its fine and its coarse bucket."""
-    key = F.col("ip_key")
-    v4, v6 = ([F.substring(key, 1, d[0] + n) for n in d[1:]] for d in (V4_DIGITS, V6_DIGITS))
-    buckets = F.when(key.startswith(MAPPED), F.array(*v4)).otherwise(F.array(*v6))
-    return addresses.select("*", F.explode(buckets).alias("bucket"))
-
-
 def distinct_addresses(rows: DataFrame) -> DataFrame:
     """Each address that needs a lookup once, with the number of rows that have it."""
     return (
@@ -81,21 +118,21 @@ def distinct_addresses(rows: DataFrame) -> DataFrame:
     )
 
 
-def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+def locate(addresses: DataFrame, ranges: DataFrame | Blocks) -> DataFrame:
     """Place of each distinct address (``lookup_ip``, ``n``); the narrowest range that holds it wins.
 
     Ranges may overlap in any way.  Of equally narrow ones the later wins, then the smaller country and
-    city.  A plain range condition would be planned as a nested loop; sharing a bucket is an equality, so
-    this is a hash or sort-merge join with the range condition as residual.  Addresses are distinct, so
-    a busy address is no hot key; a coarse bucket can hold up to 2**24 IPv4 addresses.
-    Addresses in no range, or that are none, are left out.
+    city.  A plain range condition would be planned as a nested loop, and a join by coarse buckets pairs
+    whatever shares one.  Here an address is in a range exactly if one of its leading parts is a block
+    of it, so the join is an equality, its rows are the ranges that hold the address, and nothing is
+    compared in vain.  Addresses in no range, or that are none, are left out.
     """
+    blocks = ranges if isinstance(ranges, Blocks) else prepare(ranges)
     keyed = addresses.select("lookup_ip", "n", ip_key(F.col("lookup_ip")).alias("ip_key"))
     # No filter on the key: it would be pushed below the distinct and parse every row's address.
-    points = bucketed_addresses(keyed)
-    inside = points.join(bucketed_ranges(ranges), "bucket").where(
-        F.col("ip_key").between(F.col("start_key"), F.col("end_key"))
-    )
+    heads = [F.substring("ip_key", 1, n) for n in blocks.lengths]
+    names = F.array(*heads) if heads else F.array().cast("array<string>")
+    inside = keyed.select("*", F.explode(names).alias("block")).join(blocks.rows, "block")
     # The later start is the better one: compare the complement of its digits.
     later = F.translate("start_key", "0123456789abcdef", "fedcba9876543210").alias("later")
     best = inside.groupBy("lookup_ip", "n").agg(

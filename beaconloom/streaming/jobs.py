@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from beaconloom.operators import archives, events, latest
+from beaconloom.operators import archives, events, latest, places
 from beaconloom.operators.tables import append_log, write_events
 from beaconloom.sources import beacons
 
@@ -97,9 +97,11 @@ def start_events(
     ``drain`` processes what is there and stops, which is how a last batch is flushed.
     """
 
+    blocks = None if ranges is None else places.prepare(ranges)  # once for all batches
+
     def each(batch: DataFrame, name: str) -> None:
         lines = beacons.parse_lines(arrived(batch))
-        done = events.ingest(lines, rules, ranges, agents_path, name)
+        done = events.ingest(lines, rules, blocks, agents_path, name)
         write_events(done.events, events_path, name)
         append_log(done.rejects, rejects_path, name)
         done.release()

@@ -173,11 +173,36 @@ def test_places_match_brute_force(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_range_buckets_are_bounded(spark):
-    rows = [("0.0.0.0", "255.255.255.255"), ("10.0.0.0", "10.0.255.255"), ("::", "ffff" + ":ffff" * 7)]
+def test_blocks_make_up_their_range(spark):
+    rng = random.Random(8)
+    rows = [("0.0.0.0", "255.255.255.255"), ("10.0.0.0", "10.0.255.255"), ("::", "ffff" + ":ffff" * 7), ("1.2.3.4", "1.2.3.4")]
+    for _ in range(60):
+        a, b = sorted(rng.getrandbits(rng.choice([4, 32, 128])) for _ in range(2))
+        rows.append((str(ipaddress.IPv6Address(a)), str(ipaddress.IPv6Address(b))))
     table = spark.createDataFrame([(*r, "X", "") for r in rows], "ip_start string, ip_end string, country string, city string")
-    counts = places.bucketed_ranges(ranges.keyed_ranges(table)).groupBy("start_key").count().collect()
-    assert sorted(r["count"] for r in counts) == [1, 256, 65536]
+    found = places.range_blocks(ranges.keyed_ranges(table)).groupBy("start_key", "end_key", "width").agg(F.collect_list("block").alias("blocks"))
+    sizes = set()
+    for r in found.collect():
+        start, end, at = int(r.start_key, 16), int(r.end_key, 16), None
+        for block in sorted(r.blocks):
+            low = int(block.ljust(32, "0"), 16)
+            assert low == (start if at is None else at)
+            at = int(block.ljust(32, "f"), 16) + 1
+        assert at == end + 1 and len(r.blocks) <= 960
+        assert int(r.width.upper) * 2**64 + int(r.width.lower) == end - start
+        sizes.add(len(r.blocks))
+    assert {1, 16} <= sizes
+
+
+def test_addresses_of_one_network_meet_their_ranges_only(spark):
+    """All in one /32, which a coarser bucket would pair with every range of it."""
+    rows = [(f"2001:db8:{i:x}::", f"2001:db8:{i:x}:ffff:ffff:ffff:ffff:ffff", f"C{i}", "") for i in range(400)]
+    table = ranges.keyed_ranges(spark.createDataFrame(rows, "ip_start string, ip_end string, country string, city string"))
+    asked = spark.createDataFrame([(f"2001:db8:{i % 400:x}::{i:x}", 1) for i in range(2000)], "lookup_ip string, n bigint")
+    blocks = places.prepare(table)
+    assert blocks.lengths == (12,) and blocks.rows.count() == 400
+    found = places.locate(asked, blocks).collect()
+    assert len(found) == 2000 and all(r.ip_country == f"C{int(r.lookup_ip.split(':')[2], 16)}" for r in found)
 
 
 def test_ranges_from_csv(spark, tmp_path):
