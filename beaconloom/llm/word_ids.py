@@ -13,10 +13,11 @@ import re
 
 import numpy as np
 
-from beaconloom.llm.common import mixed, per_text, tokenizer_path, word_spans
+from beaconloom.llm.common import held, mixed, per_text, tokenizer_path, word_spans
 
-#: Distinct parts whose ids a task remembers; beyond, it starts over.
-REMEMBERED = 1 << 21
+#: Distinct parts whose ids a task remembers.  The frequent ones are met early, so those met later are not remembered;
+#: once as many have been passed over, it starts over, as the texts may have changed.
+REMEMBERED = 1_300_000
 #: Parts of more bytes are looked up one by one, and those longer than LONG are not remembered.
 SHORT, LONG = 16, 64
 
@@ -45,7 +46,7 @@ class WordTable:
     """A hash table from short words to numbers that looks up many at a time."""
 
     def __init__(self, most: int):
-        self.slots = 1 << (most + most // 2).bit_length()
+        self.slots, self.used = 1 << (most + most // 2).bit_length(), 0
         self.rows = np.zeros((self.slots, 4), np.uint64)  # a word's three numbers, and its value + 1
 
     def _home(self, words: np.ndarray) -> np.ndarray:
@@ -66,7 +67,13 @@ class WordTable:
         return out
 
     def add(self, words: np.ndarray, values: np.ndarray) -> None:
-        """Adds words that are not there yet, each once."""
+        """Adds words that are not there yet, each once; a quarter of the slots stays free."""
+        self.used += len(words)
+        if 4 * self.used > 3 * self.slots:
+            old = self.rows[self.rows[:, 3] > 0]
+            words, values = np.concatenate([old[:, :3], words]), np.concatenate([old[:, 3].astype(np.int64) - 1, values])
+            self.slots = 1 << (2 * self.used).bit_length()
+            self.rows = np.zeros((self.slots, 4), np.uint64)
         open_, slot = np.arange(len(words)), self._home(words)
         while len(open_):
             free = self.rows[slot, 3] == 0
@@ -101,7 +108,7 @@ class WordIds:
         self.ids = np.empty(1 << 20, np.uint32)
         self.start = np.empty(1 << 16, np.int64)
         self.count = np.empty(1 << 16, np.int64)
-        self.used = self.known = 0
+        self.used = self.known = self.passed = 0
 
     @staticmethod
     def _splits(about: dict) -> bool:
@@ -156,7 +163,7 @@ class WordIds:
             found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             np.cumsum([len(f) for f in found], out=first[1:])
             return np.array([i for f in found for i in f], np.uint32), first
-        if self.known > self.remembered or self.used > 16 * self.remembered:
+        if self.passed > self.remembered:
             self._forget()
         raw = [t.encode() for t in texts]
         np.cumsum([len(r) for r in raw], out=first[1:])
@@ -170,28 +177,28 @@ class WordIds:
         missing = np.flatnonzero(index < 0)
         parts = [whole[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
         known = self.long
-        before = self.known
+        before, used = self.known, self.used
         new = self._learn(list({p for p in parts if len(p) <= SHORT or p not in known}))
         number = dict(zip(new, range(before, self.known), strict=True))
-        known.update((p, n) for p, n in number.items() if SHORT < len(p) <= LONG)
         index[missing] = [number[p] if p in number else known[p] for p in parts]
-        fresh = np.flatnonzero(index[short] >= before)
-        _, once = np.unique(index[short[fresh]], return_index=True)
-        self.short.add(words[fresh[once]], index[short[fresh[once]]])
         lengths = self.count[index]
         stops = np.cumsum(lengths)
         total = int(stops[-1]) if len(stops) else 0
         ids = self.ids[np.repeat(self.start[index] - stops + lengths, lengths) + np.arange(total)]
         first[:] = np.concatenate([[0], stops])[per_text(starts, offsets)]
+        if before < self.remembered:
+            known.update((p, n) for p, n in number.items() if SHORT < len(p) <= LONG)
+            fresh = np.flatnonzero(index[short] >= before)
+            _, once = np.unique(index[short[fresh]], return_index=True)
+            self.short.add(words[fresh[once]], index[short[fresh[once]]])
+        else:
+            self.known, self.used, self.passed = before, used, self.passed + len(new)
         return ids, first
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def encoder(name: str) -> WordIds:
     """The encoder of a vocabulary file, once in each worker process."""
-    return _encoders.get(name) or _encoders.setdefault(name, WordIds(tokenizer_path(name)))
+    return held(("word ids", name), lambda: WordIds(tokenizer_path(name)))
 
 
 def with_end(ids: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
