@@ -15,6 +15,7 @@ joins the bytes of the pieces and takes the mark off the front; any segmentation
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import zlib
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconloom.llm.common import Batches, mixed, over_slices, per_text, tokenizer_path
+from beaconloom.llm.common import Batches, held, mixed, over_slices, per_text, tokenizer_path
 from beaconloom.llm.word_ids import SHORT, WordTable, short_words
 
 MODEL = "piece_bpe_32k.model"
@@ -67,9 +68,9 @@ class PieceCodec:
     def _forget(self) -> None:
         self.short, self.long = WordTable(REMEMBERED + (1 << 18)), {}
         self.ids = np.empty(1 << 20, np.int32)
-        self.start: list[int] = []
-        self.count: list[int] = []
-        self.used = 0
+        self.start, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.used = self.known = self.passed = 0
+        self.setting: tuple[float, int] | None = None
 
     def _pairs(self) -> None:
         """Which two symbols merge into which piece, as a hash table; symbols are pieces, and characters that only occur
@@ -78,7 +79,12 @@ class PieceCodec:
         for name in list(self.symbol):
             for c in name:
                 self.symbol.setdefault(c, len(self.length) + len(self.symbol))
-        self.text = {i: n for n, i in self.symbol.items()}
+        #: The symbol of every character: -2 if none merges with it; the word mark itself has none, as spaces stand for it.
+        self.of_character = np.full(0x110000, -2, np.int32)
+        for c, i in self.symbol.items():
+            if len(c) == 1 and c != MARK:
+                self.of_character[ord(c)] = i
+        self.of_character[0x20] = self.symbol[MARK]
         keys, merged = [], []
         for name, (_, i) in self.score.items():
             for cut in range(1, len(name)):
@@ -127,63 +133,67 @@ class PieceCodec:
             rows = np.flatnonzero((size > low) & (size <= width))
             low = width
             for a in range(0, len(rows), TOGETHER):
-                part = rows[a : a + TOGETHER]
-                for row, ids in zip(part.tolist(), self._rows([words[r] for r in part], size[part], keys[part], chance, width), strict=True):
+                part = rows[a : a + TOGETHER].tolist()
+                for row, ids in zip(part, self._rows([words[r] for r in part], size[part], keys[part], chance, width), strict=True):
                     out[row] = ids
         for row in np.flatnonzero(size > low).tolist():
             out[row] = list(self.segment(words[row], int(keys[row]), chance))
         return out
 
-    def _rows(self, words: list[str], size: np.ndarray, keys: np.ndarray, chance: float, width: int):
+    def _rows(self, words: list[str], size: np.ndarray, keys: np.ndarray, chance: float, width: int) -> list[list[int]]:
         none, limit = 1 << 30, np.uint64(min(int(chance * (1 << 64)), _M64))
-        get, count = self.symbol.get, len(words)
-        symbols = np.full((count, width + 1), -1, np.int64)  # the last column stands for "no neighbour"
-        inside = np.arange(width + 1) < size[:, None]
-        symbols[inside] = [get(MARK if c == " " else _LITERAL if c == MARK else c, -2) for w in words for c in w]
-        after = np.where(np.arange(1, width + 2) < size[:, None], np.arange(1, width + 2), width)
-        before = np.tile(np.append(np.arange(-1, width - 1), width), (count, 1))
-        before[:, 0] = width
-        merged, rank = np.full((count, width + 1), -1, np.int64), np.full((count, width + 1), none, np.int32)
-
-        def propose(row: np.ndarray, left: np.ndarray) -> None:
-            right = after[row, left]
-            found = self._merge(symbols[row, left], np.where(right < width, symbols[row, right], -1))
-            found[left == width] = -1
-            merged[row, left] = found
-            rank[row, left] = np.where(found >= 0, self.rank[found], none)
-
-        row, left = np.nonzero(inside[:, :width])
-        propose(row, left)
-        row = np.arange(count)
+        step = width + 1  # the last column of a row stands for "no neighbour"
+        inside = (np.arange(step) < size[:, None]).ravel()
+        symbols = np.full(len(words) * step, -3, np.int64)
+        symbols[inside] = self.of_character[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        base = np.repeat(np.arange(len(words)) * step, step)
+        column = np.tile(np.arange(step), len(words))
+        end = base + width
+        after = np.where(column + 1 < np.repeat(size, step), base + column + 1, end)
+        before = np.where((column > 0) & (column < width), base + column - 1, end)
+        merged, rank = np.full(len(symbols), -1, np.int64), np.full(len(symbols), none, np.int32)
+
+        def propose(left: np.ndarray) -> None:
+            found = self._merge(symbols[left], symbols[after[left]])
+            merged[left] = found
+            rank[left] = np.where(found >= 0, self.rank[found], none)
+
+        propose(np.flatnonzero(inside))
+        table, row = rank.reshape(-1, step), np.arange(len(words))
         while len(row):
-            left = rank[row].argmin(axis=1)
-            more = rank[row, left] < none
-            row, left = row[more], left[more]
+            left = (table if len(row) == len(table) else table[row]).argmin(axis=1)
+            at = row * step + left
+            more = rank[at] < none
+            row, left, at = row[more], left[more], at[more]
             if limit:
                 with np.errstate(over="ignore"):
-                    lot = mixed(keys[row] + (left.astype(np.uint64) << np.uint64(32) | merged[row, left].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+                    lot = mixed(keys[row] + (left.astype(np.uint64) << np.uint64(32) | merged[at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
                 skip = lot < limit
-                rank[row[skip], left[skip]] = none
-                r, at = row[~skip], left[~skip]
-            else:
-                r, at = row, left
-            right = after[r, at]
-            symbols[r, at] = merged[r, at]
-            rank[r, right], symbols[r, right] = none, -3
-            beyond = after[r, right]
-            after[r, at] = beyond
-            before[r, beyond] = at
-            propose(r, at)
-            propose(r, before[r, at])
-        symbols[:, width] = -3
-        for word, line in zip(words, symbols.tolist(), strict=True):
+                rank[at[skip]] = none
+                at = at[~skip]
+            right = after[at]
+            symbols[at] = merged[at]
+            rank[right], symbols[right] = none, -3
+            beyond = after[right]
+            after[at] = beyond
+            before[beyond] = at
+            symbols[end[at]] = -3  # merges with nothing
+            propose(at)
+            left = before[at]
+            propose(left[symbols[left] > -3])
+        held = (symbols > -3).reshape(-1, step)
+        counts = held.sum(axis=1)
+        flat = symbols[held.ravel()]
+        stops = np.cumsum(counts)
+        every = flat.tolist()
+        out = [every[a:b] for a, b in zip((stops - counts).tolist(), stops.tolist(), strict=True)]
+        odd = np.add.reduceat((flat < 0) | (flat >= len(self.length)), stops - counts) if len(flat) else []
+        for r in np.flatnonzero(odd).tolist():  # characters that are no piece become their bytes
             ids: list[int] = []
-            for place, i in enumerate(line):
-                if i >= 0 and i < len(self.length):
-                    ids.append(i)
-                elif i > -3 and place < len(word):
-                    ids += [self.of_byte[b] for b in word[place].encode()]
-            yield ids
+            for place, i in zip(np.flatnonzero(held[r]).tolist(), out[r], strict=True):
+                ids += [i] if 0 <= i < len(self.length) else [self.of_byte[b] for b in words[r][place].encode()]
+            out[r] = ids
+        return out
 
     def segment(self, word: str, key: int, chance: float) -> tuple[int, ...]:
         """Ids of a run of characters, spaces being marks; candidates are skipped by ``key``."""
@@ -225,8 +235,9 @@ class PieceCodec:
 
         A text gets a space in front, and a word is a run of spaces with what follows them.
         """
-        if len(self.start) > REMEMBERED:
+        if self.passed > REMEMBERED or self.setting != (chance, seed):
             self._forget()
+            self.setting = (chance, seed)
         base = _mix(seed & _M64)
         raw = [b" " + t.encode() if t else b"" for t in texts]
         whole, offsets = b"".join(raw), np.zeros(len(texts) + 1, np.int64)
@@ -253,7 +264,7 @@ class PieceCodec:
         missing = np.flatnonzero(index < 0)
         spans = zip(starts[missing].tolist(), ends[missing].tolist(), ways[missing].tolist(), strict=True)
         pairs = [(whole[a:b], way) for a, b, way in spans]
-        before, known = len(self.start), self.long
+        before, used, known = self.known, self.used, self.long
         new = list({p for p in pairs if p not in known})
         if new:
             own_keys = np.array([self.word_key(w, way, base) for w, way in new], np.uint64)
@@ -262,22 +273,28 @@ class PieceCodec:
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
             self.ids[self.used : self.used + len(flat)] = flat
-            for ids in found:
-                self.start.append(self.used)
-                self.count.append(len(ids))
-                self.used += len(ids)
-            number = dict(zip(new, range(before, len(self.start)), strict=True))
-            known.update((p, n) for p, n in number.items() if len(p[0]) > SHORT)
+            count = np.array([len(ids) for ids in found], np.int64)
+            while before + len(new) > len(self.start):
+                self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
+            self.start[before : before + len(new)] = self.used + np.cumsum(count) - count
+            self.count[before : before + len(new)] = count
+            self.used, self.known = self.used + len(flat), before + len(new)
+            number = dict(zip(new, range(before, self.known), strict=True))
             index[missing] = [number[p] if p in number else known[p] for p in pairs]
-            fresh = np.flatnonzero(index[short] >= before)
-            _, once = np.unique(index[short[fresh]], return_index=True)
-            self.short.add(rows[fresh[once]], index[short[fresh[once]]])
         elif len(pairs):
             index[missing] = [known[p] for p in pairs]
-        lengths = np.array(self.count, np.int64)[index]
+        lengths = self.count[index]
         stops = np.cumsum(lengths)
-        at = np.repeat(np.array(self.start, np.int64)[index] - stops + lengths, lengths)
-        return self.ids[at + np.arange(len(at))], np.concatenate([[0], stops])[word_first]
+        at = np.repeat(self.start[index] - stops + lengths, lengths)
+        ids = self.ids[at + np.arange(len(at))]
+        if new and before < REMEMBERED:
+            known.update((p, n) for p, n in number.items() if len(p[0]) > SHORT)
+            fresh = np.flatnonzero(index[short] >= before)
+            _, once = np.unique(index[short[fresh]], return_index=True)
+            self.short.add(rows[fresh[once]], index[short[fresh[once]]])
+        else:  # full: those met later are passed over, and once they are many, the task starts over
+            self.known, self.used, self.passed = before, used, self.passed + len(new)
+        return ids, np.concatenate([[0], stops])[word_first]
 
     @staticmethod
     def word_key(word: bytes, way: int, base: int) -> int:
@@ -293,11 +310,8 @@ class PieceCodec:
         return [whole[a:b][1:] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(name: str) -> PieceCodec:
-    return _codecs.get(name) or _codecs.setdefault(name, PieceCodec(tokenizer_path(name)))
+    return held(("pieces", name), lambda: PieceCodec(tokenizer_path(name)))
 
 
 def encode(docs: DataFrame, model: str = MODEL, chance: float = DROPOUT, seed: int = SEED) -> DataFrame:
@@ -319,6 +333,25 @@ def encode(docs: DataFrame, model: str = MODEL, chance: float = DROPOUT, seed: i
     return rows.mapInArrow(over_slices(work), "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, model: str = MODEL, chance: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """doc_id, ids as ``encode`` gives them, and of the text that they decode to, n_bytes and sha256.
+
+    Both ways are gone in the same task, so that neither ids nor texts travel between workers for the check.
+    """
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        keys = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        ids, first = codec(model).encode(texts, keys, chance, seed)
+        back = codec(model).decode(ids, first)
+        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+        sizes, digests = pa.array([len(t) for t in back], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, sizes, digests], names=["doc_id", "ids", "n_bytes", "sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(over_slices(work), "doc_id long, ids array<int>, n_bytes long, sha256 string")
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids and the text of every row that ``encode`` gave; null ids give null text."""
 
@@ -327,7 +360,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 lists = part.column("ids")
-                sizes = np.array([len(x) if x is not None else 0 for x in lists], np.int64)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 texts = codec(model).decode(lists.flatten().to_numpy(zero_copy_only=False), first)
                 valid = lists.is_valid().to_pylist()

@@ -52,15 +52,9 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    decoded = piece_codec.decode(piece_codec.encode(docs))
-    return decoded.select(
-        "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    done = piece_codec.round_trip(table(spark, folder, "documents"))
+    size = F.size("ids").cast("long").alias("n_tokens")
+    return done.select("doc_id", "n_bytes", size, "ids", F.col("sha256").alias("decoded_sha256"))
 
 
 @query
