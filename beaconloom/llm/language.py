@@ -155,7 +155,7 @@ def labelled_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
 
     The sample is bounded by the constants above and by the number of languages.  Rows without text or lang teach nothing.
     """
-    may = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    may = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     counts = may.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
     few = (  # some rows more than are needed of each language, by a second hash, so that no sort sees many
