@@ -115,14 +115,14 @@ def scored(model_scores: np.ndarray, texts: pa.Array):
 
 
 def features(segments: list[tuple[int, int, float]], tokens: int, rate: float, size: float) -> list[float]:
-    """1; the best segment's normalised score; the sum over significant ones, damped; the document's length, damped."""
-    if not tokens:
-        return [1.0, 0.0, 0.0, 0.0]
+    """1; and where there is a segment: 1 again, the best one's normalised score, the sum over significant ones, damped, and
+    the document's length, damped.  All documents without a segment are alike."""
+    if not segments:
+        return [1.0, 0.0, 0.0, 0.0, 0.0]
     offset = np.log(size * tokens)
     normal = [rate * s - offset for _, _, s in segments]
-    best = max(normal, default=-offset)
     strong = sum(x for x in normal if x > -np.log(E_VALUE))
-    return [1.0, float(np.clip(best, -20, 20)), float(np.log1p(strong)), float(np.log1p(tokens))]
+    return [1.0, 1.0, float(np.clip(max(normal), -20, 20)), float(np.log1p(strong)), float(np.log1p(tokens))]
 
 
 def _log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
@@ -231,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     size = len(best) / max(sum(n * np.exp(-rate * s) for n, s in best), 1e-12) if spread.sum() else 1.0
     y = np.array([r["label"] > 0 for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
-        return Model(scores, rate, size, (0.0, 0.0, 0.0, 0.0))
+        return Model(scores, rate, size, (0.0,) * 5)
     x = np.array([features([(0, 0, s) for s in r["segments"]], sum(r["spread"]), rate, size) for r in rows])
     return Model(scores, rate, size, tuple(logistic_fit(x, y).tolist()))
 
@@ -267,7 +267,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and n_passages of every row; other columns are left out.
 
-    Texts that are null, empty or without a word have no segment and get the score of a document without words.
+    Texts that are null, empty or without a word have no segment and get the score of all documents without one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
