@@ -2,7 +2,9 @@
 
 Every document becomes token ids with an end id.  Whole windows of a long one are sequences by themselves.  What is left of
 each document goes to one of many shards, and each shard has an inverted index of its rests, with BM25 weights from the
-document frequencies of the whole corpus.  In a shard the longest unused rest is the seed of a window; the index returns the
+document frequencies of the whole corpus.  Shards are dealt by content, so that like rests meet in one at any size of the
+table: rests are put in order by the leaf of their document in a tree of centroids over weighted ids, fitted on a bounded
+sample, and in a leaf by a min-hash of the ids; a shard is a stretch of that order.  In a shard the longest unused rest is the seed of a window; the index returns the
 unused rests most like it, and those that fit fill the window in that order.  The last gap takes the beginning of the best one
 that does not fit, whose remainder stays in the shard, so that only the last window of a shard is padded.
 """
@@ -10,6 +12,7 @@ that does not fit, whose remainder stays in the shard, so that only the last win
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +20,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconloom.llm.common import Batches, pieces, slices
+from beaconloom.llm.common import Batches, mixed, pieces, slices
+from beaconloom.llm.neighbours import fit_tree
 from beaconloom.llm.word_ids import encoder, with_end
 from beaconloom.session import materialise
 
 VOCABULARY, END, WINDOW = "word_bpe_49k.json", 1, 2048
 #: Rests in a shard, at about.
 SHARD_RESTS = 4096
+#: Documents in the sample that the tree is fitted on; numbers in a document's direction; leaves in a shard, at about.
+SAMPLE, WIDTH, SHARD_LEAVES = 10_000, 64, 8
 #: Ids with the largest weight in a seed that make its query; neighbours that are asked for at a time.
 QUERY_TERMS, NEIGHBOURS = 24, 64
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ENCODED = "doc_id long, start long, doc_tokens long, unit long, ids_crc32 long, ids binary, counts binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_ENCODED = "doc_id long, start long, doc_tokens long, unit long, ids_crc32 long, ids binary, counts binary, leaf int, grain int"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
 _NAMES = [c.split()[0] for c in _ENCODED.split(", ")]
 
 
@@ -43,7 +49,71 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-def _encode(vocabulary: str, end: int, window: int):
+class Topics:
+    """Where documents lie by what they say: the leaf of a tree over their directions, and a min-hash of their ids."""
+
+    def __init__(self, sample: list[np.ndarray], size: int, leaves: int):
+        held_by = np.zeros(size)
+        for ids in sample:
+            held_by[np.unique(ids)] += 1
+        self.idf = np.log1p((len(sample) - held_by + 0.5) / (held_by + 0.5)).astype(np.float32)
+        keys, times = np.unique(np.concatenate([ids.astype(np.uint64) + np.uint64(n * size) for n, ids in enumerate(sample)]), return_counts=True)
+        self.tree = fit_tree(self.directions(keys, times), leaves)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """A random direction for each id, the same everywhere; each process makes its own."""
+        return np.random.default_rng(1).standard_normal((len(self.idf), WIDTH), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def directions(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """A unit vector for each document: the sum of its ids' random directions by their weights.
+
+        ``keys`` are sorted numbers document * size + id, and every document has one."""
+        size = len(self.idf)
+        ids, first = (keys % np.uint64(size)).astype(np.int64), _firsts(keys, size)
+        weights = self.idf[ids] * (1 + np.log(times)).astype(np.float32)
+        bounds, out = np.append(first, len(keys)), np.empty((len(first), WIDTH), np.float32)
+        a = 0
+        while a < len(first):  # some documents at a time
+            b = max(int(np.searchsorted(bounds, bounds[a] + (1 << 12), "right")) - 1, a + 1)
+            part = slice(bounds[a], bounds[b])
+            out[a:b] = np.add.reduceat(self.table[ids[part]] * weights[part, None], first[a:b] - bounds[a])
+            a = b
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
+
+    def places(self, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each document and its grain: eight bits, alike where most ids are."""
+        size = len(self.idf)
+        least = np.minimum.reduceat(mixed(keys % np.uint64(size)), _firsts(keys, size))
+        return self.tree.leaf_of(self.directions(keys, times)), (mixed(least) >> np.uint64(56)).astype(np.int32)
+
+
+def _firsts(keys: np.ndarray, size: int) -> np.ndarray:
+    owner = keys // np.uint64(size)
+    return np.flatnonzero(np.diff(owner, prepend=~owner[:1]) != 0)
+
+
+def _topics(rows: DataFrame, total: int, vocabulary: str, end: int, window: int) -> Topics:
+    """Fitted on documents chosen by hash, by their first window."""
+
+    def work(batches: Batches) -> Batches:
+        codec = encoder(vocabulary)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, first = with_end(*codec.encode([t or "" for t in part.column("text").to_pylist()]), end)
+                raw = [ids[a : min(b, a + window)].astype("<u4").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([len(codec.ending)] * len(raw), pa.int32())], names=["ids", "size"])
+
+    few = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(total)) < SAMPLE).dropDuplicates()
+    found = few.mapInArrow(work, "ids binary, size int").toArrow()
+    sample = [np.frombuffer(raw, "<u4") for raw in sorted(found["ids"].to_pylist())]
+    return Topics(sample, found["size"][0].as_py(), -(-total * SHARD_LEAVES // SHARD_RESTS)) if sample else None
+
+
+def _encode(vocabulary: str, end: int, window: int, topics=None):
     def work(batches: Batches) -> Batches:
         """Rows with a checksum are whole windows, rows with ids are rests, and the last one has the ids' document
         frequencies in this partition.  ``unit`` is a number of its own for each window and rest."""
@@ -55,20 +125,21 @@ def _encode(vocabulary: str, end: int, window: int):
             for part in slices(batch, "text"):
                 ids, first = with_end(*codec.encode([t or "" for t in part.column("text").to_pylist()]), end)
                 owner = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-                held = np.unique(owner * np.uint64(size) + ids)
-                frequency[:size] += np.bincount((held % np.uint64(size)).astype(np.int64), minlength=size)
+                keys, times = np.unique(owner * np.uint64(size) + ids, return_counts=True)
+                frequency[:size] += np.bincount((keys % np.uint64(size)).astype(np.int64), minlength=size)
                 frequency[size] += len(first) - 1
+                places = [p.tolist() for p in topics.value.places(keys, times)] if topics else [[0] * (len(first) - 1)] * 2
                 rows = []
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                for doc_id, a, b, *place in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), *places, strict=True):
                     cut = a + (b - a) // window * window
                     for at in range(a, cut, window):
-                        rows.append((doc_id, at - a, b - a, unit, _crc(ids[at : at + window]), None, None))
+                        rows.append((doc_id, at - a, b - a, unit, _crc(ids[at : at + window]), None, None, None, None))
                         unit += 1
                     if cut < b:
-                        rows.append((doc_id, cut - a, b - a, unit, None, ids[cut:b].astype("<u4").tobytes(), None))
+                        rows.append((doc_id, cut - a, b - a, unit, None, ids[cut:b].astype("<u4").tobytes(), None, *place))
                         unit += 1
                 yield _batch(rows)
-        yield _batch([(None, None, None, None, None, None, frequency.tobytes())])
+        yield _batch([(None, None, None, None, None, None, frequency.tobytes(), None, None)])
 
     return work
 
@@ -199,6 +270,27 @@ def _pack(frequency, window: int):
     return work
 
 
+def _dealt(rests: DataFrame) -> DataFrame:
+    """Rests with their shard, a stretch of the order by leaf and grain.
+
+    A rest counts by its length and the mean one, so that neither the rests nor the ids of a shard are more than twice the
+    mean.  What has the same leaf and grain lies over as many shards as it fills, however many copies there are.
+    """
+    length = F.col("doc_tokens") - F.col("start")
+    keys = rests.groupBy("leaf", "grain").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("length")).toArrow().sort_by([("leaf", "ascending"), ("grain", "ascending")])
+    n, ids = keys["n"].to_numpy(), keys["length"].to_numpy()
+    shards = pieces(int(n.sum()), SHARD_RESTS, most=1 << 30)
+    if shards == 1:
+        return rests.withColumn("shard", F.lit(0).cast("long"))
+    mean = -(-int(ids.sum()) // int(n.sum()))
+    spans = ids + n * mean
+    stretch = -(-int(spans.sum()) // shards)
+    columns = [keys["leaf"], keys["grain"], pa.array(np.cumsum(spans) - spans), pa.array(spans)]
+    found = rests.sparkSession.createDataFrame(pa.table(columns, names=["leaf", "grain", "before", "span"]))  # 256 rows a leaf at most
+    place = F.col("before") + F.pmod(F.xxhash64("unit"), F.col("span"))
+    return rests.join(F.broadcast(found), ["leaf", "grain"]).withColumn("shard", F.floor(place / F.lit(stretch)).cast("long"))
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, window: int = WINDOW) -> DataFrame:
     """The columns of ``PIECES`` for every piece: where its ids begin in its document, and its sequence and place in it.
 
@@ -206,15 +298,14 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, window:
     Sequences are numbered apart, not one after the other: whole windows have odd numbers, those of shards even ones.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = materialise(rows.mapInArrow(_encode(vocabulary, end, window), _ENCODED), "encoded")
+    total, topics = rows.count(), None
+    if total > SHARD_RESTS:
+        topics = docs.sparkSession.sparkContext.broadcast(_topics(rows, total, vocabulary, end, window))  # bounded by the sample
+    encoded = materialise(rows.mapInArrow(_encode(vocabulary, end, window, topics), _ENCODED), "encoded")
     frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(encoded))
     whole = encoded.where("ids_crc32 is not null").select(
         "doc_id", "start", F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (2 * F.col("unit") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    rests = encoded.where("ids is not null")
-    shards = pieces(rests.count(), SHARD_RESTS, most=1 << 30)
-    dealt = rests.select(
-        F.pmod(F.xxhash64("unit"), F.lit(shards)).alias("shard"), "doc_id", "start", "doc_tokens", "unit", "ids"
-    )
+    dealt = _dealt(encoded.where("ids is not null")).select("shard", "doc_id", "start", "doc_tokens", "unit", "ids")
     return whole.unionByName(dealt.groupBy("shard").applyInArrow(_pack(frequency, window), PIECES))

@@ -98,3 +98,26 @@ def test_document_frequencies_cover_the_corpus(lake):
 
 def test_empty_table(empty):
     assert packing.pack(empty).collect() == []
+
+
+@pytest.mark.parametrize("topics", [16, 32])
+def test_like_documents_share_a_shard_at_any_size(lake, monkeypatch, topics):
+    monkeypatch.setattr(packing, "SHARD_RESTS", 40)
+    rng, rows = np.random.default_rng(topics), []
+    letters = list("bcdfghklmnprstvz")
+    words = [[" ".join(rng.choice(letters, 5)) for _ in range(12)] for _ in range(topics)]
+    for i in range(40 * topics):
+        rows.append((i, " ".join(rng.choice(words[i % topics], 8)).replace(" ", "a") + f" {i}"))
+    found = packing.pack(frame(lake, rows).repartition(3), window=256).collect()
+    shard = {r.doc_id: r.sequence_id >> 33 for r in found}
+    assert set(np.bincount(list(shard.values())) <= 80) == {True} and len(set(shard.values())) > topics / 2
+    alike = np.mean([shard[a] == shard[a + topics] for a in range(39 * topics)])
+    assert alike > 0.2  # by chance it is one in as many as there are shards
+
+
+def test_copies_fill_several_shards(lake, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_RESTS", 30)
+    rows = [(i, prose(1, 40)) for i in range(200)] + [(200 + i, prose(i, 40)) for i in range(40)]
+    found = packing.pack(frame(lake, rows).repartition(3), window=128).collect()
+    check(rows, found, 128)
+    assert np.bincount([s >> 33 for s in {r.doc_id: r.sequence_id for r in found}.values()]).max() < 75
