@@ -26,9 +26,8 @@ BACKOFF = 0.4
 #: Bytes of text in a batch, at about.
 BATCH_BYTES = 20 << 20
 
-#: Bits of an n-gram's hash.  Among as many n-grams as half a gigabyte of compressed text has, a third of a pair is
-#: expected to share one, and at 30 GB about one n-gram in six million shares its hash with another.
-HASH_BITS = 56
+#: Bits of an n-gram's hash; n-grams with the same one share their counts.  At 30 GB about one n-gram in 1.5 billion does.
+HASH_BITS = 64
 
 _COUNTS = "words long, bytes long"
 
@@ -101,7 +100,8 @@ def distinct(batch: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Hashes in order have their buckets in order."""
-    return ((hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    top = hashes >> np.uint64(HASH_BITS - 32) if HASH_BITS >= 32 else hashes << np.uint64(32 - HASH_BITS)
+    return (top * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _requests(order: int, buckets: int):
@@ -168,7 +168,7 @@ def word_scores(grams: Grams, counts: list[tuple[np.ndarray, np.ndarray]], words
     score = np.log(np.maximum(others[0], 0.5)) - np.log(remaining)
     for n in range(2, order + 1):
         context = np.roll(others[n - 2], 1)
-        seen = others[n - 1] > 0
+        seen = (others[n - 1] > 0) & (context > 0)  # a context that never occurs elsewhere: the n-gram shares its hash
         better = np.log(np.where(seen, others[n - 1], 1)) - np.log(np.where(seen, context, 1))
         has = grams.place >= n - 1
         score = np.where(seen, better, np.where(has, score + np.log(BACKOFF), score))

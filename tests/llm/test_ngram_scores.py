@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import frame, prose
 
@@ -63,3 +64,24 @@ def test_packed_numbers():
     values = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert (np.cumsum(unpacked(packed(steps(values)), np.uint64, 1000)) == values).all()
     assert len(unpacked(packed(values[:0]), np.uint64, 0)) == 0
+
+
+def test_shared_hashes_leave_scores_finite(lake, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(30)]
+    monkeypatch.setattr(ngram_scores, "HASH_BITS", 12)
+    monkeypatch.setattr(ngram_scores, "BATCH_BYTES", 4000)
+    for order in (2, 3):
+        found = score_documents(frame(lake, rows), order).collect()
+        assert len(found) == 30 and all(math.isfinite(r.log_score) for r in found)
+
+
+def test_a_context_without_a_count_is_backed_off():
+    grams = ngram_scores.Grams(pa.array(["a b c"]), 3)
+    counts = [(np.unique(grams.of(n)[1]), np.full(4 - n, own)) for n, own in ((1, 3), (2, 1), (3, 5))]
+    scores = ngram_scores.word_scores(grams, counts, 100)
+    assert np.isfinite(scores).all() and np.isclose(scores[2], math.log(BACKOFF * BACKOFF * 2 / 97))
+
+
+def test_hashes_are_whole():
+    """By 56 bits, one n-gram in six million would share its hash at 30 GB."""
+    assert ngram_scores.HASH_BITS == 64
