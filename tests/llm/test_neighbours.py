@@ -94,3 +94,7 @@ def test_queries_need_not_be_in_the_table(lake):
     found = results(Index(vectors(lake, rows)).search(other))
     assert [(i, s) for _, i, s in found[5000]] == brute([*rows, (5000, [0.5] * 4)], 5000)
     assert other.where(F.col("vec_id") < 0).count() == 0
+
+
+def test_recall_that_is_aimed_at():
+    assert neighbours.RECALL >= 0.97
