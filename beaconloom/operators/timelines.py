@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconloom.functions.timelines import decode_runs, length
+from beaconloom.functions.timelines import MAX_ARRAY, decode_runs, length
 
 # Rows that one step writes of a run; and the buckets beyond which a timeline can only be an attack: a
 # client would have to record a bucket each millisecond for 24 days.
@@ -72,9 +72,14 @@ def bucket_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.select(*keys, F.explode(buckets).alias("bucket"), F.col("run.value").alias("value"))
 
 
-def refused(df: DataFrame, column: str) -> DataFrame:
-    """Timelines that give no bucket rows though they have text, with the ``reason``."""
+def refused(df: DataFrame, column: str, arrays: bool = False) -> DataFrame:
+    """Timelines that give no bucket rows though they have text, with the ``reason``.
+
+    For ``arrays``, those that ``expand_runs`` makes no array of: also ``long_timeline``, which ``bucket_rows`` writes out.
+    """
     reason = F.when(F.col("runs").isNull(), "bad_timeline").when(
         length(F.col("runs")) > MAX_BUCKETS, "endless_timeline"
     )
+    if arrays:
+        reason = reason.when(length(F.col("runs")) > MAX_ARRAY, "long_timeline")
     return df.where(F.col(column).isNotNull()).withColumn("reason", reason).where("reason is not null")

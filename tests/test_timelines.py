@@ -108,3 +108,13 @@ def test_long_runs_are_written_in_chunks(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("0a",)], "t string").select(codec.decode(F.col("t")))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_timelines_too_long_for_an_array_have_a_reason(spark):
+    runs = spark.createDataFrame(
+        [("fits", [(1, 1 << 20)]), ("long", [(1, 1 << 20), (2, 1)]), ("endless", [(1, (1 << 31) + 1)]), ("bad", None)],
+        "t string, runs array<struct<value: bigint, times: bigint>>",
+    )
+    reasons = {r.t: r.reason for r in timelines.refused(runs, "t", arrays=True).collect()}
+    assert reasons == {"long": "long_timeline", "endless": "endless_timeline", "bad": "bad_timeline"}
+    assert {r.t for r in timelines.refused(runs, "t").collect()} == {"endless", "bad"}
