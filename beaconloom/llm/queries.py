@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconloom.llm import fingerprints, language, near_duplicates, neighbours, ngram_scores, packing, piece_codec, token_counts, token_files, toxicity
+from beaconloom.llm import (
+    centroids,
+    fingerprints,
+    language,
+    near_duplicates,
+    neighbours,
+    ngram_scores,
+    packing,
+    piece_codec,
+    shingle_join,
+    spelling,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from beaconloom.llm.common import ship, table
 from beaconloom.session import materialise, scratch_path
 
@@ -127,3 +141,79 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_words, round(coalesce(s.s, 0), 6) AS log_
 FROM documents d LEFT JOIN sizes n USING (doc_id)
 LEFT JOIN (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id) s USING (doc_id)
 """
+
+
+@query
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.join_documents(table(spark, folder, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+    SELECT row, vec_id, v, c, d FROM (
+        SELECT w.row, w.vec_id, w.v, c.c, list_sum(list_transform(list_zip(w.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+        FROM whole w CROSS JOIN c{k} c
+    ) QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1
+)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+    SELECT c.c, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+        SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+            SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM near{k} CROSS JOIN range(1, 65) t(i) GROUP BY c, i
+        ) GROUP BY c
+    ) m USING (c)
+)""")
+    return f"""
+WITH whole AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM whole QUALIFY c < 16
+),
+{", ".join(steps)}
+SELECT vec_id, n.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN c{rounds} f USING (c)
+"""
+
+
+ORACLES["op11_centroids"] = _centroid_sql()
+
+ORACLES["op12_shingle_join"] = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'
+    ), lambda w: w <> '') AS w FROM documents
+),
+sets AS MATERIALIZED (
+    SELECT doc_id, CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    END AS s FROM words
+),
+grams AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON doc_id = a
+"""
