@@ -32,8 +32,9 @@ def are_json_numbers_or_empty(texts: list[Column]) -> Column:
 
 
 def json_decimal(text: Column) -> Column:
-    """JSON number text to a float; NULL for empty or missing."""
-    return F.when(text.rlike(rf"^{JSON_NUMBER}\z"), text.try_cast("float"))
+    """JSON number text to a float; NULL for empty or missing text and for numbers beyond its range."""
+    value = text.try_cast("float")
+    return F.when(text.rlike(rf"^{JSON_NUMBER}\z") & (F.abs(value) < F.lit(float("inf"))), value)
 
 
 def _tick(text: Column) -> Column:

@@ -47,8 +47,8 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
         "redirect_duration": F.lit(0),
         "redirects_count": F.lit(0),
         "cumulative_layout_shift": numbers.json_decimal(text("c.cls")),
-        "screen_width": numbers.whole(width),
-        "screen_height": numbers.whole(height),
+        "screen_width": numbers.whole(width, "int"),
+        "screen_height": numbers.whole(height, "int"),
         "mob_dl": numbers.rounded(text("mob.dl")),
     }
     for name, (start, end) in DELTAS.items():
@@ -69,18 +69,19 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
         columns.append(column.alias(name))
 
     # A number that its column cannot hold must not become NULL unseen.  Most columns have a value.
-    left = [
-        F.when(F.col(name).isNull(), text(key)) for name, _, rule, key in EVENT_COLUMNS if rule == "whole"
-    ]
+    source = {name: text(key) for name, _, rule, key in EVENT_COLUMNS if rule == "whole"}
+    source |= {"screen_width": width, "screen_height": height, "mob_dl": text("mob.dl"), "cumulative_layout_shift": text("c.cls")}
+    left = [F.when(F.col(name).isNull(), given) for name, given in source.items()]
     misfit = F.concat_ws("\x01", *left).rlike(rf"(?:^|\x01){numbers.DECIMAL[1:-2]}(?:\x01|\z)")
 
+    # One chain of reasons: the first that holds is given.  Misfits and times are told from the typed columns.
     numbers_fit = numbers.are_json_numbers_or_empty([value(key) for key in JSON_NUMBER_KEYS])
-    reason = (
+    early = (
         F.when(F.col("unreadable").isNotNull(), F.col("unreadable"))
         .when(urls.is_bad_url(text("u"), F.col("_plain_host")), "bad_url")
         .when(~numbers_fit, "bad_number")
-        .when(created_at.isNull(), "bad_created_at")
     )
+    late = F.when(misfit, "bad_number").when(F.col("created_at").isNull(), "bad_created_at")
     return (
         beacons.withColumns(
             {
@@ -98,11 +99,11 @@ def type_beacons(beacons: DataFrame) -> DataFrame:
             F.when((country == "") & (city == ""), texts.not_empty(F.col("client_ip"))).alias(
                 "lookup_ip"
             ),
-            reason.alias("_reason"),
+            early.alias("_reason"),
             "raw",
             "params",
         )
-        .withColumn("reason", F.coalesce("_reason", F.when(misfit, "bad_number")))
+        .withColumn("reason", F.coalesce("_reason", late))
         .drop("_reason", "params")
         .withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
     )

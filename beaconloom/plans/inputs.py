@@ -15,14 +15,15 @@ EPOCH_MS = 1_700_000_000_000
 TICK = f"cast({EPOCH_MS} + event_id"
 
 PARAMETERS: dict[str, str] = {
+    # Some beacons have two faults: 303, 309 and 404 meet 101 and 103.
     "u": "case when event_id % 101 = 7 then 'http://bad host/x' else url end",
     "created_at": (
-        "case when event_id % 89 = 5 then null when event_id % 103 = 9 then 'yesterday'"
+        "case when event_id % 89 = 5 then null when event_id % 103 = 9 or event_id % 404 = 7 then 'yesterday'"
         " else substr(cast(ts as string), 1, 19) end"
     ),
     "rt.si": "concat('session-', cast(user_id as string))",
     # A session length beyond 16 bits, and what is no JSON number where one is required.
-    "rt.sl": "case when event_id % 113 = 6 then '40000' else cast(event_id % 40 as string) end",
+    "rt.sl": "case when event_id % 113 = 6 or event_id % 309 = 9 then '40000' else cast(event_id % 40 as string) end",
     "rt.quit": "case when event_type = 'error' then '' end",
     "http_initiator": "case when event_type = 'click' then 'click' end",
     "pid": "lpad(cast(event_id % 100000000 as string), 8, '0')",
@@ -42,21 +43,21 @@ PARAMETERS: dict[str, str] = {
     "pt.fcp": "cast(event_id % 3000 + 40 as string)",
     "pt.lcp": "case when event_id % 13 = 0 then '' else cast(event_id % 4000 as string) end",
     "c.cls": (
-        "case when event_id % 97 = 11 then '0,5' when event_type = 'signup' then ''"
+        "case when event_id % 97 = 11 then '0,5' when event_id % 157 = 6 then '1e40' when event_type = 'signup' then ''"
         " else cast(value as string) end"
     ),
     "et.fid": (
         "case when event_id % 127 = 8 then '10.5' when event_id % 2 = 0 then cast(event_id % 300 as string) end"
     ),
-    "net.sd": "case when event_id % 131 = 1 then 'on' when event_id % 6 = 0 then '1' end",
+    "net.sd": "case when event_id % 131 = 1 or event_id % 303 = 7 then 'on' when event_id % 6 = 0 then '1' end",
     "mob.etype": "case when user_id % 3 = 0 then '4g' when user_id % 3 = 1 then '3g' else '' end",
-    "mob.dl": "case when event_id % 17 = 2 then 'fast' else cast(value as string) end",
+    "mob.dl": "case when event_id % 17 = 2 then 'fast' when event_id % 151 = 4 then '99999999999' else cast(value as string) end",
     "mob.rtt": (
         "case when event_id % 7 = 0 then '' when event_id % 137 = 2 then '0x1f' else cast(event_id % 500 as string) end"
     ),
     "scr.xy": (
-        "case event_id % 4 when 0 then '1700x920' when 1 then '390x800' when 2 then ''"
-        " else '1x2x3' end"
+        "case when event_id % 139 = 5 then '99999999999x5' when event_id % 4 = 0 then '1700x920'"
+        " when event_id % 4 = 1 then '390x800' when event_id % 4 = 2 then '' else '1x2x3' end"
     ),
     "scr.bpp": "'30/30'",
     "scr.orn": "'90/upright'",
@@ -103,8 +104,8 @@ AGENT = """case user_id % 10
  when 0 then ''
  when 1 then concat('Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/',
    cast(100 + event_id % 20 as string), '.0.', cast(5000 + user_id as string), '.102 Safari/537.36')
- when 2 then concat('Mozilla/5.0 (iPhone; CPU iPhone OS 13_2_3 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/13.0.',
-   cast(event_id % 4 as string), ' Mobile/15E148 Safari/604.1')
+ when 2 then concat('Mozilla/5.0 (iPhone; CPU iPhone OS 16_5 like Mac OS X) AppleWebKit/610.2.7 (KHTML, like Gecko) Version/16.5.',
+   cast(event_id % 4 as string), ' Mobile/20F66 Safari/610.2')
  when 3 then 'Mozilla/5.0 (Linux; Android 13; Pixel 6a) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/112.0.0.0 Mobile Safari/537.36'
  when 4 then 'Mozilla/5.0 (Linux; Android 12; SM-T870) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/107.0.0.0 Safari/537.36'
  when 5 then concat('Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:', cast(90 + user_id as string), '.0) Gecko/20100101 Firefox/', cast(90 + user_id as string), '.0')
@@ -139,11 +140,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Events that one task makes beacons of, at about: some 2 KB of JSON each.
+TASK_EVENTS = 64 * 1024
+
+
 def visits(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with the URL of their page; pages are assigned in turn."""
+    """Events with the URL of their page; pages are assigned in turn.
+
+    An event is a few bytes, the beacon made of it some 2 KB: events are dealt to as many tasks as the beacons need.
+    """
     events = table(spark, folder, "events")
     pages = table(spark, folder, "pages").select("page_id", "url")
     count = pages.count()  # from the files' footers
+    tasks = max(spark.sparkContext.defaultParallelism, -(-events.count() // TASK_EVENTS))
+    events = events.repartition(tasks, "event_id")
     return events.withColumn("page_id", F.col("event_id") % F.lit(count)).join(pages, "page_id")
 
 

@@ -35,6 +35,7 @@ typed as (select *,
   regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1) as hostname,
   case when u like '% %' then 'bad_url'
        when "c.cls" like '%,%' or "rt.sl" = '40000' or "et.fid" = '10.5' or "net.sd" = 'on' or "mob.rtt" = '0x1f'
+           or "c.cls" = '1e40' or "mob.dl" = '99999999999' or "scr.xy" like '99999999999x%'
          then 'bad_number'
        when created_at = 'yesterday' then 'bad_created_at' end as reason,
   case when created_at is null then strftime(received_at, '%Y-%m-%d %H:%M:%S')
@@ -52,7 +53,7 @@ KIND = """case when http_initiator <> '' then http_initiator
  when "rt.quit" is not null then 'quit_page' else 'visit_page' end"""
 SIDE = """case when regexp_matches("scr.xy", '^[0-9]+x[0-9]+$') then
  cast(split_part("scr.xy", 'x', {}) as bigint) end"""
-ROUNDED = """cast(round(try_cast("mob.dl" as float)) as bigint)"""
+ROUNDED = """case when abs(try_cast("mob.dl" as float)) < 2147483648 then cast(round(try_cast("mob.dl" as float)) as bigint) end"""
 
 _numbers: dict[str, int] = {}
 _rules = []
@@ -208,7 +209,8 @@ MOUSE = f"""{BEACONS},
 mouse as (select seq, regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1) as hostname,
   event_id % 19 + 1 as r, event_id % 100 as a, user_id % 100 as b from beacons)"""
 
-_faulty_form = "case when broken then 'bad_form' when u like '% %' then 'bad_url' end"
+_faulty_form = "case when broken then 'bad_form' when u like '% %' then 'bad_url'"
+_faulty_form += " when dl = '99999999999' then 'bad_number' end"
 
 ORACLES: dict[str, str] = {
     "beacon_events": f"{EVENTS_CTE}\nselect {EVENT_SELECT},\n seq\n{EVENT_FROM}",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconloom.operators import events, latest, tables
-from beaconloom.schema import EVENT_NAMES, EVENT_SCHEMA, EVENT_SCHEMA_V1, HOSTNAME_SCHEMA
+from beaconloom.schema import EVENT_COLUMNS, EVENT_NAMES, EVENT_SCHEMA, EVENT_SCHEMA_V1, HOSTNAME_SCHEMA
 from beaconloom.sources import beacons, ranges
 
 CHROME = (
@@ -273,6 +273,31 @@ def test_numbers_that_do_not_fit_are_rejected(load):
     assert count(done, "dom_sz is null and session_length is null and mem_used = 123456789012") == 1
 
 
+def test_no_number_is_too_large_for_the_job_or_changed(load):
+    """Every numeric column, with a number that its type cannot hold, one that is not whole where it must be, and none."""
+    numeric = {key for name, kind, rule, key in EVENT_COLUMNS if rule == "whole"} | {"mob.dl", "c.cls"}
+    lines = [beacon(**{key.replace(".", "__"): given}) for key in sorted(numeric) for given in ("9" * 40, "-" + "9" * 40, "1e400")]
+    lines += [beacon(scr__xy=size) for size in ("99999999999x5", "5x99999999999", "1e9x5", "-3000000000x-1", "5.5x7")]
+    lines += [beacon(c__cls="1e40"), beacon(c__cls="-1e40"), beacon(mob__dl="99999999999"), beacon(mob__dl="1e40")]
+    done = load(*lines, beacon(scr__xy="x"), beacon(scr__xy="wide x high"), beacon(mob__dl="fast"), beacon(nt_con_end="9" * 40))
+    assert [r.reason for r in done.rejects.collect()] == ["bad_number"] * len(lines)
+    assert count(done) == 4 and count(done, "connect_duration = 65535") == 1
+
+
+def test_the_first_of_several_reasons_is_given(load):
+    faults = {
+        "bad_url": {"u": "http://bad host/"},
+        "bad_number": {"rt__sl": "40000"},
+        "bad_number ": {"c__cls": "0,5"},
+        "bad_number  ": {"scr__xy": "99999999999x5"},
+        "bad_created_at": {"created_at": "soon"},
+    }
+    names = list(faults)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    done = load(*[beacon(**faults[a], **faults[b]) for a, b in pairs])
+    assert [r.reason for r in done.rejects.orderBy("seq").collect()] == [a.strip() for a, _ in pairs]
+
+
 def test_a_host_keeps_its_last_readable_time(load):
     done = load(
         beacon(created_at="2023-01-01 00:00:01"),
