@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 
 from beaconloom.functions import maps, texts, urls
 from beaconloom.operators.tables import filter_once, overwrite_partitions
-from beaconloom.session import materialise, remove
+from beaconloom.session import exists, materialise, remove, remove_matching
 from beaconloom.sources import archives as archive_files
 
 HOUR_KEYS = ["host", "day", "hour"]
@@ -175,3 +176,39 @@ def compact(
     write_day_files(lines, day_root, compression, order)
     write_hour_ranges(hour_ranges(lines), meta_root)
     remove(lines.sparkSession, written)
+
+
+def compact_day_and_remove(
+    spark: SparkSession,
+    root: str,
+    day: date,
+    day_root: str,
+    meta_root: str,
+    compression: str = "NONE",
+    between: Callable[[], None] | None = None,
+) -> int:
+    """``compact_day``, after which the hour files that went into the day files are removed; how many others are left.
+
+    Two phases, with a table of file names as the mark between them.  Until it is committed no hour file is touched, and a job
+    that runs again replaces what an interrupted one wrote; once it is, a job that runs again only removes what the mark lists, so
+    that lines which arrived since then, and are in no day file, stay.  ``between`` is called when the mark is committed.
+    """
+    mark = f"{meta_root.rstrip('/')}/_folded/{day.isoformat()}"
+    if not exists(spark, f"{mark}/_SUCCESS"):
+        lines = lines_of_day(spark, root, day)
+        if lines is None:
+            return 0
+        written: list[str] = []
+        lines = materialise(lines, "lines", written)  # what is listed is what is folded, whatever arrives meanwhile
+        compact(lines, day_root, meta_root, compression)
+        lines.select("file").distinct().write.mode("overwrite").parquet(mark)
+        remove(spark, written)
+    if between:
+        between()
+    folded = [row["file"] for row in spark.read.schema("file string").parquet(mark).toLocalIterator()]
+    remove(spark, folded)
+    left = lines_of_day(spark, root, day)
+    count = 0 if left is None else left.select("file").distinct().count()
+    if not count:
+        remove_matching(spark, archive_files.day_patterns(root, f"{day.year}-{day.month}-{day.day}"))
+    return count

@@ -237,7 +237,8 @@ select seq, made as created_at, substr(made, 1, 10) as event_date from good""",
     "rejects": f"""with {TYPED}, {FORM_ROWS}
 select 'lines' as source, seq, reason from typed where reason is not null
 union all
-select 'forms', seq, {_faulty_form} from forms where broken or u like '% %'""",
+select 'forms', seq, {_faulty_form} from forms
+where broken or u like '% %' or dl = '99999999999'""",
     "form_parse": f"""with {FORMS}
 select seq, case when not broken then u end as u, case when not broken then si end as rt_si,
  case when not broken then 'first' end as n, case when not broken then '' end as flag,
@@ -270,9 +271,12 @@ select seq, {FALLBACK} as country, {FALLBACK_CITY} as city
 from beacons b left join located l on l.ip = b.ip""",
     "host_registry": HOSTS.format(", seq"),
     "stream_hosts": HOSTS.format(""),
+    "stream_registry": HOSTS.format(""),
     "subscription_register": f"""with {OWNERS}
 select username, hostname, subscription_id, subscription_expire_at, seq from log""",
     "owners_current": f"""with {OWNERS}
+select username, hostname, subscription_id, subscription_expire_at, seq from owners""",
+    "registry_compacted": f"""with {OWNERS}
 select username, hostname, subscription_id, subscription_expire_at, seq from owners""",
     "owner_deletes": f"""with {OWNERS}
 select username, hostname, subscription_id, subscription_expire_at, seq from kept""",
@@ -300,6 +304,7 @@ from lines""",
     "archive_hours": f"with {LINES} select host, day, hour, value from lines",
     "stream_archive": f"with {LINES} select host, day, hour, value from lines",
     "archive_day": f"with {LINES} select host, day_name as day, value from lines where day = '{DAY}'",
+    "archive_day_removed": f"with {LINES} select host, day_name as day, value from lines where day = '{DAY}'",
     "archive_days_gzip": f"with {LINES} select host, day_name as day, value from lines",
     "archive_days_zstd": f"with {LINES} select host, day_name as day, value from lines",
     "archive_meta_files": f"""with {HOUR_RANGES}
@@ -308,7 +313,7 @@ select host, day_name as day, concat_ws(',', hour, cast(last_line - n + 1 as big
     "archive_replay": f"""with {FORMS}
 select regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1) as hostname, si as session_id, count(*) as n,
  cast(sum(cast(round(try_cast(dl as float)) as bigint)) as bigint) as mob_dl_total
-from forms where not broken and u not like '% %' group by 1, 2""",
+from forms where not broken and u not like '% %' and dl <> '99999999999' group by 1, 2""",
     "timeline_stats": f"""with {MOUSE}
 select hostname, cast(sum(r + 2) as bigint) as buckets, cast(sum(r * a + 100 + b) as bigint) as total,
  cast(100 as bigint) as largest from mouse group by 1""",

@@ -26,6 +26,7 @@ from beaconloom.operators import (
     tables,
     timelines,
 )
+from beaconloom.operators.snapshots import CompactedLog
 from beaconloom.plans import inputs
 from beaconloom.schema import (
     EVENT_NAMES,
@@ -357,6 +358,23 @@ def owners_current(spark: SparkSession, folder: str) -> DataFrame:
     return plain(_owner_view(spark, folder))
 
 
+@query
+def registry_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Owners from a log that is written in four batches and compacted after the second and, in part, after the third."""
+    given, gone = subscriptions.register(inputs.owner_requests(spark, folder)), inputs.owner_deletes(spark, folder)
+    last = inputs.owner_requests(spark, folder).agg(F.max("seq")).head()[0] or 0
+    log = CompactedLog(spark, scratch_path(spark, "owner_log"), OWNER_SCHEMA, subscriptions.OWNER_KEYS, segment_span=max(last // 16, 1))
+    for batch in range(4):
+        span = F.col("seq").between(batch * last // 4 + (batch > 0), (batch + 1) * last // 4)
+        log.append(given.where(span))
+        log.delete(gone.where(span))
+        if batch == 1:
+            log.compact()
+        elif batch == 2:
+            log.compact(upto=5 * last // 8)
+    return plain(log.read())
+
+
 @query
 def owner_deletes(spark: SparkSession, folder: str) -> DataFrame:
     """All registrations that no later deletion removes."""
@@ -441,6 +459,28 @@ def archive_day(spark: SparkSession, folder: str) -> DataFrame:
     return plain(lines.select("host", "day", "value"))
 
 
+class _Crash(Exception):
+    pass
+
+
+@query
+def archive_day_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily job with removal of the hour files, interrupted between its phases and run again."""
+    root, days, meta = (scratch_path(spark, name) for name in ("hours", "days", "meta"))
+    archives.write_hours(_archive_lines(spark, folder), root, "000000000000")
+
+    def crash() -> None:
+        raise _Crash
+
+    try:
+        archives.compact_day_and_remove(spark, root, DAY, days, meta, between=crash)
+    except _Crash:
+        pass
+    if archives.compact_day_and_remove(spark, root, DAY, days, meta) or archives.lines_of_day(spark, root, DAY) is not None:
+        raise RuntimeError("hour files were left")
+    return plain(archive_files.read_day_files(spark, days).select("host", "day", "value"))
+
+
 @query
 def archive_days_gzip(spark: SparkSession, folder: str) -> DataFrame:
     """Lines compacted to compressed day files, which are then read back."""
@@ -574,6 +614,23 @@ def stream_hosts(spark: SparkSession, folder: str) -> DataFrame:
     return plain(latest.hostname_registry(log).select("hostname", "updated_at"))
 
 
+@query
+def stream_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """Hostname registry by a stateful stream, stopped half way and resumed, its log compacted on the way."""
+    out, lines = scratch_path(spark, "stream_registry"), inputs.beacon_lines(spark, folder).select("value", "seq", "received_at")
+    lines = materialise(lines, "registry_lines")
+    last = lines.agg(F.max("seq")).head()[0] or 0
+    log = CompactedLog(spark, f"{out}/log", HOSTNAME_SCHEMA, ["hostname"], segment_span=2)
+    for part in range(4):
+        span = F.col("seq").between(part * last // 4 + (part > 0), (part + 1) * last // 4)
+        lines.where(span).coalesce(1).write.mode("append").parquet(f"{out}/feed")
+        if part % 2:  # two files, a batch each
+            jobs.start_registry(
+                jobs.record_stream(spark, f"{out}/feed", files_per_batch=1), log, f"{out}/checkpoint", drain=True, compact_every=3
+            ).awaitTermination()
+    return plain(log.read().select("hostname", "updated_at"))
+
+
 @query
 def stream_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Hour archive by two streams, from lines that carry their arrival time."""

@@ -81,3 +81,19 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(hadoop).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob pattern matches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return [status.getPath().toString() for status in found or []]
+
+
+def remove_matching(spark: SparkSession, patterns: list[str]) -> None:
+    remove(spark, [path for pattern in patterns for path in matching(spark, pattern)])

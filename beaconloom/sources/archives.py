@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beaconloom.session import matching
+
 # Two layouts: <host>/<yyyy-M-d>/<H>.json.lines and host=<host>/day=<yyyy-M-d>/hour=<H>/batch=<B>/<part>.
 HOUR_PATH = (
     r"/(?:host=)?([^/]*)/(?:day=)?([0-9]+-[0-9]+-[0-9]+)/"
@@ -45,13 +47,14 @@ def read_hour_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def day_patterns(root: str, day_name: str) -> list[str]:
+    """The folders of one day (yyyy-M-d) in both layouts."""
+    return [f"{root}/host=*/day={day_name}", f"{root}/*/{day_name}"]
+
+
 def read_hour_files_of_day(spark: SparkSession, root: str, day_name: str) -> DataFrame | None:
     """``read_hour_files`` of the folders of one day (yyyy-M-d) in both layouts; None if there are none."""
-    hadoop, paths = spark.sparkContext._jsc.hadoopConfiguration(), []
-    for pattern in (f"{root}/host=*/day={day_name}", f"{root}/*/{day_name}"):
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-        if target.getFileSystem(hadoop).globStatus(target):
-            paths.append(pattern)
+    paths = [pattern for pattern in day_patterns(root, day_name) if matching(spark, pattern)]
     return read_hour_files(spark, paths) if paths else None
 
 

@@ -1,6 +1,6 @@
-"""Continuous intake: events, hostname log, hour archives.
+"""Continuous intake: events, hostname log and registry, hour archives.
 
-All three are ``foreachBatch`` jobs whose output is keyed by the stream's own identifier and the batch
+Events, hostname log and archive are ``foreachBatch`` jobs whose output is keyed by the stream's own identifier and the batch
 id, so a batch that is replayed after a failure replaces its own output instead of adding to it, and
 a stream with another checkpoint, whose batch ids start at 0 again, replaces nothing.  There is no
 watermark: events are stored under the day of their creation at any age, archive lines under their
@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconloom.operators import archives, events, latest, places
+from beaconloom.operators.snapshots import CompactedLog
 from beaconloom.operators.tables import append_log, write_events
 from beaconloom.sources import beacons
 
 HOSTNAME_INTERVAL = "1 minute"
 ARCHIVE_INTERVAL = "5 seconds"
+#: Batches between compactions of a registry's log, and files that one batch writes.
+COMPACT_EVERY, FLUSH_FILES = 60, 4
 
 
 def line_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -133,6 +136,37 @@ def start_hostnames(
     return _start(stream, each, checkpoint, interval, drain)
 
 
+def start_registry(
+    stream: DataFrame,
+    log: CompactedLog,
+    checkpoint: str,
+    interval: str = HOSTNAME_INTERVAL,
+    drain: bool = False,
+    compact_every: int = COMPACT_EVERY,
+    files: int = FLUSH_FILES,
+) -> StreamingQuery:
+    """The hostname registry as a stateful stream: one state for each hostname, its last creation time by arrival.
+
+    An interval gives the hostnames that it changed, with the number of the batch as ``seq``; every ``compact_every`` batches the log
+    is folded and what is folded is removed, so that it holds ``files`` files for each batch since then and those of a snapshot.
+    A batch that runs again writes the same rows.  ``log`` is this stream's alone; registries of several streams are read
+    together.
+    """
+    arrival = stream if "seq" in stream.columns else stream.withColumn("seq", F.unix_micros("received_at"))
+    seen = latest.hostnames_seen(events.type_beacons(beacons.parse_lines(arrived(arrival))))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.select("hostname", "updated_at", F.lit(batch_id).cast("bigint").alias("seq"))
+        log.append(changed.repartition(files))
+        if (batch_id + 1) % compact_every == 0:
+            log.compact()
+            log.remove_folded()
+
+    writer = seen.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
 def start_archive(
     stream: DataFrame,
     root: str,

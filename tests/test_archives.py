@@ -141,3 +141,44 @@ def test_archive_lines_and_hours(spark, tmp_path):
     assert {str(r.day) for r in again.collect()} == {"2023-09-05"}
     with pytest.raises(TypeError):
         archives.archive_lines(beacons.parse_lines(lines))
+
+
+def test_hours_are_removed_in_two_phases(spark, tmp_path):
+    """Interrupted before, at and after the mark, the job loses no line and removes only what is in the day files."""
+    day, root, days, meta = dt.date(2023, 4, 5), str(tmp_path / "hours"), str(tmp_path / "days"), str(tmp_path / "meta")
+
+    def write(batch, hour, values):
+        rows = [(v, "h:1.example", day, hour, i) for i, v in enumerate(values)]
+        archives.write_hours(spark.createDataFrame(rows, "value string, host string, day date, hour int, seq long"), root, batch)
+
+    def stored():
+        return sorted(r.value for r in files.read_day_files(spark, days).collect())
+
+    class Stop(Exception):
+        pass
+
+    def stop():
+        raise Stop
+
+    def late():
+        write("2", 7, ["late"])
+        raise Stop
+
+    write("0", 3, ["a", "b"])
+    write("1", 4, ["c"])
+    archives.compact_day(spark, root, day, days, meta)  # as far as an interrupted first phase may have come
+    assert archives.lines_of_day(spark, root, day).count() == 3
+    with pytest.raises(Stop):
+        archives.compact_day_and_remove(spark, root, day, days, meta, between=late)
+    assert archives.lines_of_day(spark, root, day).count() == 4 and stored() == ["a", "b", "c"]
+    for _ in range(2):
+        assert archives.compact_day_and_remove(spark, root, day, days, meta) == 1  # the late line stays where it is
+        assert [r.value for r in archives.lines_of_day(spark, root, day).collect()] == ["late"] and stored() == ["a", "b", "c"]
+    other = dt.date(2023, 4, 6)
+    assert archives.compact_day_and_remove(spark, root, other, days, meta) == 0
+    spare = str(tmp_path / "spare")
+    root = str(tmp_path / "more")
+    write("0", 3, ["x"])
+    assert archives.compact_day_and_remove(spark, root, day, spare, spare + "-meta") == 0
+    assert archives.lines_of_day(spark, root, day) is None
+    assert archives.compact_day_and_remove(spark, root, day, spare, spare + "-meta", between=lambda: None) == 0

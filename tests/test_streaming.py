@@ -1,9 +1,11 @@
+import datetime as dt
 import json
 import os
 
 from pyspark.sql import functions as F
 
 from beaconloom.operators import events, latest, tables
+from beaconloom.operators.snapshots import CompactedLog
 from beaconloom.plans import inputs
 from beaconloom.schema import EVENT_NAMES, HOSTNAME_SCHEMA
 from beaconloom.session import shared_folder
@@ -112,3 +114,32 @@ def test_a_second_checkpoint_replaces_nothing(spark, rules, tmp_path):
     assert log.count() == 4
     found = {r.hostname: str(r.updated_at)[:4] for r in latest.hostname_registry(log).collect()}
     assert found == {"a.example.com": "2023", "b.example.com": "2019", "c.example.com": "2023"}
+
+
+def test_registry_keeps_state_over_a_restart_and_few_files(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log = CompactedLog(spark, f"{out}/log", HOSTNAME_SCHEMA, ["hostname"], segment_span=1)
+
+    def feed(first, hosts):
+        rows = [
+            (json.dumps(beacon(h, f"2023-01-01 00:00:{(first + i) % 60:02d}")), first + i, dt.datetime(2023, 1, 1)) for i, h in enumerate(hosts)
+        ]
+        spark.createDataFrame(rows, "value string, seq long, received_at timestamp").coalesce(1).write.mode("append").parquet(source)
+
+    def drain():
+        jobs.start_registry(
+            jobs.record_stream(spark, source, files_per_batch=1), log, f"{out}/checkpoint", drain=True, compact_every=2, files=1
+        ).awaitTermination()
+        return {r.hostname: r.updated_at.second for r in log.read().collect()}
+
+    feed(40, ["a", "b", "a"])
+    assert drain() == {"a.example.com": 42, "b.example.com": 41}
+    feed(10, ["b"])  # by arrival it is older: the state knows
+    feed(50, ["c", "a"])
+    assert drain() == {"a.example.com": 51, "b.example.com": 41, "c.example.com": 50}
+    for n in range(3):
+        feed(53 + n, ["a"])
+    assert drain()["a.example.com"] == 55 and drain() == {"a.example.com": 55, "b.example.com": 41, "c.example.com": 50}
+    assert len(log.snapshots()) == 1
+    parts = [f for _, _, names in os.walk(f"{out}/log/log") for f in names if f.endswith(".parquet")]
+    assert len(parts) <= 2
