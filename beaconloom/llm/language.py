@@ -151,22 +151,22 @@ class CrossParser:
 
 
 def labelled_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """For every value of lang, folded text of documents that may be learned from: the rows with the smallest hashed ids.
+    """For every value of lang, folded text of documents that may be learned from: the rows with the smallest hashes.
 
-    The sample is bounded by the constants above and by the number of languages.  Rows without text or lang teach nothing.
+    The sample is bounded by the constants above and by the number of languages.  Rows without text or lang teach nothing,
+    repeated rows once.
     """
     may = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "doc_id", "text")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    counts = may.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
+    counts = may.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("_n"))  # a row for each language
     few = (  # some rows more than are needed of each language, by a second hash, so that no sort sees many
-        may.select("lang", "doc_id")
-        .join(F.broadcast(counts), "lang")
-        .where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_n")) < 3 * SAMPLE_ROWS)
-    )
-    picked = few.select("lang", "doc_id", F.row_number().over(first).alias("nth")).where(F.col("nth") <= SAMPLE_ROWS)
-    texts = may.join(F.broadcast(picked), ["lang", "doc_id"]).select(
-        "lang", "nth", F.substring("text", 1, ROW_BYTES).alias("text")
+        may.join(F.broadcast(counts), "lang")
+        .where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.col("_n")) < 3 * SAMPLE_ROWS)
+        .select("lang", "doc_id", F.substring("text", 1, ROW_BYTES).alias("text"))
+        .distinct()
     )
+    # the limit holds in each task before the shuffle, so no language is a large group
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    texts = few.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_ROWS)
     gathered: dict[str, list[tuple[int, str]]] = {}
     for row in texts.collect():
         gathered.setdefault(row["lang"], []).append((row["nth"], row["text"]))

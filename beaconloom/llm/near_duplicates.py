@@ -19,7 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconloom.llm.common import bit_votes, block_bounds, over_slices, packed_bits, pieces
@@ -191,17 +191,19 @@ def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return routed.groupBy("at").applyInArrow(_forest(distance), "a long, b long")
 
 
-def fingerprint_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint as a signed long, and its Gray rank moved so that signed order is its order."""
+def fingerprint_documents(docs: DataFrame, words: int = WORDS, hashed: bool = False) -> DataFrame:
+    """doc_id, fingerprint as a signed long, and its Gray rank moved so that signed order is its order; also ``text_hash`` if ``hashed``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = fingerprints_of([(t or "").encode() for t in batch.column("text").to_pylist()], words)
         rank = (gray_rank(codes) ^ _SIGN).view(np.int64)
-        columns = [batch.column("doc_id"), pa.array(codes.view(np.int64)), pa.array(rank)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint", "rank"])
+        columns = [batch.column("doc_id"), pa.array(codes.view(np.int64)), pa.array(rank), *[batch.column(c) for c in more]]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint", "rank", *more])
 
+    more = ["text_hash"] if hashed else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(over_slices(work), "doc_id long, fingerprint long, rank long")
+    rows = rows.withColumns({name: F.xxhash64("text") for name in more})
+    return rows.mapInArrow(over_slices(work), ", ".join(["doc_id long, fingerprint long, rank long", *[f"{name} long" for name in more]]))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -229,13 +231,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id; all columns stay.
 
-    Rows without doc_id cannot be told apart and stay.  Of rows with the same doc_id that remain, one stays.
+    Of the rows of a group that share this doc_id, one with the least text hash stays; a row without a doc_id stays only where
+    no row of its group has one.  Rows with the same doc_id but unlike texts are in different groups, and each group keeps one.
     """
-    found = near_duplicates(docs, words, distance)
-    kept = materialise(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")), "kept")
-    ids = kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_kept").alias("of")).head()
-    # by a shuffle whatever the size: neither side is bounded
-    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["_kept"], "left_semi")
-    if ids["n"] != ids["of"]:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+    done = materialise(fingerprint_documents(docs, words, hashed=True), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    codes = materialise(done.groupBy("fingerprint", "rank").agg(least.alias("least")), "codes")
+    member = components(links(codes, distance))
+    rooted = codes.join(member, codes["fingerprint"] == member["node"], "left").select("least", F.coalesce("root", "fingerprint").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    kept = materialise(first.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.text_hash").alias("_kept_hash")), "kept")
+
+    def stay(rows: DataFrame, hashed: Column) -> DataFrame:
+        same = rows["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (hashed == kept["_kept_hash"])
+        # by a shuffle whatever the size: neither side is bounded
+        return rows.join(kept.hint("shuffle_hash"), same, "left_semi")
+
+    out = stay(docs, F.xxhash64(docs["text"].cast("string")))
+    if stay(done, done["text_hash"]).count() > kept.count():  # rows with the same id and text
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out

@@ -5,7 +5,7 @@ import random
 #: Names that the operators use for columns of their own.
 CLASHES = (
     "nth _n toxic quality score fingerprint edited_fingerprint rank component_id block ahead _key unit ids counts batch bucket shard start n_tokens "
-    "held_out predicted lang_pred label fits n_near _kept root node near _table found leaf cell query"
+    "held_out predicted lang_pred label fits n_near _kept root node near _table found leaf cell query _kept_id _kept_hash text_hash least form word place kind"
 ).split()
 WORDS = "river stone cloud amber violet harbor lantern meadow copper saddle winter orchard pebble thunder canvas".split()
 

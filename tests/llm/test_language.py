@@ -100,3 +100,20 @@ def test_nothing_to_learn_from(lake, odd, empty):
     assert language.labelled_sample(empty) == [] and language.identify(empty, []).collect() == []
     assert {r.lang_pred for r in language.identify(odd, []).collect()} == {"und"}
     assert np.array(CrossParser([]).phrases([b"a"])).shape == (1, 0)
+
+
+def test_the_sample_is_bounded_whatever_the_ids(lake, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 20)
+    gathered = []
+    docs = lake.range(3000).selectExpr("1L AS doc_id", "concat('word', id % 900, ' text') AS text", "'en' AS lang")
+    docs = docs.unionByName(lake.range(50).selectExpr("id AS doc_id", "'unlike others' AS text", "'fr' AS lang"))
+    collect = type(docs).collect
+
+    def counted(df):
+        rows = collect(df)
+        gathered.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    samples = dict(language.labelled_sample(docs))
+    assert set(samples) == {"en", "fr"} and samples["en"].count(b"word") == 20 and max(gathered) <= 40

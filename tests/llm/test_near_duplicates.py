@@ -134,6 +134,18 @@ def test_kept_of_odd_rows(odd):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+def test_a_repeated_id_costs_no_clean_document(lake):
+    """Groups are told by text: an id may have several, and each group keeps one row."""
+    a, b, c, d = (prose(f"repeat{i}", 80) for i in range(4))
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, d), (None, a), (None, "alone without an id"), (None, "alone without an id"), (4, d), (3, d)]
+    kept = near_duplicates.keep_first(frame(lake, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(
+        [(1, a), (2, b), (3, c), (3, d), (None, "alone without an id")], key=repr
+    )
+    again = near_duplicates.keep_first(frame(lake, [(1, "x"), (1, "x"), (2, "x")])).collect()
+    assert [(r.doc_id, r.text) for r in again] == [(1, "x")]
+
+
 def test_empty_table(empty):
     assert near_duplicates.near_duplicates(empty).collect() == []
     assert near_duplicates.keep_first(empty).collect() == []

@@ -105,3 +105,10 @@ def test_no_labels_and_no_documents(lake, odd, empty):
     assert {r.score for r in toxicity.score_documents(odd, model).collect()} == {0.5}
     assert toxicity.score_documents(empty, toxicity.learn(empty, none)).collect() == []
     assert WORDS
+
+
+def test_the_sample_has_one_text_for_each_id(lake):
+    docs = lake.range(600).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    labels = lake.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, toxic int")
+    taught = toxicity.labelled_sample(docs, labels).collect()
+    assert 0 < len(taught) <= 3 and all(len(r) == 3 for r in taught)
