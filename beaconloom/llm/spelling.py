@@ -36,10 +36,10 @@ TIMES = 10
 #: Of all runs of letters in documents, one in so many loses a code point.
 DROP_EVERY = 31
 #: Words in a shard at about; different words that a task remembers while it counts.
-SHARD_WORDS, REMEMBERED = 1 << 16, 1 << 18
+SHARD_WORDS, REMEMBERED = 1 << 15, 1 << 18
 #: Code points that place a word among the shards.
 _KEY = 7
-_BLOCK, _STATES = 64, 1 << 13
+_BLOCK, _STATES = 32, 1 << 13
 JUMPS = 64
 
 
@@ -121,8 +121,10 @@ class Ranks:
         flat = self.blocks.ravel()
         at = np.minimum(low[rows, None] + self.steps, len(flat) - 1)
         inside = self.steps < size[rows, None]
-        found = np.unique((rows[:, None] * (self.kinds + 1) + flat[at])[inside])
-        row, symbol = np.divmod(found, self.kinds + 1)
+        found = np.zeros((len(rows), self.kinds + 1), bool)
+        found[np.nonzero(inside)[0], flat[at][inside]] = True
+        row, symbol = np.nonzero(found)
+        row = rows[row]
         far = np.flatnonzero(~near)
         if len(far):  # symbols of long intervals: all that occur at all are tried
             every = np.tile(np.arange(self.kinds), len(far))
@@ -171,6 +173,7 @@ class FMIndex:
         kinds = len(self.symbols)
         starts = np.flatnonzero(text == 0)
         self.size = len(text)
+        self.length = np.diff(np.append(starts, len(text))) - 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
         order = sorted_rotations(text)
         self.left = Ranks(text[order - 1], kinds)  # what stands before each rotation
@@ -212,13 +215,15 @@ class FMIndex:
             """Only the states that may match several words; where one is left it is compared."""
             one = np.flatnonzero(size == 1)
             if len(one):
-                word = self.word[low[one]]
+                asked, word = more[0][one], self.word[low[one]]
+                likely = np.abs(self.length[word] - length[asked]) <= 1
+                pairs = np.unique(asked[likely] * len(self.words) + word[likely])
+                asked, word = np.divmod(pairs, len(self.words))
                 good = [
                     self.words[w].startswith(words[q][:h]) and one_apart(words[q], self.words[w])
-                    for q, w, h in zip(more[0][one].tolist(), word.tolist(), half[more[0][one]].tolist(), strict=True)
+                    for q, w, h in zip(asked.tolist(), word.tolist(), half[asked].tolist(), strict=True)
                 ]
-                good = np.array(good, bool)
-                hits.append((more[0][one][good] + offset) * len(self.words) + word[good])
+                hits.append(pairs[np.array(good, bool)] + offset * len(self.words))
             several = size > 1
             return [x[several] for x in (low, size, *more)]
 
@@ -256,7 +261,7 @@ class FMIndex:
             swap = (place[row] < length[query[row]]) & (symbol != own[row])
             parts.append((next_low[swap], next_size[swap], query[row][swap], place[row][swap] + 1, next_back[swap], wrong[swap]))
             low, size, query, place, back, error = settle(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-            if len(query) > 8 * len(words):  # the same match by several ways, as in runs of one letter
+            if len(query) > 64 * len(words):  # the same match by several ways, as in runs of one letter
                 states = np.unique(np.stack([query, place, low, size, back, error]), axis=1)
                 query, place, low, size, back, error = *states[:5], states[5].astype(bool)
         return np.concatenate([np.empty(0, np.int64), *hits])
@@ -287,6 +292,7 @@ class Shards:
         keep = [i for i in range(len(lows)) if i + 1 == len(lows) or lows[i] != lows[i + 1]]
         self.lows, self.shards = np.array([lows[i] for i in keep]), np.array([shards[i] for i in keep])
         self.first = np.cumsum(self.shards) - self.shards
+        self.total = int(self.shards.sum())
 
     def of(self, keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.lows, keys, "right") - 1
@@ -334,14 +340,19 @@ def _routed(shards: Shards, turned: bool):
             member = shard == home[row]
             word = pa.array(words, pa.string()).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int64()), word, batch.column("n").take(pa.array(row)), pa.array(member)], names=["shard", "word", "n", "member"]
+                [pa.array(shard, pa.int32()), word, batch.column("n").take(pa.array(row)), pa.array(member)], names=["shard", "word", "n", "member"]
             )
 
     return work
 
 
 def _searched(turned: bool):
-    def work(group: pa.Table) -> pa.Table:
+    def work(batches: Batches) -> Batches:
+        rows = list(batches)
+        if rows:
+            yield from search(pa.Table.from_batches(rows)).to_batches()
+
+    def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("word")
         words, n, member = group["word"].to_pylist(), group["n"].to_numpy(), group["member"].to_numpy()
         own = [w for w, m in zip(words, member, strict=True) if m]
@@ -387,8 +398,9 @@ def neighbours(words: DataFrame) -> DataFrame:
         if turned:
             source = words.select(F.reverse("word").alias("word"), "n")
         shards = _shards(source, total)
-        routed = words.mapInArrow(_routed(shards, turned), "shard long, word string, n long, member boolean")
-        parts.append(routed.groupBy("shard").applyInArrow(_searched(turned), "word string, n_near long, form string, form_n long"))
+        routed = words.mapInArrow(_routed(shards, turned), "shard int, word string, n long, member boolean")
+        dealt = routed.repartitionById(shards.total, F.col("shard"))  # a task for each, however small
+        parts.append(dealt.mapInArrow(_searched(turned), "word string, n_near long, form string, form_n long"))
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form"))
     both = parts[0].unionByName(parts[1]).groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
     return both.select("word", "n_near", F.col("best")["form"].alias("form"), (-F.col("best")["less"]).alias("form_n"))
