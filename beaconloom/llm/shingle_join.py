@@ -130,6 +130,8 @@ def _send(words: int, buckets: int):
                 shared = np.repeat(uses > 1, uses)
                 distinct, holder = value[new], np.where(uses > 1, np.uint16(_MANY), of[new]).astype(np.uint16)
                 place = _bucket(distinct, buckets)
+                by_row = np.lexsort((holder, place))  # runs of one row compress well
+                distinct, holder, uses, place = distinct[by_row], holder[by_row], uses[by_row], place[by_row]
                 cuts = np.searchsorted(place, np.arange(buckets + 1))
                 rows = []
                 for bucket, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
@@ -145,9 +147,9 @@ def _send(words: int, buckets: int):
     return work
 
 
-def _count(group: pa.Table) -> pa.Table:
+def _count(batches: Batches) -> Batches:
     """The shingles of a bucket that several documents have, for each slice, with how many; rows of slices pass through."""
-    rows = group.to_pylist()
+    rows = [row for batch in batches for row in batch.to_pylist()]
     sent = [r for r in rows if not r["own"]]
     out = [tuple(r[c] for c in _SENT_NAMES) for r in rows if r["own"]]
     if sent:
@@ -169,7 +171,7 @@ def _count(group: pa.Table) -> pa.Table:
             if keep.any():
                 low, high = _pack(value[part][keep])
                 out.append((row["slice"], row["place"], False, low, high, holder[part][keep].tobytes(), n[part][keep].tobytes(), None, None, None))
-    return pa.Table.from_batches([_sent(out)])
+    yield _sent(out)
 
 
 def required(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -382,7 +384,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     buckets = pieces(text_volume(docs), BUCKET_BYTES, most=1 << 16)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.mapInArrow(_send(words, buckets), _SENT)
-    counted = sent.groupBy("place").applyInArrow(_count, _SENT)
+    counted = sent.repartitionById(buckets, F.col("place")).mapInArrow(_count, _SENT)  # a task for each bucket
     work = _prefixed(buckets, percent, longest)
     done = materialise(counted.groupBy("slice").applyInArrow(work, _PREFIXED), "prefixed")
     each = done.where("kind = 0").select("doc_id", F.col("set_key").alias("node"), F.col("size").cast("long").alias("n_shingles"))
