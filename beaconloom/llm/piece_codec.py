@@ -2,9 +2,13 @@
 
 Plain encoding merges, again and again, the neighbouring symbols whose merged piece has the best score, the leftmost first.
 Here an agenda holds the candidates, and one that comes up is skipped for good with a given chance.  Chance is a keyed hash of
-the seed, the word's variant, the place and the piece, so the same call gives the same ids on any machine, in any order, and
-after any retry.  A word's variant is a keyed hash of its document and place, so that occurrences differ; there are a bounded
-number of variants, which lets a task remember the pieces of frequent words.
+the seed, the document, the word's place in it and the number of candidates that came up before, so every occurrence of a word
+draws its own lots, and the same call gives the same ids on any machine, in any order, and after any retry.
+
+What a word becomes depends only on which candidates are skipped.  A task therefore keeps a tree for each short word it has met:
+the root is the word without skips, and a node's child number k is the node with candidate k skipped too.  An occurrence
+draws lots until one skips, goes to that child, and ends where no further candidate is skipped; only nodes not yet there are worked
+out.  Longer words keep their root alone, and occurrences with a skip are worked out one for one.
 
 Words that a task has not met are worked on together: their symbols are the rows of a matrix, and in each step every row
 takes the best candidate off its agenda, skips or merges it, and proposes the merged symbol's new pairs.
@@ -17,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +33,18 @@ from beaconloom.llm.word_ids import SHORT, WordTable, short_words
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
-#: Ways in which a word may be cut; words in all their ways that a task remembers.
-VARIANTS, REMEMBERED = 4, 1 << 20
+#: Nodes that a task remembers; when there are more, it starts over.
+REMEMBERED = 1 << 20
 #: Words of at most so many characters are worked on together, this many at a time.
 WIDTHS, TOGETHER = (8, 16, 32, 64), 1 << 15
+#: For numbers of words and of candidates, which are skipped.
+Skipped = Callable[[np.ndarray, np.ndarray | int], np.ndarray]
 MARK = "▁"
 _LITERAL = MARK + "\0"  # a mark that stands in the text itself: in no piece, so it becomes its bytes
 _M64 = (1 << 64) - 1
+_STEP = 0x9E3779B97F4A7C15
+#: What is kept of a node: its ids, how many candidates came up, its children, and its word and place in the tree.
+START, COUNT, MET, CHILD, ROOT, PARENT, LAST = range(7)
 
 
 def _mix(x: int) -> int:
@@ -45,6 +54,25 @@ def _mix(x: int) -> int:
     return x ^ x >> 31
 
 
+def lots(keys: np.ndarray, number: np.ndarray | int, limit: np.uint64) -> np.ndarray:
+    """Whether the candidate with this number is skipped, for each key."""
+    with np.errstate(over="ignore"):
+        return mixed(keys + (np.asarray(number).astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP)) < limit
+
+
+def first_skip(keys: np.ndarray, begin: np.ndarray, stop: np.ndarray, limit: np.uint64) -> np.ndarray:
+    """The first candidate from ``begin`` on and before ``stop`` that each key skips, or -1."""
+    out, row, number = np.full(len(keys), -1, np.int64), np.arange(len(keys)), begin
+    while True:
+        live = number < stop[row]
+        row, number = row[live], number[live]
+        if not len(row):
+            return out
+        skip = lots(keys[row], number, limit)
+        out[row[skip]] = number[skip]
+        row, number = row[~skip], number[~skip] + 1
+
+
 class PieceCodec:
     def __init__(self, path: str):
         import sentencepiece
@@ -67,10 +95,10 @@ class PieceCodec:
 
     def _forget(self) -> None:
         self.short, self.long = WordTable(REMEMBERED + (1 << 18)), {}
-        self.ids = np.empty(1 << 20, np.int32)
-        self.start, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.used = self.known = self.passed = 0
-        self.setting: tuple[float, int] | None = None
+        self.words: list[bytes] = []
+        self.ids, self.children = np.empty(1 << 20, np.int32), np.empty(1 << 20, np.int32)
+        self.nodes = np.empty((7, 1 << 16), np.int64)
+        self.used = self.branches = self.known = 0
 
     def _pairs(self) -> None:
         """Which two symbols merge into which piece, as a hash table; symbols are pieces, and characters that only occur
@@ -124,24 +152,27 @@ class PieceCodec:
             at, keys, slot = at[on], keys[on], (slot[on] + 1) & (self.slots - 1)
         return out
 
-    def segment_all(self, words: list[str], keys: np.ndarray, chance: float) -> list[list[int]]:
-        """As ``segment`` for each word, many at a time."""
+    def segment_all(self, words: list[str], skipped: Skipped) -> tuple[list[list[int]], np.ndarray]:
+        """As ``segment`` for each word, many at a time; ``skipped`` takes numbers of words and of candidates."""
         out: list[list[int]] = [[]] * len(words)
+        met = np.zeros(len(words), np.int64)
         size = np.array([len(w) for w in words], np.int64)
         low = -1
         for width in WIDTHS:
             rows = np.flatnonzero((size > low) & (size <= width))
             low = width
             for a in range(0, len(rows), TOGETHER):
-                part = rows[a : a + TOGETHER].tolist()
-                for row, ids in zip(part, self._rows([words[r] for r in part], size[part], keys[part], chance, width), strict=True):
+                part = rows[a : a + TOGETHER]
+                found, met[part] = self._rows([words[r] for r in part.tolist()], size[part], lambda row, k, part=part: skipped(part[row], k), width)
+                for row, ids in zip(part.tolist(), found, strict=True):
                     out[row] = ids
         for row in np.flatnonzero(size > low).tolist():
-            out[row] = list(self.segment(words[row], int(keys[row]), chance))
-        return out
+            most = 3 * len(words[row])  # of n characters, n - 1 merges and two new candidates for each
+            out[row], met[row] = self.segment(words[row], skipped(np.full(most, row), np.arange(most)).tolist())
+        return out, met
 
-    def _rows(self, words: list[str], size: np.ndarray, keys: np.ndarray, chance: float, width: int) -> list[list[int]]:
-        none, limit = 1 << 30, np.uint64(min(int(chance * (1 << 64)), _M64))
+    def _rows(self, words: list[str], size: np.ndarray, skipped: Skipped, width: int) -> tuple[list[list[int]], np.ndarray]:
+        none = 1 << 30
         step = width + 1  # the last column of a row stands for "no neighbour"
         inside = (np.arange(step) < size[:, None]).ravel()
         symbols = np.full(len(words) * step, -3, np.int64)
@@ -160,17 +191,17 @@ class PieceCodec:
 
         propose(np.flatnonzero(inside))
         table, row = rank.reshape(-1, step), np.arange(len(words))
+        met, number = np.zeros(len(words), np.int64), 0
         while len(row):
             left = (table if len(row) == len(table) else table[row]).argmin(axis=1)
             at = row * step + left
             more = rank[at] < none
-            row, left, at = row[more], left[more], at[more]
-            if limit:
-                with np.errstate(over="ignore"):
-                    lot = mixed(keys[row] + (left.astype(np.uint64) << np.uint64(32) | merged[at].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-                skip = lot < limit
-                rank[at[skip]] = none
-                at = at[~skip]
+            met[row[~more]] = number
+            row, at = row[more], at[more]
+            skip = skipped(row, number)
+            number += 1
+            rank[at[skip]] = none
+            at = at[~skip]
             right = after[at]
             symbols[at] = merged[at]
             rank[right], symbols[right] = none, -3
@@ -193,11 +224,12 @@ class PieceCodec:
             for place, i in zip(np.flatnonzero(held[r]).tolist(), out[r], strict=True):
                 ids += [i] if 0 <= i < len(self.length) else [self.of_byte[b] for b in words[r][place].encode()]
             out[r] = ids
-        return out
+        return out, met
 
-    def segment(self, word: str, key: int, chance: float) -> tuple[int, ...]:
-        """Ids of a run of characters, spaces being marks; candidates are skipped by ``key``."""
-        score, limit = self.score, int(chance * (1 << 64))
+    def segment(self, word: str, skipped: list[bool]) -> tuple[list[int], int]:
+        """Ids of a run of characters, spaces being marks, and how many candidates came up; ``skipped`` tells of each whether
+        it is skipped."""
+        score, met = self.score, 0
         symbols: list[str | None] = [MARK if c == " " else _LITERAL if c == MARK else c for c in word]
         count = len(symbols)
         before, after = list(range(-1, count - 1)), [*range(1, count), -1]
@@ -215,7 +247,8 @@ class PieceCodec:
             _, left, right, merged = heapq.heappop(agenda)
             if symbols[left] is None or symbols[right] is None or after[left] != right or len(merged) != len(symbols[left]) + len(symbols[right]):
                 continue  # one of the two has been merged with another since
-            if limit and _mix(key + (left << 32 | score[merged][1]) * 0x9E3779B97F4A7C15 & _M64) < limit:
+            met += 1
+            if skipped[met - 1]:
                 continue
             symbols[left], symbols[right] = merged, None
             after[left] = after[right]
@@ -228,16 +261,72 @@ class PieceCodec:
             if symbol is not None:
                 found = score.get(symbol)
                 ids += [found[1]] if found else [self.of_byte[b] for b in (MARK if symbol == _LITERAL else symbol).encode()]
-        return tuple(ids)
+        return ids, met
+
+    def _keep(self, found: list[list[int]], used: int) -> tuple[np.ndarray, np.ndarray]:
+        """Puts ids into the memory from ``used`` on: where those of each word begin, and how many they are."""
+        flat = [i for ids in found for i in ids]
+        while used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[used : used + len(flat)] = flat
+        count = np.array([len(ids) for ids in found], np.int64)
+        return used + np.cumsum(count) - count, count
+
+    def _grow(self, roots: np.ndarray, parents: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """New nodes: of a word, with all that the parent skips and candidate ``last``; roots have no parent and -1."""
+        first, rows, numbers = self.known, [], []
+        row, above, number = np.arange(len(roots)), parents, last
+        while len(row):
+            real = number >= 0
+            row, above, number = row[real], above[real], number[real]
+            rows.append(row)
+            numbers.append(number)
+            above, number = self.nodes[PARENT, above], self.nodes[LAST, above]
+        pairs = np.sort(np.concatenate(numbers or [row]) << 32 | np.concatenate(rows or [row]))
+
+        def skipped(rows: np.ndarray, k: int) -> np.ndarray:
+            flag = np.zeros(len(roots), bool)
+            a, b = np.searchsorted(pairs, [k << 32, k + 1 << 32])
+            flag[pairs[a:b] & 0xFFFFFFFF] = True
+            return flag[rows]
+
+        found, met = self.segment_all([self.words[r].decode() for r in roots.tolist()], skipped)
+        start, count = self._keep(found, self.used)
+        stops = np.cumsum(met) + self.branches
+        while first + len(roots) > self.nodes.shape[1]:
+            self.nodes = np.concatenate([self.nodes, np.empty_like(self.nodes)], axis=1)
+        while stops[-1] > len(self.children):
+            self.children = np.concatenate([self.children, np.empty_like(self.children)])
+        self.children[self.branches : stops[-1]] = -1
+        self.nodes[:, first : first + len(roots)] = start, count, met, stops - met, roots, parents, last
+        self.used, self.branches, self.known = self.used + int(count.sum()), int(stops[-1]), first + len(roots)
+        return np.arange(first, self.known)
+
+    def _walk(self, node: np.ndarray, keys: np.ndarray, branching: np.ndarray, limit: np.uint64) -> None:
+        """Moves every occurrence from its root to the node of its lots; to -1 if it skips and its word keeps a root alone."""
+        at = np.flatnonzero(node >= 0)
+        begin = np.zeros(len(at), np.int64)
+        while len(at):
+            number = first_skip(keys[at], begin, self.nodes[MET, node[at]], limit)
+            node[at[(number >= 0) & ~branching[at]]] = -1
+            on = (number >= 0) & branching[at]
+            at, number = at[on], number[on]
+            branch = self.nodes[CHILD, node[at]] + number
+            lacking = np.flatnonzero(self.children[branch] < 0)
+            if len(lacking):
+                new, one = np.unique(branch[lacking], return_index=True)
+                parents = node[at[lacking[one]]]
+                grown = self._grow(self.nodes[ROOT, parents], parents, number[lacking[one]])
+                self.children[new] = grown
+            node[at], begin = self.children[branch], number + 1
 
     def encode(self, texts: list[str], keys: np.ndarray, chance: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin.  ``keys`` tell the documents apart.
 
         A text gets a space in front, and a word is a run of spaces with what follows them.
         """
-        if self.passed > REMEMBERED or self.setting != (chance, seed):
+        if self.known > REMEMBERED:
             self._forget()
-            self.setting = (chance, seed)
         base = _mix(seed & _M64)
         raw = [b" " + t.encode() if t else b"" for t in texts]
         whole, offsets = b"".join(raw), np.zeros(len(texts) + 1, np.int64)
@@ -251,55 +340,43 @@ class PieceCodec:
         ends = np.append(starts[1:], len(data))[: len(starts)]
         word_first = per_text(starts, offsets)
         owner = np.repeat(np.arange(len(texts)), np.diff(word_first))
-        ways = np.zeros(len(starts), np.uint64)
-        if chance:
-            place = (np.arange(len(starts)) - word_first[owner]).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                ways = mixed(place + mixed(keys ^ np.uint64(base))[owner]) % np.uint64(VARIANTS)
-        index = np.full(len(starts), -1, np.int64)
-        short = np.flatnonzero(ends - starts <= SHORT)
+        place = (np.arange(len(starts)) - word_first[owner]).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            own = mixed(place + mixed(keys ^ np.uint64(base))[owner])
+        node = np.full(len(starts), -1, np.int64)
+        brief = ends - starts <= SHORT
+        short = np.flatnonzero(brief)
         rows = short_words(data, starts[short], ends[short])
-        rows[:, 2] |= ways[short] << np.uint64(32)
-        index[short] = self.short.find(rows)
-        missing = np.flatnonzero(index < 0)
-        spans = zip(starts[missing].tolist(), ends[missing].tolist(), ways[missing].tolist(), strict=True)
-        pairs = [(whole[a:b], way) for a, b, way in spans]
-        before, used, known = self.known, self.used, self.long
-        new = list({p for p in pairs if p not in known})
+        node[short] = self.short.find(rows)
+        missing = np.flatnonzero(node < 0)
+        words = [whole[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+        # Words beyond the last width are not remembered: in nearly every occurrence something is skipped.
+        new = [w for w in dict.fromkeys(words) if w not in self.long and len(w.decode()) <= WIDTHS[-1]]
         if new:
-            own_keys = np.array([self.word_key(w, way, base) for w, way in new], np.uint64)
-            found = self.segment_all([w.decode() for w, _ in new], own_keys, chance)
-            flat = [i for ids in found for i in ids]
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            count = np.array([len(ids) for ids in found], np.int64)
-            while before + len(new) > len(self.start):
-                self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
-            self.start[before : before + len(new)] = self.used + np.cumsum(count) - count
-            self.count[before : before + len(new)] = count
-            self.used, self.known = self.used + len(flat), before + len(new)
-            number = dict(zip(new, range(before, self.known), strict=True))
-            index[missing] = [number[p] if p in number else known[p] for p in pairs]
-        elif len(pairs):
-            index[missing] = [known[p] for p in pairs]
-        lengths = self.count[index]
+            self.words += new
+            none = np.full(len(new), -1)
+            roots = self._grow(np.arange(len(self.words) - len(new), len(self.words)), none, none)
+            number = dict(zip(new, roots.tolist(), strict=True))
+            self.long.update((w, n) for w, n in number.items() if len(w) > SHORT)
+            fresh = np.flatnonzero(node[short] < 0)
+            node[missing] = [number[w] if w in number else self.long.get(w, -1) for w in words]
+            _, once = np.unique(node[short[fresh]], return_index=True)
+            self.short.add(rows[fresh[once]], node[short[fresh[once]]])
+        else:
+            node[missing] = [self.long.get(w, -1) for w in words]
+        limit = np.uint64(min(int(chance * (1 << 64)), _M64))
+        if chance:
+            self._walk(node, own, brief, limit)
+        alone = np.flatnonzero(node < 0)
+        begin, lengths = self.nodes[START, node], self.nodes[COUNT, node]
+        if len(alone):  # their ids go behind those that are remembered, for this call
+            spans = zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)
+            found, _ = self.segment_all([whole[a:b].decode() for a, b in spans], lambda row, k: lots(own[alone[row]], k, limit))
+            begin[alone], lengths[alone] = self._keep(found, self.used)
         stops = np.cumsum(lengths)
-        at = np.repeat(self.start[index] - stops + lengths, lengths)
-        ids = self.ids[at + np.arange(len(at))]
-        if new and before < REMEMBERED:
-            known.update((p, n) for p, n in number.items() if len(p[0]) > SHORT)
-            fresh = np.flatnonzero(index[short] >= before)
-            _, once = np.unique(index[short[fresh]], return_index=True)
-            self.short.add(rows[fresh[once]], index[short[fresh[once]]])
-        else:  # full: those met later are passed over, and once they are many, the task starts over
-            self.known, self.used, self.passed = before, used, self.passed + len(new)
+        ids = self.ids[np.repeat(begin - stops + lengths, lengths) + np.arange(int(lengths.sum()))]
         return ids, np.concatenate([[0], stops])[word_first]
 
-    @staticmethod
-    def word_key(word: bytes, way: int, base: int) -> int:
-        return _mix(base + zlib.crc32(word) * 0x632BE59BD9B4E019 + len(word) * 3 + (way << 40) & _M64)
-
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """The bytes of each text."""
         lengths = self.length[ids]

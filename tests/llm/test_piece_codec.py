@@ -36,12 +36,27 @@ def test_any_segmentation_decodes(codec, texts, chance):
     assert [t.decode() for t in codec.decode(ids, first)] == texts
 
 
-def test_many_words_together_as_one_by_one(codec):
-    text = "the meadow, saddled thunderously; éé 日本語 " + "x" * 100 + " a▁b counterrevolutionary  internationally"
-    words = [w.decode() for w in re.findall(rb" +[^ ]*", b" " + text.encode())]
+def drawn(codec, word, key, chance):
+    """Ids of one occurrence, its lots drawn number by number."""
+    limit = min(int(chance * (1 << 64)), piece_codec._M64)
+    lots = [piece_codec._mix(key + (k + 1) * piece_codec._STEP & piece_codec._M64) < limit for k in range(3 * len(word))]
+    return codec.segment(word, lots)[0]
+
+
+def test_every_occurrence_draws_its_own_lots(codec):
+    text = "the meadow, saddled thunderously; éé 日本語 " + "x" * 100 + " a▁b counterrevolutionary  internationally the meadow " + "ab" * 25
+    words = [w.decode() for w in re.findall(rb" +[^ ]*", b" " + " ".join([text] * 30).encode())]
+    base = piece_codec._mix(5)
     for chance in (0.0, 0.2, 0.7, 1.0):
-        own = np.array([codec.word_key(w.encode(), 1, 5) for w in words], np.uint64)
-        assert codec.segment_all(words, own, chance) == [list(codec.segment(w, int(k), chance)) for w, k in zip(words, own, strict=True)]
+        ids, _ = codec.encode([" ".join([text] * 30)], np.array([9], np.uint64), chance, 5)
+        own = [piece_codec._mix(place + piece_codec._mix(9 ^ base) & piece_codec._M64) for place in range(len(words))]
+        assert ids.tolist() == [i for w, k in zip(words, own, strict=True) for i in drawn(codec, w, k, chance)]
+
+
+def test_the_cuts_of_a_word_grow_with_its_occurrences(codec):
+    for word, least in (("internationally", 60), ("counterrevolutionary", 100)):
+        ids, first = codec.encode([word] * 4000, keys(4000), 0.1, 1)
+        assert len({tuple(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)}) > least
 
 
 def test_seeds_and_places_vary_and_repeat(codec):
