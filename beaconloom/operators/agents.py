@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from beaconloom.functions.texts import not_empty, version_text
 from beaconloom.operators.tables import append_log, read_log
 from beaconloom.session import materialise
+from beaconloom.sources.agent_rules import GRAM
 
 AGENT_FACTS = [
     "browser_name",
@@ -46,10 +47,7 @@ def _filled(template: Column, groups: list[Column]) -> Column:
 def _facts(kind: str) -> list[Column]:
     """Outputs of the winning rule of a kind, whose columns carry the kind as prefix."""
     rule = lambda name: F.col(f"{kind}_{name}")
-    groups = [
-        F.call_function("regexp_extract", F.col("user_agent"), rule("pattern"), F.lit(i))
-        for i in range(1, 5)
-    ]
+    groups = [F.get(F.col(f"{kind}_won.groups"), F.lit(i)) for i in range(4)]
     given = lambda name, group: F.coalesce(_filled(rule(name), groups), group)
     if kind == "device":
         brand = _filled(F.coalesce(rule("brand"), F.lit("")), groups)
@@ -65,47 +63,58 @@ def _facts(kind: str) -> list[Column]:
     ]
 
 
+def candidates(agents: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pairs of a user agent and a rule of which the agent contains a literal; one pair without a rule for each agent.
+
+    An index join: a literal is filed under three of its characters, an agent under every three that follow each other, and
+    the pairs that meet are tested for the whole literal.  Rules without a literal are filed under ``''``, as is each agent.
+    The rules are configuration of a checked size; the join keeps the partitioning of the agents.
+    """
+    index = rules.select("kind", "rule_no", "pattern", F.explode("literals").alias("literal")).select(
+        "kind", "rule_no", "pattern", F.col("literal.gram").alias("gram"), F.col("literal.text").alias("literal")
+    )
+    following = F.regexp_extract_all("_lower", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    filed = agents.withColumn("_lower", F.lower("user_agent")).withColumn(
+        "gram", F.explode(F.array_append(F.array_distinct(following), F.lit("")))
+    )
+    met = filed.join(F.broadcast(index), "gram", "left")
+    return met.where(F.expr("gram = '' or contains(_lower, literal)")).drop("gram", "_lower", "literal")
+
+
 def classify_agents(agents: DataFrame, rules: DataFrame, tasks: int | None = None) -> DataFrame:
     """Dimension of distinct user agents (``user_agent``, ``n``) by ordered rules.
 
-    A rule match has no equality to join on, so this is a nested loop over the broadcast rules; that
-    is why it takes distinct agents only.  The literal test goes first and settles most pairs.  The
-    join keeps the partitioning of the agents, so picking the first rule per kind shuffles nothing.
+    Only ``candidates`` meet a regular expression, sorted by rule, so that a task compiles each pattern once and not for every
+    pair; the groups of matches are taken there too.  Picking the first rule per kind shuffles nothing, as all of it keeps the
+    partitioning of the agents.
     """
     tasks = tasks or agents.sparkSession.sparkContext.defaultParallelism * 4
-    probe = (
-        agents.repartition(tasks, "user_agent")
-        .withColumn("_lower", F.lower("user_agent"))
-        .join(
-            F.broadcast(rules.select("kind", "rule_no", "pattern", "literal")),
-            F.expr("contains(_lower, literal) and user_agent rlike pattern"),
-            "left",
-        )
+    # regexp_instr and regexp_extract keep the pattern that they compiled last, which rlike does not do.
+    groups = [F.call_function("regexp_extract", F.col("user_agent"), F.col("pattern"), F.lit(i)) for i in range(1, 5)]
+    pairs = (
+        candidates(agents.repartition(tasks, "user_agent"), rules)
+        .sortWithinPartitions("kind", "rule_no")
+        .withColumn("hit", F.expr("coalesce(regexp_instr(user_agent, pattern) > 0, false)"))
+        .withColumn("groups", F.when(F.col("hit") & F.col("kind").isin(NAMING_KINDS), F.array(*groups)))
     )
-    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("rule_no")))
-    won = probe.groupBy("user_agent").agg(
+    first = lambda kind: F.min(F.when(F.col("hit") & (F.col("kind") == kind), F.struct("rule_no", "groups")))
+    # ``first`` depends on the order, so the sort stays.
+    won = pairs.groupBy("user_agent").agg(
         F.first("n").alias("n"),
-        *[first(kind).alias(f"{kind}_no") for kind in NAMING_KINDS],
-        *[F.bool_or(F.col("kind") == kind).alias(f"is_{kind}") for kind in TYPE_KINDS],
+        *[first(kind).alias(f"{kind}_won") for kind in NAMING_KINDS],
+        *[F.bool_or(F.col("hit") & (F.col("kind") == kind)).alias(f"is_{kind}") for kind in TYPE_KINDS],
     )
     for kind in NAMING_KINDS:
+        outputs = ["family", "v1", "v2", "v3", "brand"]
         of_kind = rules.where(F.col("kind") == kind).select(
-            F.col("rule_no").alias(f"{kind}_no"),
-            *[
-                F.col(c).alias(f"{kind}_{c}")
-                for c in ["pattern", "family", "v1", "v2", "v3", "brand"]
-            ],
+            F.col("rule_no").alias(f"{kind}_no"), *[F.col(c).alias(f"{kind}_{c}") for c in outputs]
         )
-        won = won.join(F.broadcast(of_kind), f"{kind}_no", "left")
+        won = won.join(F.broadcast(of_kind), F.col(f"{kind}_won.rule_no") == F.col(f"{kind}_no"), "left")
+    won = won.select("*", *[fact for kind in NAMING_KINDS for fact in _facts(kind)])
     device_type = F.coalesce(
         *[F.when(F.col(f"is_{kind}"), F.lit(kind)) for kind in TYPE_KINDS], F.lit("unknown")
     )
-    return won.select(
-        "user_agent",
-        "n",
-        *[fact for kind in NAMING_KINDS for fact in _facts(kind)],
-        device_type.alias("device_type"),
-    )
+    return won.select("user_agent", "n", *AGENT_FACTS[:-1], device_type.alias("device_type"))
 
 
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ them the family is group 1 and the versions are groups 2, 3 and 4.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 FIELDS = ["kind", "rule_no", "regex", "flags", "family", "v1", "v2", "v3", "brand"]
 RULE_SCHEMA = T.StructType(
     [T.StructField(f, T.LongType() if f == "rule_no" else T.StringType()) for f in FIELDS]
-    + [T.StructField("literal", T.StringType())]
+    + [T.StructField("literals", T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("gram", "text")])))]
 )
 
+# Characters of a literal that agents and rules are joined on.
+GRAM = 3
+
 # A rule file is configuration, and rules are broadcast; refuse what is larger in all.
 MAX_RULE_BYTES = 16 << 20
 
@@ -81,37 +85,66 @@ DEFAULT_RULES: list[tuple[str, str, str | None, str | None, str | None]] = [
 ]
 
 
-def _literal(regex: str, ignore_case: bool) -> str:
-    """The longest plain run that every match must contain, in lower case; ``''`` if none is sure.
+def _letter(name: str, arg) -> str:
+    """The lower-case ASCII character that an item of a parse tree stands for, whichever case it allows; ``''`` if none."""
+    if name == "LITERAL" and arg < 128:
+        return chr(arg).lower()
+    if name == "IN" and all(str(op) == "LITERAL" and value < 128 for op, value in arg):
+        cases = {chr(value).lower() for _, value in arg}
+        return cases.pop() if len(cases) == 1 else ""
+    return ""
+
+
+def _literals(regex: str, ignore_case: bool) -> list[str]:
+    """Plain texts in lower case of which every match contains at least one; ``['']`` if none is sure.
 
-    Testing for it first spares most pairs of agent and rule the regular expression.
+    Of the sets of texts that serve, the one whose shortest text is longest: alternatives give one text each.
     """
     parser = re._parser  # the parse tree is the only reliable view of what is optional
     try:
         tree = parser.parse(regex)
     except (re.error, OverflowError):
-        return ""
-    runs: list[str] = []
-
-    def walk(items, run: str) -> str:
-        for op, arg in items:
-            name = str(op)
-            if name == "LITERAL" and arg < 128:
-                run += chr(arg)
-            elif name == "SUBPATTERN" and not arg[1] and not arg[2]:
-                run = walk(arg[3], run)
-            else:
-                runs.append(run)
-                run = ""
-                if name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
-                    runs.append(walk(arg[2], ""))
-        return run
-
-    runs.append(walk(tree, ""))
-    # Letters that have a non-ASCII case partner cannot be trusted when case is ignored.
-    if ignore_case:
-        runs = [part for run in runs for part in re.split("[ksKS]", run)]
-    return max(runs, key=len, default="").lower()
+        return [""]
+
+    def best(items) -> frozenset[str]:
+        found: list[frozenset[str]] = []
+
+        def add(run: str) -> None:
+            # Letters that have a non-ASCII case partner cannot be trusted when case is ignored.
+            found.extend(frozenset([part]) for part in (re.split("[ks]", run) if ignore_case else [run]))
+
+        def walk(items, run: str) -> str:
+            for op, arg in items:
+                name = str(op)
+                letter = _letter(name, arg)
+                if letter:
+                    run += letter
+                elif name == "SUBPATTERN" and not arg[1] and not arg[2]:
+                    run = walk(arg[3], run)
+                else:
+                    add(run)
+                    run = ""
+                    if name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
+                        found.append(best(arg[2]))
+                    elif name == "BRANCH":
+                        found.append(frozenset().union(*[best(branch) for branch in arg[1]]))
+            return run
+
+        add(walk(items, ""))
+        return max(found, key=lambda texts: (min(map(len, texts)), -len(texts)))
+
+    return sorted(best(tree))
+
+
+def _with_grams(literals: list[list[str]]) -> list[list[dict]]:
+    """To each literal the three of its characters that the fewest literals have, ``''`` for shorter ones."""
+    grams = [[{text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} for text in texts] for texts in literals]
+    uses = Counter(gram for texts in grams for of_text in texts for gram in of_text)
+    rarest = lambda of_text: min(of_text, key=lambda gram: (uses[gram], gram), default="")
+    return [
+        [{"gram": rarest(of_text), "text": text} for text, of_text in zip(texts, of_texts, strict=True)]
+        for texts, of_texts in zip(literals, grams, strict=True)
+    ]
 
 
 def _check_size(total: int) -> None:
@@ -121,10 +154,8 @@ def _check_size(total: int) -> None:
 
 def make_rules(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Rules from dictionaries; fails on the first regular expression that does not compile."""
-    table = []
-    for row in rows:
-        rule = [row.get(field) for field in FIELDS]
-        table.append((*rule, _literal(row["regex"], "i" in (row.get("flags") or ""))))
+    literals = _with_grams([_literals(row["regex"], "i" in (row.get("flags") or "")) for row in rows])
+    table = [(*[row.get(field) for field in FIELDS], needed) for row, needed in zip(rows, literals, strict=True)]
     _check_size(sum(len(str(value).encode()) for rule in table for value in rule))
     columns = {f.name: list(v) for f, v in zip(RULE_SCHEMA.fields, zip(*table))}
     # An Arrow table of this size becomes a local relation: no job reads it.

@@ -87,10 +87,39 @@ def test_rule_files(spark, tmp_path):
     ],
 )
 def test_literal_is_in_every_match(regex, examples):
-    literal = agent_rules._literal(regex, ignore_case=False)
+    literals = agent_rules._literals(regex, ignore_case=False)
     for text in examples:
-        assert re.search(regex, text) and literal in text.lower()
-    assert agent_rules._literal("Kiosk", ignore_case=True) == "io"
+        assert re.search(regex, text) and any(literal in text.lower() for literal in literals)
+    assert agent_rules._literals("Kiosk", ignore_case=True) == ["io"]
+
+
+def test_literals_of_alternatives():
+    literals = lambda regex: agent_rules._literals(regex, ignore_case=False)
+    assert literals(r"[Bb]ot\b|[Cc]rawler") == ["bot", "crawler"]
+    assert literals(r"x(?:Alpha|Beta)+y") == ["alpha", "beta"]
+    assert literals(r"Windows|[0-9]+") == [""] and literals(r"[BC]ot") == ["ot"]
+    grams = agent_rules._with_grams([["abcd", "xy"], ["abce"]])
+    assert [[g["gram"] for g in rule] for rule in grams] == [["bcd", ""], ["bce"]]
+
+
+def test_rules_meet_agents_by_an_index(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abAB/ (") for _ in range(draw.randrange(2, 6)))
+    rows = [
+        {"kind": draw.choice(["browser", "os", "bot", "mobile"]), "rule_no": i, "regex": draw.choice(["{}", "{}|{}", "({})+x?", "[Aa]{}"]).format(*[re.escape(word()) for _ in range(2)]), "family": f"F{i}"}
+        for i in range(80)
+    ]
+    texts = sorted({"".join(word() for _ in range(draw.randrange(6))) for _ in range(120)})
+    rules = agent_rules.make_rules(spark, rows)
+    found = classified(spark, rules, *texts)
+    assert len(found) == len(texts)
+    for text in texts:
+        won = {kind: next((r["family"] for r in rows if r["kind"] == kind and re.search(r["regex"], text)), None) for kind in ("browser", "os", "bot", "mobile")}
+        assert found[text].browser_name == (won["browser"] or "Other") and found[text].operating_system == (won["os"] or "Other")
+        assert found[text].device_type == ("bot" if won["bot"] else "mobile" if won["mobile"] else "unknown")
+    agent = spark.createDataFrame([("x", 1)], "user_agent string, n bigint")
+    plan = agents.classify_agents(agent, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "RLIKE" not in plan.upper()
 
 
 def test_dimension_grows_by_new_agents_only(spark, rules, tmp_path):
