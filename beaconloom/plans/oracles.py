@@ -259,6 +259,7 @@ select event_date, count(*) as n,
 from days group by 1""",
     "ua_classify": f"with {AGENTS} select * from agent_dim",
     "ua_rules_file": f"with {AGENTS} select * from agent_dim",
+    "ua_rules_yaml": f"with {AGENTS} select * from agent_dim",
     "ua_increment": f"with {AGENTS} select * from agent_dim",
     "ua_join": f"""with {AGENTS}
 select coalesce(d.browser_name, 'Other') as browser_name, coalesce(d.device_type, 'unknown') as device_type,
@@ -322,6 +323,19 @@ rows_ as (select unnest(list_concat(list_transform(range(r), lambda x: a), [100,
   unnest(range(r + 2)) as bucket from mouse)
 select bucket, count(*) as n, cast(sum(value) as bigint) as total, cast(max(value) as bigint) as largest
 from rows_ group by 1""",
+    "timeline_intervals": f"""with {BEACONS},
+claims as (select seq, event_id % 6 as kind, event_id % 9 + 1 as r from beacons),
+runs as (
+  select '0' as mode, 10 as value, 0 as s, r as e from claims where kind = 0
+  union all select '0', 1295, 0, 1 from claims where kind = 1
+  union all select '1', 9223372036854775807, 0, 1 from claims where kind = 2
+  union all select '1', 5, 0, 101559956668415 from claims where kind = 3
+  union all select '2', unnest([1, 2, 100]), unnest([0, 1, 2]), unnest([1, 2, 3]) from claims where kind = 5),
+places as (select mode, s as p from runs union select mode, e from runs),
+stretches as (select mode, p, lead(p) over (partition by mode order by p) - 1 as q from places)
+select mode, cast(p as bigint) as first_bucket, cast(q as bigint) as last_bucket, count(*) as n,
+ try_cast(sum(value) as bigint) as total, cast(max(value) as bigint) as largest
+from stretches join runs using (mode) where s <= p and p < e group by mode, p, q""",
     "timeline_modes": f"""with {BEACONS},
 claims as (select seq, event_id % 6 as kind, event_id % 9 + 1 as r from beacons)
 select seq,

@@ -277,6 +277,35 @@ def ua_rules_file(spark: SparkSession, folder: str) -> DataFrame:
     return agents.classify_agents(found, agent_rules.read_rules(spark, path))
 
 
+@query
+def ua_rules_yaml(spark: SparkSession, folder: str) -> DataFrame:
+    """The same dimension by a YAML file of over a thousand rules.
+
+    The format has versions in groups 2 to 4, so rules that have them from group 1 on get an empty group in front.
+    """
+    path = f"{scratch_path(spark, 'rules')}.yaml"
+    groups = inputs.table(spark, folder, "customer").select("c_mktsegment", "c_nationkey").distinct()
+    numbered = groups.withColumn("release", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    more = numbered.select(
+        F.lit("browser").alias("kind"),
+        (F.col("c_nationkey") * 10 + F.col("release") + 1000).cast("bigint").alias("rule_no"),
+        F.concat_ws("-", "c_mktsegment", "c_nationkey", "release", F.lit(r"([0-9]+)\.([0-9]+)")).alias("regex"),
+        F.col("c_mktsegment").alias("family"),
+    )
+    rules = agent_rules.default_rules(spark).select(*agent_rules.FIELDS).unionByName(more, allowMissingColumns=True)
+    shifted = F.col("v1") == "$1"
+    rules = rules.withColumn("regex", F.concat(F.when(shifted, F.lit("()")).otherwise(F.lit("")), "regex"))
+    rules = rules.withColumn("v1", F.when(~shifted, F.col("v1")))
+    sections = []
+    for section, kind in agent_rules.YAML_SECTIONS.items():
+        fields = [F.col(field).alias(key) for key, field in agent_rules.YAML_FIELDS[kind].items() if field not in ("v2", "v3")]
+        entry = F.when(F.col("kind") == kind, F.struct("rule_no", F.struct("regex", *fields).alias("entry")))
+        sections.append(F.transform(F.array_sort(F.collect_list(entry)), lambda numbered: numbered["entry"]).alias(section))
+    rules.agg(*sections).select(F.to_json(F.struct("*"))).coalesce(1).write.text(path)  # JSON is YAML
+    found = agents.distinct_agents(_agent_rows(spark, folder))
+    return agents.classify_agents(found, agent_rules.read_rules(spark, path))
+
+
 @query
 def ua_increment(spark: SparkSession, folder: str) -> DataFrame:
     """The same dimension, grown in two steps, the second for agents not seen in the first."""
@@ -547,6 +576,14 @@ def timeline_buckets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def timeline_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Beacons, sum and maximum per mode for every stretch of buckets over which they stay the same, endless timelines included."""
+    texts = _timelines(spark, folder).select("log", F.substring("log", 1, 1).alias("mode"))
+    found = timelines.bucket_intervals(timelines.with_runs(texts, "log"), ["mode"])
+    return found.withColumn("total", F.col("total").try_cast("bigint"))
+
+
 @query
 def timeline_modes(spark: SparkSession, folder: str) -> DataFrame:
     """Timelines of all modes with faulty and endless ones: statistics, bucket rows written, or why they are refused."""

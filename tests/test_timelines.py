@@ -118,3 +118,33 @@ def test_timelines_too_long_for_an_array_have_a_reason(spark):
     reasons = {r.t: r.reason for r in timelines.refused(runs, "t", arrays=True).collect()}
     assert reasons == {"long": "long_timeline", "endless": "endless_timeline", "bad": "bad_timeline"}
     assert {r.t for r in timelines.refused(runs, "t").collect()} == {"endless", "bad"}
+
+
+def test_intervals_agree_with_bucket_rows(spark):
+    draw = random.Random(11)
+    texts = []
+    for i in range(60):
+        runs = [f"*{draw.choice(['1', '3', '7', 'g', '1s', '2k'])}*{draw.choice('0aZ')}" for _ in range(draw.randrange(5))]
+        texts.append((draw.choice(["a", "b", None]), "0" + "".join(runs)))
+    texts += [("a", None), ("a", ""), ("b", "9x"), ("c", "0*1000*a0")]
+    df = timelines.with_runs(spark.createDataFrame(texts, "k string, t string"), "t")
+    expected = {}
+    for r in timelines.bucket_rows(df, ["k"]).collect():
+        expected.setdefault((r.k, r.bucket), []).append(r.value)
+    found = timelines.bucket_intervals(df, ["k"]).collect()
+    spread = {(r.k, b): (r.n, int(r.total), r.largest) for r in found for b in range(r.first_bucket, r.last_bucket + 1)}
+    assert spread == {at: (len(v), sum(v), max(v)) for at, v in expected.items()}
+    assert sum(r.last_bucket - r.first_bucket + 1 for r in found) == len(expected)
+
+
+def test_intervals_of_endless_timelines(spark):
+    end = "1y2p0ij32e8e6"  # two less than 2**63 buckets, and one more than can be counted
+    texts = ["1*5*a", f"1*{end}*b", f"1*{end}*b,c", "1*zzzzzzzzz*5"]
+    df = timelines.with_runs(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    rows = sorted(tuple(map(int, r)) for r in timelines.bucket_intervals(df, []).collect())
+    long = 36**9 - 1
+    assert rows == [(0, 4, 3, 26, 11), (5, long - 1, 2, 16, 11), (long, (1 << 63) - 3, 1, 11, 11)]
+    left = timelines.refused(df, "t", most=timelines.MOST_COUNTABLE).collect()
+    assert [(r.t, r.reason) for r in left] == [(texts[2], "endless_timeline")]
+    empty = timelines.with_runs(spark.createDataFrame([], "t string"), "t")
+    assert timelines.bucket_intervals(empty, []).collect() == []
