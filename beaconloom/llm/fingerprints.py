@@ -3,9 +3,10 @@
 * **Fingerprint.**  The terms of a document are its pairs of neighbouring words, weighted by how often they occur.  Each term's
   hash votes with its weight on every bit, for 1 where its bit is set and against it where not.  The share of equal bits
   of two fingerprints tells the angle between the weighted term vectors.
-* **Search.**  Bits are cut into ``radius + 1`` blocks.  Two fingerprints that differ in at most ``radius`` bits agree in at least
-  one of them, so one table for each block, with this block permuted to the front as the key, finds them all.  A pair that
-  agrees in several blocks is taken from the first of them alone.
+* **Search.**  Bits are cut into blocks, more than half as many as the radius has bits.  Two fingerprints within the radius then
+  differ in at most one bit of some block, so one table for each block, with this block permuted to the front as the key, finds
+  them all: a query asks it for its own key and for those with one bit flipped.  A pair that meets in several tables is taken
+  from the first of them alone.  Tables hold a row for each block, queries one for each bit and block.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from beaconloom.operators.lookups import lookup_join
 from beaconloom.session import materialise
 
 BITS = 128
-RADIUS = 3
+#: One changed word of 250 turns 5 bits (median), two turn 7, five of 1,000 turn 6.
+RADIUS = 9
+BLOCK_BITS = 32
 #: Documents whose doc_id this number divides are the queries of a search against all documents.
 QUERY_EVERY = 20
 
@@ -134,35 +137,58 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     return in_order(rows, ["doc_id", "text"], halo=True).mapInArrow(_compared, SCHEMA)
 
 
-def _block_keys(bits: int, radius: int) -> list[Column]:
-    """The values of the ``radius`` + 1 blocks of a fingerprint of hexadecimal digits."""
-    digits, count = bits // 4, radius + 1
-    cuts = [round(i * digits / count) for i in range(count + 1)]
-    return [F.substring("fingerprint", a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _cuts(bits: int, radius: int) -> list[tuple[int, int]]:
+    """Where blocks begin and end: so many that one of them differs in one bit at most, of ``BLOCK_BITS`` at most."""
+    count = max(radius // 2 + 1, -(-bits // BLOCK_BITS))
+    cuts = [round(i * bits / count) for i in range(count + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _block(words: list[Column], begin: int, end: int) -> Column:
+    """The bits from ``begin`` to ``end`` of 64-bit words, the first bit being the highest of the first word."""
+    first, last = begin // 64, (end - 1) // 64
+    value = F.shiftrightunsigned(words[last], 64 * (last + 1) - end)
+    if first < last:
+        value = value.bitwiseOR(F.shiftleft(words[first], end - 64 * last))
+    return value.bitwiseAND(F.lit((1 << end - begin) - 1).cast("long"))
 
 
 def _words(name: str, bits: int) -> list[Column]:
     return [F.conv(F.substring(name, 16 * k + 1, 16), 16, -10).cast("long") for k in range(bits // 64)]
 
 
+def _digits(words: list[Column]) -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in words])
+
+
 def within_radius(queries: DataFrame, codes: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """For every fingerprint of ``queries``, the ones of ``codes`` that differ in at most ``radius`` bits, itself included:
     fingerprint, found, distance.  Both sides should hold each fingerprint once."""
-    blocks = _block_keys(bits, radius)
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = F.posexplode(F.array(*blocks)).alias("_table", "_key")
-        kept = df.select(F.col("fingerprint").alias(name), F.array(*blocks).alias(f"_{name}"), F.array(*_words("fingerprint", bits)).alias(f"_w{name}"), keys)
-        return kept
-
-    left, right = tables(queries, "fingerprint"), tables(codes, "found")
-    distance = sum((F.bit_count(F.col("_wfingerprint")[k].bitwiseXOR(F.col("_wfound")[k])) for k in range(bits // 64)), F.lit(0))
-    # from the first table in which the two agree: no earlier block is equal
+    cuts, count = _cuts(bits, radius), bits // 64
+    slack = radius // len(cuts)  # 0 or 1
+
+    def tables(df: DataFrame, side: str, flips: bool) -> DataFrame:
+        """A row for each table and key; the table's number stands above the bits of its block."""
+        named = df.select(*[w.alias(f"_{side}{k}") for k, w in enumerate(_words("fingerprint", bits))])
+        keys = []
+        for number, (begin, end) in enumerate(cuts):
+            own = _block([F.col(f"_{side}{k}") for k in range(count)], begin, end)
+            own = own.bitwiseOR(F.lit(number << BLOCK_BITS).cast("long"))
+            masks = [0, *[1 << i for i in range(end - begin)]] if flips else [0]
+            keys += [own.bitwiseXOR(F.lit(mask).cast("long")) for mask in masks]
+        return named.select("*", F.explode(F.array(*keys)).alias(f"_{side}key"))
+
+    left, right = tables(queries, "a", slack > 0), tables(codes, "b", False)
+    apart = [F.col(f"_a{k}").bitwiseXOR(F.col(f"_b{k}")) for k in range(count)]
+    distance = sum((F.bit_count(x) for x in apart), F.lit(0))
+    # from the first table in which the two meet
+    number = F.shiftright("_akey", BLOCK_BITS)
     earlier = F.lit(False)
-    for k in range(radius):
-        earlier = earlier | ((F.col("_table") > k) & (F.col("_fingerprint")[k] == F.col("_found")[k]))
-    pairs = left.join(right, ["_table", "_key"]).where((distance <= radius) & ~earlier)
-    return pairs.select("fingerprint", "found", distance.alias("distance"))
+    for k, (begin, end) in enumerate(cuts[:-1]):
+        earlier = earlier | ((number > k) & (F.bit_count(_block(apart, begin, end)) <= slack))
+    pairs = left.join(right, (F.col("_akey") == F.col("_bkey")) & (distance <= radius) & ~earlier)
+    sides = [_digits([F.col(f"_{side}{k}") for k in range(count)]) for side in "ab"]
+    return pairs.select(sides[0].alias("fingerprint"), sides[1].alias("found"), distance.alias("distance"))
 
 
 def with_neighbours(compared: DataFrame, radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:

@@ -71,11 +71,12 @@ def test_blocks_join_up(lake, monkeypatch, size):
         assert found[i].edited_sha256 == hashlib.sha256(fingerprints.edited(text, following).encode()).hexdigest()
 
 
-def test_search_finds_all_within_the_radius(lake):
+@pytest.mark.parametrize("radius", [0, 3, 4, 7, 9, 10])
+def test_search_finds_all_within_the_radius(lake, radius):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
     codes = [base]
-    for flips in range(1, 6):
+    for flips in range(1, 13):
         changed = base.copy()
         for row in changed:
             for bit in rng.choice(128, flips, replace=False):
@@ -84,9 +85,9 @@ def test_search_finds_all_within_the_radius(lake):
     every = np.concatenate(codes)
     names = fingerprints.hex_digits(every)
     df = lake.createDataFrame([(n,) for n in sorted(set(names))], "fingerprint string")
-    found = [(r.fingerprint, r.found, r.distance) for r in fingerprints.within_radius(df, df).collect()]
+    found = [(r.fingerprint, r.found, r.distance) for r in fingerprints.within_radius(df, df, radius).collect()]
     distance = np.bitwise_count(every[:, None] ^ every[None]).sum(axis=2)
-    expected = {(names[i], names[j], int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= 3), strict=True)}
+    expected = {(names[i], names[j], int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= radius), strict=True)}
     assert len(found) == len(set(found)) and set(found) == expected
 
 
@@ -95,9 +96,21 @@ def test_neighbours_are_counted(odd):
     rows = fingerprints.with_neighbours(compared).collect()
     codes = [r.fingerprint for r in rows]
     for r in rows:
-        near = sum(bin(int(r.fingerprint, 16) ^ int(c, 16)).count("1") <= 3 for c in codes) - 1
+        near = sum(bin(int(r.fingerprint, 16) ^ int(c, 16)).count("1") <= fingerprints.RADIUS for c in codes) - 1
         assert r.n_near == (None if r.doc_id is None else near)
 
 
+def test_radius_covers_changed_words():
+    rng = np.random.default_rng(3)
+    near = []
+    for _ in range(60):
+        words = [f"w{n}" for n in rng.integers(0, 4000, 500)]
+        changed = list(words)
+        changed[int(rng.integers(500))] = "other"
+        a, b = fingerprints.fingerprints_of([" ".join(words).encode(), " ".join(changed).encode()])
+        near.append(int(np.bitwise_count(a ^ b).sum()) <= fingerprints.RADIUS)
+    assert np.mean(near) > 0.9
+
+
 def test_empty_table(empty):
     assert fingerprints.with_neighbours(materialise(fingerprints.compare_with_edits(empty), "t")).collect() == []
