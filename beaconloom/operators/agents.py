@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +119,61 @@ def classify_agents(agents: DataFrame, rules: DataFrame, tasks: int | None = Non
     return won.select("user_agent", "n", *AGENT_FACTS[:-1], device_type.alias("device_type"))
 
 
+def _constant(rules: list[dict]) -> Column:
+    """Rules as a constant array, in their order."""
+    schema = (
+        "array<struct<pattern:string,literals:array<struct<text:string>>,"
+        "family:string,v1:string,v2:string,v3:string,brand:string>>"
+    )
+    return F.from_json(F.lit(json.dumps(rules)), schema)
+
+
+def classify_rows(rows: DataFrame, known: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add the facts of each row's user agent, as stored in ``known`` or, for agents that it lacks, by the rules.
+
+    Neither groups nor sorts, so that a stream can use it; the batch form, which classifies distinct agents, is cheaper for many
+    rows.  The rules, of a checked size, are constants of the plan; a pattern is tried only on agents with a literal of it.
+    """
+    table = rules.select("kind", "pattern", "literals", "family", "v1", "v2", "v3", "brand").orderBy("kind", "rule_no")
+    of_kind: dict[str, list[dict]] = {kind: [] for kind in (*NAMING_KINDS, *TYPE_KINDS)}
+    for rule in table.toLocalIterator():
+        given = rule.asDict(recursive=True)
+        of_kind[given.pop("kind")].append(given)
+
+    agent, lower = F.col("user_agent"), F.col("_lower")
+
+    def hit(rule: Column) -> Column:
+        likely = F.exists(rule["literals"], lambda literal: F.contains(lower, literal["text"]))
+        return likely & (F.call_function("regexp_instr", agent, rule["pattern"]) > 0)
+
+    def first(kind: str) -> Column:
+        won = F.slice(F.filter(_constant(of_kind[kind]), hit), 1, 1)
+        groups = lambda rule: F.array(*[F.call_function("regexp_extract", agent, rule["pattern"], F.lit(i)) for i in range(1, 5)])
+        return F.get(F.transform(won, lambda rule: F.struct(rule.alias("rule"), groups(rule).alias("groups"))), F.lit(0))
+
+    found = [F.when(lower.isNotNull(), first(kind)).alias(f"{kind}_won") for kind in NAMING_KINDS]
+    found += [F.coalesce(F.exists(_constant(of_kind[kind]), hit), F.lit(False)).alias(f"is_{kind}") for kind in TYPE_KINDS]
+    # Rows without an agent meet nothing: a key of their own keeps them apart if the join shuffles.
+    key = F.coalesce("user_agent", F.concat(F.lit("\0"), F.xxhash64("seq").cast("string")))
+    stored = known.select(F.col("user_agent").alias("_known"), F.struct(*AGENT_FACTS).alias("_facts"))
+    new = F.when(F.col("_known").isNull(), F.lower("user_agent"))
+    # Emitted as an array of one, so that later steps do not repeat the matching for each use.
+    matched = (
+        rows.join(stored, key == F.col("_known"), "left")
+        .withColumn("_lower", new)
+        .withColumn("_found", F.explode(F.array(F.struct(*found))))
+        .select("*", "_found.*")
+    )
+    for kind in NAMING_KINDS:
+        outputs = ["family", "v1", "v2", "v3", "brand"]
+        matched = matched.withColumns({f"{kind}_{c}": F.col(f"{kind}_won.rule")[c] for c in outputs})
+    device_type = F.coalesce(*[F.when(F.col(f"is_{kind}"), F.lit(kind)) for kind in TYPE_KINDS], F.lit("unknown"))
+    ruled = [fact for kind in NAMING_KINDS for fact in _facts(kind)]
+    by_rule = F.struct(*ruled, device_type.alias("device_type"))
+    facts = F.when(F.col("_known").isNotNull(), F.col("_facts")).when(lower.isNotNull(), by_rule)
+    return matched.withColumn("_won", facts).select(*rows.columns, *[F.col(f"_won.{name}").alias(name) for name in AGENT_FACTS])
+
+
 def read_dimension(spark: SparkSession, path: str) -> DataFrame:
     """The stored dimension, one row per user agent, or no rows before the first batch.
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from beaconloom.functions import dates, numbers, texts, urls
 from beaconloom.operators import agents, places
 from beaconloom.operators.lookups import lookup_join
+from beaconloom.operators.tables import filter_once
 from beaconloom.schema import DELTAS, EVENT_COLUMNS, EVENT_NAMES, JSON_NUMBER_KEYS
 from beaconloom.session import materialise, remove
 
@@ -127,6 +128,20 @@ def enrich(
         rows = lookup_join(rows, place_dim, "lookup_ip")
     else:
         rows = rows.withColumns({c: F.lit("") for c in ("ip_country", "ip_city")})
+    return _in_table_order(rows, keep)
+
+
+def enrich_rows(
+    typed: DataFrame, known: DataFrame, rules: DataFrame, bests: places.Blocks | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Event rows in table order, each row enriched by itself, as a stream needs it."""
+    rows = agents.classify_rows(filter_once(typed, F.col("reason").isNull()), known, rules)
+    rows = places.locate_rows(rows, bests or places.Blocks(typed, ()))
+    return _in_table_order(rows, keep)
+
+
+def _in_table_order(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns of the table, from rows with the facts of their agent and place."""
     country, city = places.fallback_place()
     rows = agents.with_agent_defaults(rows).withColumns(
         {"geo_country_code": country, "geo_city_name": city}

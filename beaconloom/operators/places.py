@@ -109,6 +109,37 @@ def _width() -> Column:
     )
 
 
+def _rank() -> Column:
+    """The least is the best: the narrowest range, of these the latest start, by the complement of its digits."""
+    later = F.translate("start_key", "0123456789abcdef", "fedcba9876543210").alias("later")
+    return F.struct("width", later, "country", "city")
+
+
+def best_of_blocks(blocks: Blocks, written: list[str] | None = None) -> Blocks:
+    """The best range of each block, written once: what ``locate_rows`` looks up."""
+    best = blocks.rows.groupBy("block").agg(F.min(_rank()).alias("best"))
+    return Blocks(materialise(best, "block_bests", written), blocks.lengths)
+
+
+def locate_rows(rows: DataFrame, bests: Blocks) -> DataFrame:
+    """Add ``ip_country`` and ``ip_city`` by ``lookup_ip`` to each row, NULL where nothing is found.
+
+    The same choice as ``locate`` makes, without a group, so that a stream can use it: one equi-join for each length that blocks
+    have (32 at most), with a block at most once on the right, so that rows never multiply.
+    """
+    keyed, found = rows.withColumn("_ip_key", ip_key(F.col("lookup_ip"))), []
+    # Rows without an address meet no block: spread out, should a join shuffle.
+    key = F.coalesce("_ip_key", F.concat(F.lit("-"), F.xxhash64("seq").cast("string")))
+    for n in bests.lengths:
+        of_length = bests.rows.where(F.length("block") == n).select(F.col("block").alias(f"_block{n}"), F.col("best").alias(f"_best{n}"))
+        keyed = keyed.join(of_length, F.substring(key, 1, n) == F.col(f"_block{n}"), "left")
+        found.append(F.col(f"_best{n}"))
+    if not found:
+        return rows.withColumns({name: F.lit(None).cast("string") for name in ("ip_country", "ip_city")})
+    best = F.array_min(F.array(*found))
+    return keyed.select(*rows.columns, best["country"].alias("ip_country"), best["city"].alias("ip_city"))
+
+
 def distinct_addresses(rows: DataFrame) -> DataFrame:
     """Each address that needs a lookup once, with the number of rows that have it."""
     return (
@@ -133,11 +164,7 @@ def locate(addresses: DataFrame, ranges: DataFrame | Blocks) -> DataFrame:
     heads = [F.substring("ip_key", 1, n) for n in blocks.lengths]
     names = F.array(*heads) if heads else F.array().cast("array<string>")
     inside = keyed.select("*", F.explode(names).alias("block")).join(blocks.rows, "block")
-    # The later start is the better one: compare the complement of its digits.
-    later = F.translate("start_key", "0123456789abcdef", "fedcba9876543210").alias("later")
-    best = inside.groupBy("lookup_ip", "n").agg(
-        F.min(F.struct("width", later, "country", "city")).alias("best")
-    )
+    best = inside.groupBy("lookup_ip", "n").agg(F.min(_rank()).alias("best"))
     return best.select(
         "lookup_ip",
         "n",

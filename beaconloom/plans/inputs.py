@@ -8,7 +8,9 @@ text; NULL means that the beacon does not have the parameter.  Faulty beacons ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH_MS = 1_700_000_000_000
@@ -160,8 +162,8 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
 MISSING = "event_id % 149 = 3"
 
 
-def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON line per beacon, with ``seq`` and ``received_at``."""
+def request_headers() -> Column:
+    """The headers of a request as JSON."""
     headers = F.create_map(
         F.lit("User-Agent"),
         F.array(F.expr(AGENT)),
@@ -172,9 +174,14 @@ def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("X-Forwarded-For"),
         F.array(F.expr(FORWARDED), F.lit("198.51.100.7")),
     )
+    return F.to_json(headers)
+
+
+def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON line per beacon, with ``seq`` and ``received_at``."""
     fields = [F.expr(sql).alias(key) for key, sql in PARAMETERS.items()]
     # Some lines are missing.
-    line = F.to_json(F.struct(*fields, F.to_json(headers).alias("request_headers")))
+    line = F.to_json(F.struct(*fields, request_headers().alias("request_headers")))
     return visits(spark, folder).select(
         F.when(F.expr(f"not ({MISSING})"), F.coalesce(line, F.lit(""))).alias("value"),
         F.col("event_id").alias("seq"),
@@ -182,8 +189,8 @@ def beacon_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def form_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Form-encoded requests: the URL and session in the body, repeated keys and the rest in the query."""
+def form_requests(spark: SparkSession, folder: str, headers: bool = False) -> DataFrame:
+    """Form-encoded requests: the URL and session in the body, repeated keys and the rest in the query; with headers on demand."""
     # URL-encoded text; every 53rd body has a broken escape and every 59th a raw semicolon.
     body = F.concat(
         F.lit("u="),
@@ -203,7 +210,7 @@ def form_requests(spark: SparkSession, folder: str) -> DataFrame:
     return visits(spark, folder).select(
         body.alias("body"),
         query.alias("query"),
-        F.lit(None).cast("string").alias("headers"),
+        (request_headers() if headers else F.lit(None).cast("string")).alias("headers"),
         F.expr(UPLOADED).cast("timestamp").alias("received_at"),
         F.col("event_id").alias("seq"),
     )
@@ -217,17 +224,23 @@ WIDE_START = f"({ADDRESS_BASE} + r_regionkey * 500000)"
 WIDE_END = f"({ADDRESS_BASE} + r_regionkey * 700000 + 900000)"
 
 
-def address_ranges(spark: SparkSession, folder: str) -> DataFrame:
+def v6(number: str) -> str:
+    """SQL that writes a 32-bit number as the end of an IPv6 address, its groups without leading zeros."""
+    whole = f"cast({number} as bigint)"
+    return f"concat('2001:DB8::', hex(shiftright({whole}, 16)), ':', lower(hex({whole} & 65535)))"
+
+
+def address_ranges(spark: SparkSession, folder: str, written: Callable[[str], str] = dotted) -> DataFrame:
     """(ip_start, ip_end, country, city) from customers and, as wide overlapping blocks, from regions."""
     blocks = table(spark, folder, "customer").select(
-        F.expr(dotted(RANGE_START)).alias("ip_start"),
-        F.expr(dotted(RANGE_END)).alias("ip_end"),
+        F.expr(written(RANGE_START)).alias("ip_start"),
+        F.expr(written(RANGE_END)).alias("ip_end"),
         F.expr("concat('C', cast(c_nationkey % 10 as string))").alias("country"),
         F.col("c_mktsegment").alias("city"),
     )
     wide = table(spark, folder, "region").select(
-        F.expr(dotted(WIDE_START)).alias("ip_start"),
-        F.expr(dotted(WIDE_END)).alias("ip_end"),
+        F.expr(written(WIDE_START)).alias("ip_start"),
+        F.expr(written(WIDE_END)).alias("ip_end"),
         F.col("r_name").alias("country"),
         F.lit("").alias("city"),
     )

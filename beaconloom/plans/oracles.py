@@ -215,6 +215,8 @@ _faulty_form += " when dl = '99999999999' then 'bad_number' end"
 ORACLES: dict[str, str] = {
     "beacon_events": f"{EVENTS_CTE}\nselect {EVENT_SELECT},\n seq\n{EVENT_FROM}",
     "stream_events": f"{EVENTS_CTE}\nselect {EVENT_SELECT}\n{EVENT_FROM}",
+    "stream_event_sink": f"{EVENTS_CTE}\nselect {EVENT_SELECT}\n{EVENT_FROM}",
+    "stream_rejects": f"with {TYPED} select seq, reason from typed where reason is not null",
     "count_where": f"""with {TYPED}
 select 'all' as predicate, count(*) as n from good
 union all select 'greater', count(*) from good where try_cast("c.cls" as float) > 2.25
@@ -267,6 +269,14 @@ select coalesce(d.browser_name, 'Other') as browser_name, coalesce(d.device_type
     "geo_range": f"""with {BEACONS}, {RANGES}
 select seq, coalesce(l.country, '') as country, coalesce(l.city, '') as city
 from beacons b left join located l on l.ip = b.ip""",
+    "geo_range_v6": f"""with {BEACONS}, {RANGES}
+select seq, coalesce(l.country, '') as country, coalesce(l.city, '') as city
+from beacons b left join located l on l.ip = b.ip""",
+    "form_headers": f"""with {FORMS},
+headed as (select f.seq, nullif({inputs.AGENT}, '') as user_agent, trim(replace({inputs.COUNTRY}, '"', '')) as country,
+  {inputs.CITY} as city, split_part({inputs.FORWARDED}, ',', 1) as address
+  from forms f join visits v on v.event_id = f.seq where not f.broken and f.u not like '% %')
+select seq, user_agent, country, city, case when country = '' and city = '' then address end as lookup_ip from headed""",
     "geo_fallback": f"""with {BEACONS}, {RANGES}
 select seq, {FALLBACK} as country, {FALLBACK_CITY} as city
 from beacons b left join located l on l.ip = b.ip""",
@@ -304,6 +314,7 @@ select host, day, hour, seq, row_number() over (partition by host, day order by
 from lines""",
     "archive_hours": f"with {LINES} select host, day, hour, value from lines",
     "stream_archive": f"with {LINES} select host, day, hour, value from lines",
+    "stream_archive_sink": f"with {LINES} select host, day, hour, value from lines",
     "archive_day": f"with {LINES} select host, day_name as day, value from lines where day = '{DAY}'",
     "archive_day_removed": f"with {LINES} select host, day_name as day, value from lines where day = '{DAY}'",
     "archive_days_gzip": f"with {LINES} select host, day_name as day, value from lines",

@@ -204,6 +204,17 @@ def form_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def form_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Agent and header place of form requests whose archive lines enter again as beacons."""
+    requests = inputs.form_requests(spark, folder, headers=True)
+    lines = archives.archive_lines(beacons.parse_requests(requests))
+    again = beacons.parse_lines(lines.select("value", "seq", F.col("day").cast("timestamp").alias("received_at")))
+    return events.type_beacons(again).select(
+        "seq", "user_agent", F.col("header_country").alias("country"), F.col("header_city").alias("city"), "lookup_ip"
+    )
+
+
 @query
 def event_table(spark: SparkSession, folder: str) -> DataFrame:
     """Write the day-partitioned table, then read some of its days."""
@@ -334,7 +345,20 @@ def geo_range(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every address by ranges, the narrowest that holds it."""
     lines = beacons.parse_lines(inputs.beacon_lines(spark, folder))
     rows = materialise(lines.select("seq", F.col("client_ip").alias("lookup_ip")), "addresses")
-    found = places.locate(places.distinct_addresses(rows), _ranges(spark, folder))
+    return _located(rows, _ranges(spark, folder))
+
+
+@query
+def geo_range_v6(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the addresses and ranges of an IPv6 network."""
+    known = inputs.visits(spark, folder).where(f"not ({inputs.MISSING})")
+    address = F.when(F.expr("event_id % 11 != 0"), F.expr(inputs.v6(inputs.ADDRESS)))
+    rows = materialise(known.select(F.col("event_id").alias("seq"), address.alias("lookup_ip")), "addresses")
+    return _located(rows, ranges.keyed_ranges(inputs.address_ranges(spark, folder, inputs.v6)))
+
+
+def _located(rows: DataFrame, of: DataFrame) -> DataFrame:
+    found = places.locate(places.distinct_addresses(rows), of)
     dim = materialise(found, "places")
     joined = lookups.lookup_join(rows, dim, "lookup_ip")
     empty = F.lit("")
@@ -679,3 +703,57 @@ def stream_archive(spark: SparkSession, folder: str) -> DataFrame:
         ).awaitTermination()
     lines = archive_files.read_hour_files(spark, f"{out}/hours")
     return plain(lines.select("host", "day", "hour", "value"))
+
+
+def _in_turns(spark: SparkSession, lines: DataFrame, feed: str, start: Callable[[DataFrame], None], turns: int = 2) -> None:
+    """Lines in arrival order in ``2 * turns`` files, each a batch; after every second file the stream is started again."""
+    lines = materialise(lines.select("value", "seq", "received_at"), "turn_lines")
+    last = lines.agg(F.max("seq")).head()[0] or 0
+    parts = 2 * turns
+    for part in range(parts):
+        span = F.col("seq").between(part * last // parts + (part > 0), (part + 1) * last // parts)
+        lines.where(span).coalesce(1).write.mode("append").parquet(feed)
+        if part % 2:
+            start(jobs.record_stream(spark, feed, files_per_batch=1))
+
+
+@query
+def stream_event_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Events through the partitioned file sink, stopped half way and resumed; agents are stored in between, as a daily job does."""
+    out, rules = scratch_path(spark, "stream_event_sink"), agent_rules.default_rules(spark)
+    bests = places.best_of_blocks(places.prepare(_ranges(spark, folder)))
+
+    def start(stream: DataFrame) -> None:
+        jobs.start_event_sink(
+            stream, rules, f"{out}/events", f"{out}/agents", f"{out}/checkpoint", bests, drain=True
+        ).awaitTermination()
+        agents.extend_dimension(tables.read_events(spark, f"{out}/events"), rules, f"{out}/agents")
+
+    _in_turns(spark, inputs.beacon_lines(spark, folder), f"{out}/feed", start)
+    return plain(tables.read_events(spark, f"{out}/events"))
+
+
+@query
+def stream_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejects through the file sink, stopped half way and resumed, read back."""
+    out = scratch_path(spark, "stream_rejects")
+
+    def start(stream: DataFrame) -> None:
+        jobs.start_reject_sink(stream, f"{out}/rejects", f"{out}/checkpoint", drain=True).awaitTermination()
+
+    _in_turns(spark, inputs.beacon_lines(spark, folder), f"{out}/feed", start)
+    return plain(spark.read.schema("seq bigint, reason string").parquet(f"{out}/rejects"))
+
+
+@query
+def stream_archive_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Hour archive through the partitioned text sink, stopped half way and resumed, read back by its log of commits."""
+    out = scratch_path(spark, "stream_archive_sink")
+    forms = _forms(spark, folder).select("seq", "received_at")
+
+    def start(stream: DataFrame) -> None:
+        jobs.start_archive_sink(stream, f"{out}/hours", f"{out}/checkpoint", drain=True).awaitTermination()
+
+    _in_turns(spark, _archive_lines(spark, folder).join(forms, "seq"), f"{out}/feed", start)
+    lines = archive_files.read_hour_files(spark, f"{out}/hours")
+    return plain(lines.select("host", "day", "hour", "value"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from beaconloom.session import matching
 
-# Two layouts: <host>/<yyyy-M-d>/<H>.json.lines and host=<host>/day=<yyyy-M-d>/hour=<H>/batch=<B>/<part>.
+# Two layouts: <host>/<yyyy-M-d>/<H>.json.lines and host=<host>/day=<yyyy-M-d>/hour=<H>/<part>, with a folder
+# batch=<B> above the part if a stream writes its batches by name.
 HOUR_PATH = (
     r"/(?:host=)?([^/]*)/(?:day=)?([0-9]+-[0-9]+-[0-9]+)/"
-    r"(?:hour=)?([0-9]+)(?:\.json\.lines(?:\.gz|\.zst)?|/batch=[^/]+/[^/]+)$"
+    r"(?:hour=)?([0-9]+)(?:\.json\.lines(?:\.gz|\.zst)?|(?:/batch=[^/]+)?/[^/]+)$"
 )
 EMPTY_HOST = "__HIVE_DEFAULT_PARTITION__"
 
@@ -19,7 +20,8 @@ def read_hour_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines of hour files: host, day, hour, value, and their place (file, block, seq).
 
     Host, day and hour come from the path.  Lines of one block share (file, block), which bounds
-    any work done per block; ``seq`` orders the lines within it.
+    any work done per block; ``seq`` orders the lines within it.  The root of an archive that a file sink
+    writes is read through the sink's log of commits: files of an unfinished batch are not seen.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(paths)
     place = lambda group: F.regexp_extract(path, HOUR_PATH, group)

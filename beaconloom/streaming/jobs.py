@@ -2,7 +2,9 @@
 
 Events, hostname log and archive are ``foreachBatch`` jobs whose output is keyed by the stream's own identifier and the batch
 id, so a batch that is replayed after a failure replaces its own output instead of adding to it, and
-a stream with another checkpoint, whose batch ids start at 0 again, replaces nothing.  There is no
+a stream with another checkpoint, whose batch ids start at 0 again, replaces nothing.  The sinks (``start_event_sink``,
+``start_reject_sink``, ``start_archive_sink``) are Spark's own partitioned file sinks: a batch is an entry of their log of commits and
+not a folder, and readers go by that log.  A sink's folder belongs to one stream.  There is no
 watermark: events are stored under the day of their creation at any age, archive lines under their
 arrival.
 """
@@ -16,15 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from beaconloom.operators import archives, events, latest, places
+from beaconloom.functions import texts
+from beaconloom.operators import agents, archives, events, latest, places
 from beaconloom.operators.snapshots import CompactedLog
-from beaconloom.operators.tables import append_log, write_events
+from beaconloom.operators.tables import append_log, filter_once, write_events
 from beaconloom.sources import beacons
 
 HOSTNAME_INTERVAL = "1 minute"
 ARCHIVE_INTERVAL = "5 seconds"
 #: Batches between compactions of a registry's log, and files that one batch writes.
 COMPACT_EVERY, FLUSH_FILES = 60, 4
+#: Files, at most, that a batch of a sink adds to a day of events; tasks that write a batch of an archive.
+DAY_FILES, ARCHIVE_TASKS = 2, 8
 
 
 def line_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -60,6 +65,15 @@ def arrived(batch: DataFrame) -> DataFrame:
     return batch.select("value", "received_at", place.alias("seq"))
 
 
+def arriving(stream: DataFrame) -> DataFrame:
+    """Lines of a stream for a sink.  A stream cannot number the lines of a text file: the line's hash stands for its position,
+    so that ``seq`` tells the file and the block."""
+    if "seq" in stream.columns:
+        return stream.select("value", "received_at", "seq")
+    place = F.struct("file", "block", F.xxhash64("value").alias("position"))
+    return stream.select("value", "received_at", place.alias("seq"))
+
+
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The identifier that Spark keeps in a checkpoint from the stream's first start on."""
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").head()[0])["id"]
@@ -181,3 +195,68 @@ def start_archive(
         archives.write_hours(lines, root, name)
 
     return _start(stream, each, checkpoint, interval, drain)
+
+
+def _sink(
+    rows: DataFrame, fmt: str, path: str, by: list[str], checkpoint: str, interval: str, drain: bool
+) -> StreamingQuery:
+    writer = rows.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+    if by:
+        writer = writer.partitionBy(*by)
+    writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def start_event_sink(
+    stream: DataFrame,
+    rules: DataFrame,
+    events_path: str,
+    agents_path: str,
+    checkpoint: str,
+    ranges: DataFrame | places.Blocks | None = None,
+    interval: str = ARCHIVE_INTERVAL,
+    drain: bool = False,
+    day_files: int = DAY_FILES,
+) -> StreamingQuery:
+    """Event rows by creation day through the file sink, exactly once.
+
+    A batch is one plan: agents are looked up among those stored when the stream starts, the others are classified row by row,
+    addresses are looked up in the ranges as they are then (pass what ``places.best_of_blocks`` gives to prepare them once).
+    ``agents.extend_dimension`` over stored events adds what was new, for the next start.  A batch adds ``day_files`` files to
+    a day at most, however many tasks there are and whichever host or agent is frequent.
+    """
+    bests = ranges
+    if ranges is not None and not isinstance(ranges, places.Blocks):
+        bests = places.best_of_blocks(places.prepare(ranges))
+    typed = events.type_beacons(beacons.parse_lines(arriving(stream)))
+    known = agents.read_dimension(stream.sparkSession, agents_path)
+    rows = events.enrich_rows(typed, known, rules, bests, keep=("seq",))
+    part = F.pmod(F.xxhash64("seq"), F.lit(day_files))
+    dealt = rows.repartition("event_date", part).drop("seq")
+    return _sink(dealt, "parquet", events_path, ["event_date"], checkpoint, interval, drain)
+
+
+def start_reject_sink(
+    stream: DataFrame, rejects_path: str, checkpoint: str, interval: str = ARCHIVE_INTERVAL, drain: bool = False
+) -> StreamingQuery:
+    """Rejects through the file sink, exactly once, one file a batch and task."""
+    found = filter_once(events.type_beacons(beacons.parse_lines(arriving(stream))), F.col("reason").isNotNull())
+    return _sink(events.rejects(found), "parquet", rejects_path, [], checkpoint, interval, drain)
+
+
+def start_archive_sink(
+    stream: DataFrame,
+    root: str,
+    checkpoint: str,
+    interval: str = ARCHIVE_INTERVAL,
+    drain: bool = False,
+    tasks: int = ARCHIVE_TASKS,
+) -> StreamingQuery:
+    """Archive lines to the hour of their arrival through the file sink, exactly once.
+
+    A late line goes to its arrival hour like any other.  Lines are not shuffled: each of ``tasks`` tasks writes the lines that it
+    read, so that a batch adds that many files to an hour at most and a busy host is written by all of them.
+    """
+    lines = archives.archive_lines(beacons.parse_line_maps(arriving(stream)))
+    rows = lines.select("value", "host", texts.day_name(F.col("day")).alias("day"), "hour").coalesce(tasks)
+    return _sink(rows, "text", root, ["host", "day", "hour"], checkpoint, interval, drain)

@@ -266,3 +266,50 @@ def test_narrowest_of_overlapping_ranges(spark):
     asked = spark.createDataFrame([("10.0.0.45", 1), ("10.0.0.51", 1), ("2001:db8::fff1", 1), ("2001:db8:1::", 1)], "lookup_ip string, n bigint")
     found = {r.lookup_ip: r.ip_country for r in places.locate(asked, ranges.keyed_ranges(table)).collect()}
     assert found == {"10.0.0.45": "A", "10.0.0.51": "B", "2001:db8::fff1": "E", "2001:db8:1::": "D"}
+
+
+def test_rows_are_classified_as_distinct_agents_are(spark):
+    rules = agent_rules.make_rules(
+        spark,
+        [
+            {"kind": "browser", "rule_no": 2, "regex": r"(Alpha)/(\d+)"},
+            {"kind": "browser", "rule_no": 1, "regex": r"beta|alpha/(9)", "flags": "i", "family": "B $1"},
+            {"kind": "browser", "rule_no": 3, "regex": r"(\d)(\d)"},  # no literal
+            {"kind": "device", "rule_no": 1, "regex": r"(\w+)-(\w+)", "brand": "$2 by $1"},
+            {"kind": "os", "rule_no": 1, "regex": r"(Osx)(?: (\d+))?(?:\.(\d+))?", "v3": "9"},
+            {"kind": "mobile", "rule_no": 1, "regex": "one"},
+            {"kind": "bot", "rule_no": 1, "regex": "alpha", "flags": "i"},
+        ],
+    )
+    texts = ["Alpha/7", "Alpha/9", "BETA", "one-two Osx 4", "Osx", "12", "none"]
+    rows = spark.createDataFrame([(t, n) for n, t in enumerate([*texts, *texts, None])], "user_agent string, seq long")
+    nothing = spark.createDataFrame([], agents.AGENT_SCHEMA)
+    expected = {t: tuple(r[c] for c in agents.AGENT_FACTS) for t, r in classified(spark, rules, *texts).items()}
+    expected[None] = (None,) * len(agents.AGENT_FACTS)
+    found = agents.classify_rows(rows, nothing, rules).collect()
+    assert len(found) == 15 and all(expected[r.user_agent] == tuple(r[c] for c in agents.AGENT_FACTS) for r in found)
+    # What is stored is taken as it is, NULLs too.
+    known = spark.createDataFrame([("Osx", "X", None, None, None, None, "desktop")], agents.AGENT_SCHEMA)
+    found = {r.user_agent: r for r in agents.classify_rows(rows, known, rules).collect()}
+    assert (found["Osx"].browser_name, found["Osx"].operating_system, found["BETA"].browser_name) == ("X", None, "B ")
+
+
+def test_rows_are_located_as_distinct_addresses_are(spark):
+    rng = random.Random(11)
+    columns = "ip_start string, ip_end string, country string, city string"
+    text = lambda n, v6: str(ipaddress.IPv6Address((0x20010DB8 << 96) + n) if v6 else ipaddress.IPv4Address(n))
+    table, asked = [], ["", "none", "300.1.1.1", None]
+    for i in range(60):
+        v6, low = i % 2, rng.randrange(1 << 31)
+        high = low + rng.choice([0, 7, 255, 5000, 1 << 24])
+        table.append((text(low, v6), text(high, v6), f"c{i % 7}", f"t{i % 5}"))
+        asked += [text(n, v6) for n in (low, high, high + 1, (low + high) // 2)]
+    blocks = places.prepare(ranges.keyed_ranges(spark.createDataFrame(table, columns)))
+    rows = spark.createDataFrame([(a, n) for n, a in enumerate(asked)], "lookup_ip string, seq long")
+    one_each = places.locate(places.distinct_addresses(rows), blocks).collect()
+    expected = {r.lookup_ip: (r.ip_country, r.ip_city) for r in one_each}
+    found = places.locate_rows(rows, places.best_of_blocks(blocks)).collect()
+    assert len(found) == len(asked) and len(expected) > 150
+    assert all((r.ip_country, r.ip_city) == expected.get(r.lookup_ip, (None, None)) for r in found)
+    empty = places.best_of_blocks(places.prepare(ranges.keyed_ranges(spark.createDataFrame([], columns))))
+    assert {r.ip_city for r in places.locate_rows(rows, empty).collect()} == {None}

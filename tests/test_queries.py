@@ -25,7 +25,7 @@ def duck():
 
 
 #: Rows with several faults at once are too few in the smallest tables.
-LARGER, IN_LARGER = "/root/testdata/sf0.01", ["rejects", "beacon_events", "stream_events"]
+LARGER, IN_LARGER = "/root/testdata/sf0.01", ["rejects", "beacon_events", "stream_events", "stream_event_sink"]
 
 
 def test_every_query_has_its_sql():

@@ -1,10 +1,11 @@
 import datetime as dt
 import json
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
-from beaconloom.operators import events, latest, tables
+from beaconloom.operators import agents, events, latest, tables
 from beaconloom.operators.snapshots import CompactedLog
 from beaconloom.plans import inputs
 from beaconloom.schema import EVENT_NAMES, HOSTNAME_SCHEMA
@@ -143,3 +144,61 @@ def test_registry_keeps_state_over_a_restart_and_few_files(spark, tmp_path):
     assert len(log.snapshots()) == 1
     parts = [f for _, _, names in os.walk(f"{out}/log/log") for f in names if f.endswith(".parquet")]
     assert len(parts) <= 2
+
+
+def parts_of(folder, suffix):
+    return [os.path.join(at, f) for at, _, names in os.walk(folder) for f in names if f.endswith(suffix) and not f.startswith(".")]
+
+
+def test_event_sink_is_exact_over_restarts_with_few_files(spark, rules, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+
+    def drain():
+        stream = jobs.line_stream(spark, str(folder))
+        jobs.start_event_sink(
+            stream, rules, f"{out}/events", f"{out}/agents", f"{out}/events-checkpoint", drain=True, day_files=1
+        ).awaitTermination()
+        jobs.start_reject_sink(stream, f"{out}/rejects", f"{out}/rejects-checkpoint", drain=True).awaitTermination()
+
+    drop(folder, "1.json", FIRST * 20, 1_700_000_000)
+    drain()
+    agents.extend_dimension(tables.read_events(spark, f"{out}/events"), rules, f"{out}/agents")
+    drop(folder, "2.json", SECOND, 1_700_000_100)
+    drain()
+    drain()  # nothing new
+    streamed = tables.read_events(spark, f"{out}/events")
+    batch = events.ingest(beacons.read_beacons(spark, f"{folder}/*"), rules)
+    rows = lambda df: sorted(map(str, df.select(*EVENT_NAMES).collect()))
+    assert rows(streamed) == rows(batch.events) and len(rows(streamed)) == 61
+    assert [r.reason for r in spark.read.parquet(f"{out}/rejects").collect()] == ["bad_number"]
+    # Three days in the first batch, one of them and none new in the second.
+    assert len(parts_of(f"{out}/events", ".parquet")) == 4
+    # What no batch has committed is not read.
+    stray = parts_of(f"{out}/events", ".parquet")[0]
+    shutil.copy(stray, stray.replace("part-", "part-9"))
+    assert tables.read_events(spark, f"{out}/events").count() == 61
+
+
+def test_archive_sink_keeps_arrival_hours_and_commits(spark, tmp_path):
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+
+    def drain(first, n, moment):
+        rows = [(json.dumps({"u": "https://h.example.com/", "pid": str(first + i)}), first + i, moment) for i in range(n)]
+        spark.createDataFrame(rows, "value string, seq long, received_at timestamp").coalesce(1).write.mode("append").parquet(feed)
+        jobs.start_archive_sink(jobs.record_stream(spark, feed), f"{out}/hours", f"{out}/checkpoint", drain=True, tasks=1).awaitTermination()
+
+    drain(0, 100, dt.datetime(2024, 2, 3, 4, 59))
+    drain(100, 50, dt.datetime(2024, 2, 3, 5, 0))
+    drain(150, 5, dt.datetime(2024, 2, 3, 4, 30))  # late
+    parts = parts_of(f"{out}/hours", ".txt")
+    assert len(parts) == 3
+    shutil.copy(parts[0], parts[0].replace("part-", "part-9"))
+    archived = files.read_hour_files(spark, f"{out}/hours").collect()
+    assert len(archived) == 155 and len({r.value for r in archived}) == 155
+    assert {(r.host, str(r.day), r.hour) for r in archived} == {("h_example_com", "2024-02-03", 4), ("h_example_com", "2024-02-03", 5)}
+    assert sum(r.hour == 4 for r in archived) == 105
+    # Lines of a file stand in the order of their arrival.
+    for file in {r.file for r in archived}:
+        numbers = [int(json.loads(r.value)["pid"]) for r in sorted((r for r in archived if r.file == file), key=lambda r: (r.block, r.seq))]
+        assert numbers == sorted(numbers)
