@@ -14,6 +14,7 @@ from beaconloom.functions import maps, texts, urls
 from beaconloom.operators.tables import filter_once, overwrite_partitions
 from beaconloom.session import exists, materialise, remove, remove_matching
 from beaconloom.sources import archives as archive_files
+from beaconloom.sources import zst_lines
 
 HOUR_KEYS = ["host", "day", "hour"]
 LINES_PER_BLOCK = 1_000_000
@@ -133,7 +134,7 @@ def write_day_files(lines: DataFrame, root: str, compression: str = "NONE", orde
     """Write the lines of whole host-days in hour order, replacing earlier files of these days.
 
     A host-day is one file, or several in name order where a range ends inside it.  The text writer
-    has no zstd codec, so that choice writes Parquet files with the same rows.
+    has no zstd codec, so that choice writes Parquet files with the same rows; ``write_day_lines_zst`` writes text.
     """
     codec = codec_of(compression)
     keys = ["host", "day", "hour", *order]
@@ -144,6 +145,14 @@ def write_day_files(lines: DataFrame, root: str, compression: str = "NONE", orde
     )
 
 
+def write_day_lines_zst(lines: DataFrame, root: str, order=("seq",)) -> None:
+    """``write_day_files`` as zstd-compressed JSON lines; read them with ``read_day_lines_zst``."""
+    ordered = _in_ranges(lines, ["host", "day", "hour", *order])
+    days = ordered.select("host", texts.day_name(F.col("day")).alias("day"), "value")
+    zst_lines.register(lines.sparkSession)
+    days.write.format(zst_lines.NAME).mode("append").save(root)
+
+
 def write_hour_ranges(ranges: DataFrame, root: str) -> None:
     """Write ``hour,first,last`` lines, one small file per host-day."""
     text = F.concat_ws(",", "hour", "first_line", "last_line").alias("value")

@@ -318,6 +318,7 @@ from lines""",
     "archive_day": f"with {LINES} select host, day_name as day, value from lines where day = '{DAY}'",
     "archive_day_removed": f"with {LINES} select host, day_name as day, value from lines where day = '{DAY}'",
     "archive_days_gzip": f"with {LINES} select host, day_name as day, value from lines",
+    "archive_days_zst_text": f"with {LINES} select host, day_name as day, value from lines",
     "archive_days_zstd": f"with {LINES} select host, day_name as day, value from lines",
     "archive_meta_files": f"""with {HOUR_RANGES}
 select host, day_name as day, concat_ws(',', hour, cast(last_line - n + 1 as bigint),

@@ -547,6 +547,16 @@ def archive_days_zstd(spark: SparkSession, folder: str) -> DataFrame:
     return plain(archive_files.read_day_files(spark, day_root, "Zstandard").select("host", "day", "value"))
 
 
+@query
+def archive_days_zst_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Day files of zstd-compressed lines, written twice, the second time in place of the first, and read back."""
+    root = scratch_path(spark, "zst-days")
+    lines = materialise(_archive_lines(spark, folder), "lines")
+    archives.write_day_lines_zst(lines.where("seq % 2 = 0"), root)
+    archives.write_day_lines_zst(lines, root)
+    return plain(archive_files.read_day_lines_zst(spark, root).select("host", "day", "value"))
+
+
 @query
 def archive_meta_files(spark: SparkSession, folder: str) -> DataFrame:
     """Line-range files of compacted days."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconloom.session import matching
+from beaconloom.sources import zst_lines
 
 # Two layouts: <host>/<yyyy-M-d>/<H>.json.lines and host=<host>/day=<yyyy-M-d>/hour=<H>/<part>, with a folder
 # batch=<B> above the part if a stream writes its batches by name.
@@ -68,3 +69,9 @@ def read_day_files(spark: SparkSession, root: str, compression: str = "NONE") ->
     fmt = "parquet" if compression == "Zstandard" else "text"
     rows = spark.read.schema("value string, host string, day string").format(fmt).load(root)
     return rows.select("value", F.coalesce("host", F.lit("")).alias("host"), "day")
+
+
+def read_day_lines_zst(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of zstd-compressed day files that a finished run wrote: value, host, day, and their place (file, seq)."""
+    rows = zst_lines.register(spark).read.format(zst_lines.NAME).load(root)
+    return rows.select("value", "host", "day", "file", "seq")

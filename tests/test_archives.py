@@ -182,3 +182,30 @@ def test_hours_are_removed_in_two_phases(spark, tmp_path):
     assert archives.compact_day_and_remove(spark, root, day, spare, spare + "-meta") == 0
     assert archives.lines_of_day(spark, root, day) is None
     assert archives.compact_day_and_remove(spark, root, day, spare, spare + "-meta", between=lambda: None) == 0
+
+
+def test_zstd_lines_are_committed_at_once_and_replaced(spark, tmp_path, monkeypatch):
+    from beaconloom.sources import zst_lines
+
+    root = str(tmp_path / "days")
+    assert zst_lines.Reader(root).committed() == []
+    columns = "host string, day date, hour int, seq long, value string"
+    day = dt.date(2024, 3, 1)
+    rows = [(f"h/{n % 3}" if n % 4 else "", day, n % 24, n, json.dumps({"n": n, "t": "\u2028\u00e9 x"}, ensure_ascii=False)) for n in range(900)]
+    lines = spark.createDataFrame(rows, columns).repartition(5)
+    archives.write_day_lines_zst(lines, root)
+    read = lambda: files.read_day_lines_zst(spark, root)
+    assert sorted(r.value for r in read().collect()) == sorted(r[4] for r in rows)
+    assert {r.host for r in read().collect()} == {"", "h/0", "h/1", "h/2"} and {r.day for r in read().collect()} == {"2024-3-1"}
+    # File names and places in them give the order by hour and arrival.
+    found = [json.loads(r.value)["n"] for r in read().where("host = 'h/1'").orderBy("file", "seq").collect()]
+    assert found == sorted((n for n in range(900) if n % 4 and n % 3 == 1), key=lambda n: (n % 24, n))
+    # A run that fails is not seen; one that ends replaces the host-days that it has lines of.
+    monkeypatch.setattr(zst_lines.Writer, "commit", lambda self, messages: 1 / 0)
+    one = spark.createDataFrame([("h/1", day, 0, 0, "{}"), ("new", day, 0, 0, "{}")], columns)
+    with pytest.raises(Exception):
+        archives.write_day_lines_zst(one, root)
+    assert read().count() == 900
+    monkeypatch.undo()
+    archives.write_day_lines_zst(one, root)
+    assert read().where("host = 'h/1'").count() == 1 and read().where("host = 'h/2'").count() == sum(n % 4 > 0 and n % 3 == 2 for n in range(900))
