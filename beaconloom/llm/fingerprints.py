@@ -186,7 +186,8 @@ def within_radius(queries: DataFrame, codes: DataFrame, radius: int = RADIUS, bi
     earlier = F.lit(False)
     for k, (begin, end) in enumerate(cuts[:-1]):
         earlier = earlier | ((number > k) & (F.bit_count(_block(apart, begin, end)) <= slack))
-    pairs = left.join(right, (F.col("_akey") == F.col("_bkey")) & (distance <= radius) & ~earlier)
+    # Never broadcast: the estimate of a side leaves out that each of its rows becomes one for every key.
+    pairs = left.hint("merge").join(right.hint("merge"), (F.col("_akey") == F.col("_bkey")) & (distance <= radius) & ~earlier)
     sides = [_digits([F.col(f"_{side}{k}") for k in range(count)]) for side in "ab"]
     return pairs.select(sides[0].alias("fingerprint"), sides[1].alias("found"), distance.alias("distance"))
 

@@ -91,6 +91,12 @@ def test_search_finds_all_within_the_radius(lake, radius):
     assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_search_broadcasts_no_keys(lake):
+    df = materialise(lake.createDataFrame([(f"{n:032x}",) for n in range(50)], "fingerprint string"), "t")
+    plan = fingerprints.within_radius(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_neighbours_are_counted(odd):
     compared = materialise(fingerprints.compare_with_edits(odd.withColumn("doc_id", F.col("doc_id") * 20)), "t")
     rows = fingerprints.with_neighbours(compared).collect()
