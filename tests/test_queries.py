@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from beaconloom.plans.oracles import ORACLES
+from beaconloom.plans import queries
 from beaconloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,3 +53,20 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", IN_LARGER)
 def test_query_on_more_rows(spark, name):
     compare(spark, connected(LARGER), name, LARGER)
+
+
+@pytest.mark.parametrize("name", ["stream_rejects", "stream_registry", "stream_event_sink", "stream_hosts", "stream_archive_sink"])
+def test_batches_are_read_by_several_tasks(spark, monkeypatch, name):
+    reader, seen = queries.jobs.record_stream, []
+
+    def noted(spark, folder, files_per_batch):
+        seen.append((folder, files_per_batch))
+        return reader(spark, folder, files_per_batch)
+
+    monkeypatch.setattr(queries.jobs, "record_stream", noted)
+    monkeypatch.setattr(queries, "FEED_ROWS", 1000)
+    compare(spark, connected(LARGER), name, LARGER)
+    for folder, files in set(seen):
+        sizes = spark.read.parquet(folder).groupBy("_metadata.file_path").count().collect()
+        assert files > 1 and len(sizes) == files * (2 if name == "stream_hosts" else 4)
+        assert max(row["count"] for row in sizes) <= 2000
