@@ -313,3 +313,12 @@ def test_rows_are_located_as_distinct_addresses_are(spark):
     assert all((r.ip_country, r.ip_city) == expected.get(r.lookup_ip, (None, None)) for r in found)
     empty = places.best_of_blocks(places.prepare(ranges.keyed_ranges(spark.createDataFrame([], columns))))
     assert {r.ip_city for r in places.locate_rows(rows, empty).collect()} == {None}
+
+
+def test_ranges_of_one_file_are_dealt_to_tasks(spark):
+    table = spark.range(4000).selectExpr(
+        "concat('10.1.', id % 200, '.', id % 100) as ip_start", "'10.200.0.0' as ip_end", "'C' as country", "'' as city"
+    )
+    keyed = ranges.keyed_ranges(table.coalesce(1))
+    assert keyed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert keyed.count() == 4000
