@@ -140,6 +140,12 @@ def test_forms(spark):
     assert with_headers == [{"a": "1", "request_headers": '{"H":["x"]}'}]
 
 
+def test_form_is_decoded_once(spark):
+    rows = spark.createDataFrame([("a=1&a=2", "b=3")], "a string, b string")
+    plan = rows.select(forms.parse_form(F.col("a"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UrlCodec.decode") == 2  # of keys and of values
+
+
 def test_maps(spark):
     text = '{"User-Agent":["one","two"],"USER-AGENT":["three"],"Empty":[]}'
     lists = F.from_json(F.col("a"), "map<string,array<string>>")
