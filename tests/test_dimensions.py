@@ -322,3 +322,12 @@ def test_ranges_of_one_file_are_dealt_to_tasks(spark):
     keyed = ranges.keyed_ranges(table.coalesce(1))
     assert keyed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
     assert keyed.count() == 4000
+
+
+def test_lookup_does_not_broadcast_addresses(spark):
+    table = spark.createDataFrame([("10.0.0.0", "10.200.0.0", "C", "")], "ip_start string, ip_end string, country string, city string")
+    asked = materialise(spark.createDataFrame([("10.1.1.1", 2)], "lookup_ip string, n bigint"), "asked")
+    found = places.locate(asked, ranges.keyed_ranges(table))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [r.ip_country for r in found.collect()] == ["C"]

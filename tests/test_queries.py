@@ -70,3 +70,10 @@ def test_batches_are_read_by_several_tasks(spark, monkeypatch, name):
         sizes = spark.read.parquet(folder).groupBy("_metadata.file_path").count().collect()
         assert files > 1 and len(sizes) == files * (2 if name == "stream_hosts" else 4)
         assert max(row["count"] for row in sizes) <= 2000
+
+
+def test_streams_share_prepared_ranges(spark, duck, monkeypatch):
+    prepare, calls = queries.places.prepare, []
+    monkeypatch.setattr(queries.places, "prepare", lambda *given: calls.append(given) or prepare(*given))
+    compare(spark, duck, "stream_events", FOLDER)
+    assert len(calls) == 1
