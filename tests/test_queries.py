@@ -77,3 +77,11 @@ def test_streams_share_prepared_ranges(spark, duck, monkeypatch):
     monkeypatch.setattr(queries.places, "prepare", lambda *given: calls.append(given) or prepare(*given))
     compare(spark, duck, "stream_events", FOLDER)
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["stream_archive", "stream_archive_sink"])
+def test_arrival_times_travel_with_the_lines(spark, duck, monkeypatch, name):
+    make, calls = queries.inputs.form_requests, []
+    monkeypatch.setattr(queries.inputs, "form_requests", lambda *given: calls.append(given) or make(*given))
+    compare(spark, duck, name, FOLDER)
+    assert len(calls) == 1

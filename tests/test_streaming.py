@@ -202,3 +202,24 @@ def test_archive_sink_keeps_arrival_hours_and_commits(spark, tmp_path):
     for file in {r.file for r in archived}:
         numbers = [int(json.loads(r.value)["pid"]) for r in sorted((r for r in archived if r.file == file), key=lambda r: (r.block, r.seq))]
         assert numbers == sorted(numbers)
+
+
+def test_archive_sink_adds_one_file_to_an_hour_unless_it_is_large(spark, tmp_path):
+    rows = [(json.dumps({"u": f"https://h{i % 3}.example.com/", "pid": str(i)}), i, dt.datetime(2024, 2, 3, i % 2)) for i in range(1200)]
+    feed = str(tmp_path / "feed")
+    spark.createDataFrame(rows, "value string, seq long, received_at timestamp").repartition(4).write.parquet(feed)
+
+    def drained(out):
+        jobs.start_archive_sink(jobs.record_stream(spark, feed), f"{out}/hours", f"{out}/checkpoint", drain=True).awaitTermination()
+        found = files.read_hour_files(spark, f"{out}/hours").collect()
+        assert sorted(json.loads(r.value)["pid"] for r in found) == sorted(str(i) for i in range(1200))
+        assert {(r.host, r.hour, int(json.loads(r.value)["pid"]) % 6) for r in found} == {(f"h{i % 3}_example_com", i % 2, i) for i in range(6)}
+        return len(parts_of(f"{out}/hours", ".txt"))
+
+    assert drained(str(tmp_path / "small")) == 6  # four tasks have read lines of all six hours
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    try:
+        spark.conf.set(size, "1024")
+        assert drained(str(tmp_path / "large")) > 6
+    finally:
+        spark.conf.unset(size)
