@@ -202,6 +202,15 @@ def test_places_match_brute_force(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_widths_are_measured_once_for_each_range(spark):
+    table = spark.createDataFrame([("10.0.0.1", "10.0.3.9", "C", "c")], "ip_start string, ip_end string, country string, city string")
+    found = places.range_blocks(ranges.keyed_ranges(table))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" in plan and "conv(" not in plan[: plan.index("Generate")]  # nothing above the explosion into blocks
+    rows = found.collect()
+    assert len(rows) > 1 and {(r.width.upper, r.width.lower) for r in rows} == {(0, 3 * 256 + 8)}
+
+
 def test_blocks_make_up_their_range(spark):
     rng = random.Random(8)
     rows = [("0.0.0.0", "255.255.255.255"), ("10.0.0.0", "10.0.255.255"), ("::", "ffff" + ":ffff" * 7), ("1.2.3.4", "1.2.3.4")]
